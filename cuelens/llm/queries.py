@@ -36,11 +36,11 @@ ORACLE_SQL: dict[str, str] = {
         ), gone AS (
           SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM win JOIN rep USING (g))
         ), kept AS (
-          SELECT w.doc_id, count(gone.p) AS n_removed,
+          SELECT x.doc_id, count(gone.p) AS n_removed,
                  string_agg(CASE WHEN gone.p IS NULL THEN x.word END, ' ' ORDER BY x.p) AS kept
-          FROM w, unnest(ws, range(1, len(ws) + 1)) AS x(word, p)
-          LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.p = x.p
-          GROUP BY w.doc_id
+          FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) x
+          LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p
+          GROUP BY x.doc_id
         )
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
