@@ -44,17 +44,21 @@ class Texts:
         buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         self.buf, self.off = buf[off[0] : off[-1]], off - off[0]
 
-    def words(self) -> Words:
-        return Words(self)
+    def words(self, space: np.ndarray = _SPACE) -> Words:
+        return Words(self, space)
+
+    def per_text(self, flags: np.ndarray) -> np.ndarray:
+        """How many of the flagged bytes each text has."""
+        return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[self.off])
 
 
 class Words:
     """Words of all texts in order: byte ``start`` and ``end``; those of text i are ``first[i]:first[i+1]``."""
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, space: np.ndarray = _SPACE):
         self.texts = texts
         buf, off = texts.buf, texts.off
-        inside = ~_SPACE[buf]
+        inside = ~space[buf]
         begin, last = inside.copy(), inside.copy()
         if len(buf):
             cut = np.zeros(len(buf) + 1, bool)
