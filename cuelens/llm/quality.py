@@ -60,14 +60,13 @@ def statistics(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     chars = texts.per_text(lead & (np.cumsum(cover[:-1], dtype=np.int32) > 0))
     symbols = texts.per_text(_IS["symbol"][buf])
 
-    line = buf == 0x0A
-    cut = np.unique(np.concatenate([np.flatnonzero(line), texts.off[1:]]))
-    begin = np.unique(np.concatenate([np.flatnonzero(line) + 1, texts.off[:-1]]))
+    feed = np.append(np.flatnonzero(buf == 0x0A), len(buf))
+    begin = np.unique(np.concatenate([feed + 1, texts.off[:-1]]))
     begin = begin[begin < len(buf)]
-    end = cut[np.searchsorted(cut, begin)]
-    worded = np.searchsorted(words.start, end) > np.searchsorted(words.start, begin)
-    begin, end = begin[worded], end[worded]
     line_doc = np.searchsorted(texts.off, begin, "right") - 1
+    end = np.minimum(feed[np.searchsorted(feed, begin)], texts.off[line_doc + 1])
+    worded = np.searchsorted(words.start, end) > np.searchsorted(words.start, begin)
+    begin, end, line_doc = begin[worded], end[worded], line_doc[worded]
     dup = _repeated(hash_spans(buf, begin, end, 10), line_doc)[1]
     lines, dups = (np.bincount(x, minlength=texts.n) for x in (line_doc, line_doc[dup]))
 

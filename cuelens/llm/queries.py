@@ -20,8 +20,32 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(_documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or of sentence scores, whole ``documents``, learned from ``labels.toxic``."""
+    from cuelens.llm.toxicity import toxicity_digest
+
+    return toxicity_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text of ``documents``."""
+    from cuelens.llm.langid import language_digest
+
+    return language_digest(_documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document statistics, the base rule and the trees' verdict, whole ``documents``."""
+    from cuelens.llm.quality import quality_digest
+
+    return quality_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {

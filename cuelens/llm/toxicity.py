@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence's probability is logistic in hashed word and word-pair features; a document's is the
+A sentence's probability is logistic in hashed features, its words and their first four and five bytes; a document's is the
 noisy-or of its sentences'. Weights are trained from document labels on a bounded sample
 (``PER_CLASS`` rows of each label, weighted back to their shares); the sentence scores then
 locate what offends.
@@ -23,13 +23,13 @@ from pyspark.sql.types import ArrayType, StructType
 
 from cuelens.llm.rows import bucket_of_id, sample_fraction
 from cuelens.llm.session import worker_imports
-from cuelens.llm.textkit import Texts, mix, slices
+from cuelens.llm.textkit import Texts, hash_spans, slices
 
 #: The most labelled rows of each label that are learned from, about.
 PER_CLASS = 6000
 BUCKETS = 1 << 18
-#: A feature must be in so many sampled documents to have a weight.
-LEAST_DOCS = 5
+#: A feature has a weight if its documents' labels are so much likelier (in nats) given it: chance alone reaches 12 once in a million.
+LEAST_GAIN = 12.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -56,10 +56,14 @@ class Sentences:
         first = np.flatnonzero(fresh)
         self.n_docs, self.n = texts.n, len(first)
         sentence = np.cumsum(fresh) - 1
-        pair = np.flatnonzero(~fresh)
-        pairs = mix(hashes[pair - 1] * np.uint64(3) + hashes[pair]) if len(pair) else hashes[:0]
-        feature = np.concatenate([hashes, pairs]) >> np.uint64(64 - 18)
-        where = np.concatenate([sentence, sentence[pair]])
+        kinds, places = [hashes], [sentence]
+        for n in (4, 5):
+            longer = np.flatnonzero(words.end - words.start > n)
+            at = words.start[longer]
+            kinds.append(hash_spans(texts.buf, at, at + n, n))
+            places.append(sentence[longer])
+        feature = np.concatenate(kinds) >> np.uint64(64 - 18)
+        where = np.concatenate(places)
         order = np.argsort(where, kind="stable")
         self.feature, self.sentence = feature[order].astype(np.int32), where[order].astype(np.int32)
         self.owner = owner[first]
@@ -87,22 +91,28 @@ class Model:
         return np.clip(-np.expm1(none[s.first[1:]] - none[s.first[:-1]]), 0.0, 1.0)
 
 
-def train(feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 200) -> Model:
-    """Adam on the weighted likelihood of the noisy-or, with an L1 shrink that leaves few features."""
+def train(feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 120) -> Model:
+    """Adam on the weighted likelihood of the noisy-or, with a slight L1 shrink, on features that documents with label 1 or 0 prefer beyond chance."""
     n, docs = len(owner), len(label)
     if not n or not label.any() or label.all():
         return Model(np.zeros(BUCKETS), 40.0 if n and label.all() and len(label) else -40.0)
     of_doc = owner[sentence].astype(np.int64)
-    seen = np.unique(feature.astype(np.int64) * docs + of_doc) // docs
-    often = np.bincount(seen, minlength=BUCKETS)
-    known = (often >= LEAST_DOCS)[feature]
+    seen = np.unique(feature.astype(np.int64) * docs + of_doc)
+    often = np.bincount(seen // docs, minlength=BUCKETS)
+    bad = np.bincount(seen // docs, label[seen % docs], BUCKETS)
+    share = label.mean()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.nan_to_num(bad * np.log(bad / (often * share))) + np.nan_to_num((often - bad) * np.log((often - bad) / (often * (1 - share))))
+    known = (gain >= LEAST_GAIN)[feature]
     names, f = np.unique(feature[known], return_inverse=True)
     s = sentence[known]
     per_doc = max(1.0, n / docs)
     prior = np.average(label, weights=weight)
-    bias, w = float(np.log(prior / per_doc)), np.zeros(len(names))
-    m, v, mb, vb, rate = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0.1
+    odds = (bad + 0.5) / (label.sum() + 1) / ((often - bad + 0.5) / (docs - label.sum() + 1))
+    bias, w = float(np.log(0.1 * prior / per_doc)), np.clip(np.log(odds), -6, 6)[names]
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = weight / weight.sum()
+    least = 0.3 * weight[label > 0].mean()
     for t in range(1, rounds + 1):
         p = _sigmoid(np.bincount(s, w[f], n) + bias)
         none = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), docs)
@@ -110,12 +120,13 @@ def train(feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: n
         pull = np.where(label > 0, np.exp(none) / np.maximum(p_doc, 1e-9), -1.0) * weight
         g = -pull[owner] * p
         gw, gb = np.bincount(f, g[s], len(w)), g.sum()
-        m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
-        scale = rate * (1 if t < rounds * 0.6 else 0.3)
-        w -= scale * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-5)
-        w = np.sign(w) * np.maximum(np.abs(w) - scale * 0.02, 0)
-        bias -= scale * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-5)
+        m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
+        rate = 0.3 if t < rounds * 0.6 else 0.1
+        step = rate / (np.sqrt(v / (1 - 0.99**t)) + least)
+        w -= step * m / (1 - 0.9**t)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * least, 0)
+        bias -= rate * mb / (1 - 0.9**t) / (np.sqrt(vb / (1 - 0.99**t)) + least)
     full = np.zeros(BUCKETS)
     full[names] = w
     return Model(full, bias)
