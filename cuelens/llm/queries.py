@@ -41,11 +41,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text of ``documents``, and their decoding."""
+    from cuelens.llm.bpe import bpe_digest
+
+    return bpe_digest(_documents(spark, sf_dir))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of ``documents`` written to Parquet in order of doc_id and read back."""
+    from cuelens.llm.tokenfile import token_digest
+
+    return token_digest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
