@@ -20,6 +20,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(_documents(spark, sf_dir))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword lattice likelihood of every whole text of ``documents``."""
+    from cuelens.llm.lm import lm_digest
+
+    return lm_digest(_documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy-or of sentence scores, whole ``documents``, learned from ``labels.toxic``."""
     from cuelens.llm.toxicity import toxicity_digest
@@ -58,6 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
