@@ -48,6 +48,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of ``benchmark`` windows in every whole text of ``documents``."""
+    from cuelens.llm.decontaminate import decontamination_digest
+
+    return decontamination_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text of ``documents``, and their decoding."""
     from cuelens.llm.bpe import bpe_digest
@@ -63,6 +70,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_lm_scoring": op4_lm_scoring,
@@ -72,7 +80,31 @@ QUERIES: dict[str, Query] = {
     "op10_token_files": op10_token_files,
 }
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH b AS (
+          SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark
+        ), bw AS (
+          SELECT DISTINCT item, least(len(ws), 13) AS n, array_to_string(ws[i:i + least(len(ws), 13) - 1], ' ') AS g
+          FROM b, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS t(i) WHERE len(ws) > 0
+        ), d AS (
+          SELECT doc_id, {_WORDS} AS ws FROM documents
+        ), dw AS (
+          SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+          FROM d, (SELECT DISTINCT n FROM bw) AS s, unnest(range(1, len(ws) - n + 2)) AS t(i)
+        ), m AS (
+          SELECT doc_id, dw.i, dw.n, item FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g
+        ), hit AS (
+          SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id
+        ), items AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+               CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op3_substring_dedup": r"""
         WITH w AS (
           SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from cuelens.llm.rows import bucket_of_id, sample_fraction
-from cuelens.llm.session import worker_imports
+from cuelens.llm.session import store, worker_imports
 from cuelens.llm.textkit import Texts, hash_spans, slices
 
 #: The most labelled rows of each label that are learned from, about.
@@ -91,25 +91,23 @@ class Model:
         return np.clip(-np.expm1(none[s.first[1:]] - none[s.first[:-1]]), 0.0, 1.0)
 
 
-def train(feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 120) -> Model:
-    """Adam on the weighted likelihood of the noisy-or, with a slight L1 shrink, on features that documents with label 1 or 0 prefer beyond chance."""
-    n, docs = len(owner), len(label)
-    if not n or not label.any() or label.all():
-        return Model(np.zeros(BUCKETS), 40.0 if n and label.all() and len(label) else -40.0)
-    of_doc = owner[sentence].astype(np.int64)
-    seen = np.unique(feature.astype(np.int64) * docs + of_doc)
-    often = np.bincount(seen // docs, minlength=BUCKETS)
-    bad = np.bincount(seen // docs, label[seen % docs], BUCKETS)
-    share = label.mean()
+def select(often: np.ndarray, bad: np.ndarray, docs: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features whose documents prefer a label beyond chance, and their first weights, from document counts."""
+    share = toxic / docs
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.nan_to_num(bad * np.log(bad / (often * share))) + np.nan_to_num((often - bad) * np.log((often - bad) / (often * (1 - share))))
-    known = (gain >= LEAST_GAIN)[feature]
-    names, f = np.unique(feature[known], return_inverse=True)
-    s = sentence[known]
+    odds = (bad + 0.5) / (toxic + 1) / ((often - bad + 0.5) / (docs - toxic + 1))
+    names = np.flatnonzero(gain >= LEAST_GAIN)
+    return names, np.clip(np.log(odds[names]), -6, 6)
+
+
+def train(names: np.ndarray, first: np.ndarray, feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 120) -> Model:
+    """Adam on the weighted likelihood of the noisy-or, with a slight L1 shrink, from the first weights of the features ``names``."""
+    n, docs = len(owner), len(label)
+    f, s = np.searchsorted(names, feature), sentence
     per_doc = max(1.0, n / docs)
     prior = np.average(label, weights=weight)
-    odds = (bad + 0.5) / (label.sum() + 1) / ((often - bad + 0.5) / (docs - label.sum() + 1))
-    bias, w = float(np.log(0.1 * prior / per_doc)), np.clip(np.log(odds), -6, 6)[names]
+    bias, w = float(np.log(0.1 * prior / per_doc)), first.copy()
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = weight / weight.sum()
     least = 0.3 * weight[label > 0].mean()
@@ -132,34 +130,62 @@ def train(feature: np.ndarray, sentence: np.ndarray, owner: np.ndarray, label: n
     return Model(full, bias)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 4 << 20):
         s = Sentences(batch.column("text"))
-        edge = np.searchsorted(s.sentence, s.first)
-        rows = [
-            (s.feature[edge[i] : edge[i + 1]].tobytes(), (s.sentence[edge[i] : edge[i + 1]] - s.first[i]).astype("<i4").tobytes(), int(s.first[i + 1] - s.first[i]))
-            for i in range(s.n_docs)
-        ]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int32()), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), *columns], ["label", "feature", "sentence", "n"])
+        label = batch.column("label").to_numpy()
+        seen = np.unique(s.feature.astype(np.int64) * s.n_docs + s.owner[s.sentence])
+        of, doc = seen // s.n_docs, seen % s.n_docs
+        often = np.bincount(of, minlength=BUCKETS)
+        bad = np.bincount(of, label[doc], BUCKETS).astype(np.int64)
+        at = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(often[at]), pa.array(bad[at])], ["feature", "often", "bad"])
+
+
+def _chosen(names):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(BUCKETS, bool)
+        keep[names.value] = True
+        for batch in slices(batches, "text", 4 << 20):
+            s = Sentences(batch.column("text"))
+            mine = keep[s.feature]
+            feature, sentence = s.feature[mine], s.sentence[mine]
+            edge = np.searchsorted(sentence, s.first)
+            rows = [(feature[a:b].tobytes(), (sentence[a:b] - k).astype("<i4").tobytes()) for a, b, k in zip(edge[:-1], edge[1:], s.first[:-1], strict=True)]
+            columns = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *columns, pa.array(np.diff(s.first), pa.int32())], ["label", "feature", "sentence", "n"])
+
+    return run
 
 
 def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """A model from rows (text, label 0 or 1). What reaches the driver is the features of the sampled rows."""
-    worker_imports(labelled.sparkSession)
+    """A model from rows (text, label 0 or 1).
+
+    The driver gets two counts a bucket, and the chosen features of the sampled rows.
+    """
+    spark = labelled.sparkSession
+    worker_imports(spark)
     rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return Model(np.zeros(BUCKETS), -40.0 if 1 not in sizes else 40.0)
     share = {k: min(1.0, per_class / n) for k, n in sizes.items()}
-    picked = sample_fraction(rows, F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)), salt=5)
-    got = picked.mapInArrow(_features, "label int, feature binary, sentence binary, n int").toArrow().sort_by([("label", "ascending"), ("feature", "ascending")])
-    n = got["n"].to_numpy().astype(np.int64)
-    label = got["label"].to_numpy()
+    picked = sample_fraction(rows, F.when(F.col("label") == 1, share[1]).otherwise(share[0]), salt=5)
+    picked = store(picked, "toxicity-sample")
+    marks = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
+    found = picked.mapInArrow(_counts, "feature int, often long, bad long").groupBy("feature").agg(F.sum("often").alias("often"), F.sum("bad").alias("bad")).toArrow()
+    often, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    often[found["feature"].to_numpy()], bad[found["feature"].to_numpy()] = found["often"].to_numpy(), found["bad"].to_numpy()
+    names, first = select(often, bad, sum(marks.values()), marks.get(1, 0))
+    got = picked.mapInArrow(_chosen(spark.sparkContext.broadcast(names)), "label int, feature binary, sentence binary, n int").toArrow()
+    got = got.sort_by([("label", "ascending"), ("n", "ascending"), ("feature", "ascending"), ("sentence", "ascending")])  # the same model however the rows arrive
+    n, label = got["n"].to_numpy().astype(np.int64), got["label"].to_numpy()
     base = np.concatenate([[0], np.cumsum(n)])
     feature = [np.frombuffer(x.as_buffer(), "<i4") for x in got["feature"]]
     sentence = [np.frombuffer(x.as_buffer(), "<i4") + base[i] for i, x in enumerate(got["sentence"])]
     weight = np.array([1 / share[int(x)] for x in label])
-    none = np.zeros(0, np.int64)
-    return train(np.concatenate(feature or [none]), np.concatenate(sentence or [none]), np.repeat(np.arange(len(n)), n), label, weight)
+    none = [np.zeros(0, np.int64)]
+    return train(names, first, np.concatenate(feature or none), np.concatenate(sentence or none), np.repeat(np.arange(len(n)), n), label, weight)
 
 
 def _scored(model, keep: list[str], most: float):
