@@ -85,11 +85,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
         passed = f"(shiftright(get({bit_set}, cast(shiftright(pmod(get(k{size}, i), {bits}L), 6) as int)), cast(pmod(get(k{size}, i), 64L) as int)) & 1L) = 1L"
         at = f"filter(if(size(k{size}) = 0, cast(array() as array<int>), sequence(0, size(k{size}) - 1)), i -> {passed})"
         rows = rows.withColumn(f"c{size}", F.expr(at)).drop(f"k{size}")
-    tested = [F.transform(f"c{s}", lambda i, s=s: F.struct(i.alias("at"), F.lit(s).alias("size"), F.array_join(F.slice("w", i + 1, s), " ").alias("gram"))) for s in sets]
+
+    def with_text(size: int) -> Column:
+        return F.transform(f"c{size}", lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("w", i + 1, size), " ").alias("gram")))
+
     kind = "array<struct<at:int,size:int,gram:string>>"
-    found = F.concat(*[x.cast(kind) for x in tested]) if tested else F.array().cast(kind)
-    thin = rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), F.explode_outer(found).alias("c"))
-    thin = thin.select("doc_id", "row", "n_words", "c.at", "c.size", "c.gram")
+    found = F.concat(*[with_text(size).cast(kind) for size in sets]) if sets else F.array().cast(kind)
+    thin = rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), found.alias("found"))
+    thin = thin.select("doc_id", "row", "n_words", F.explode_outer("found").alias("c")).select("doc_id", "row", "n_words", "c.at", "c.size", "c.gram")
     if windows.count() <= BROADCAST_WINDOWS:
         windows = F.broadcast(windows)
     known = windows.select(F.col("gram").alias("g"), F.col("size").alias("s"), "items")
