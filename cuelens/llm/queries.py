@@ -41,6 +41,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(_documents(spark, sf_dir))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of ``pages``, written, read back and reassembled."""
+    from cuelens.llm.warc import warc_digest
+
+    return warc_digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document statistics, the base rule and the trees' verdict, whole ``documents``."""
     from cuelens.llm.quality import quality_digest
@@ -76,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }
@@ -105,6 +113,16 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_warc": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), w AS (
+          SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM w""",
     "op3_substring_dedup": r"""
         WITH w AS (
           SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
