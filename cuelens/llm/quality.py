@@ -178,11 +178,16 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> Trees | None:
-    """Trees from rows (text, label 0 or 1); only the sampled rows' statistics reach the driver."""
-    worker_imports(labelled.sparkSession)
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    picked = sample_fraction(rows, F.lit(min(1.0, sample / max(1, rows.count()))), salt=9)
+def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Trees | None:
+    """Trees from documents (doc_id, text) and their marks (doc_id, label 0 or 1, an id once).
+
+    The marks are sampled before their texts are looked up, so their broadcast is bounded by ``sample``
+    and no text is shuffled; only the sampled rows' statistics reach the driver.
+    """
+    worker_imports(docs.sparkSession)
+    known = marks.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    chosen = sample_fraction(known, F.lit(min(1.0, sample / max(1, known.count()))), salt=9)
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = picked.mapInArrow(_features, "label int, x array<double>").toArrow()
     y = got["label"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
@@ -216,4 +221,4 @@ def quality_digest(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, the base counts, base_failed, kept and the trees' score of every document."""
     rows = docs.select("doc_id", "text")
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    return judge(rows, fit(rows.join(marks, "doc_id"), sample), ["doc_id"])
+    return judge(rows, fit(rows, marks, sample), ["doc_id"])

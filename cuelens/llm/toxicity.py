@@ -158,25 +158,30 @@ def _chosen(names):
     return run
 
 
-def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """A model from rows (text, label 0 or 1).
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """A model from documents (doc_id, text) and their marks (doc_id, label 0 or 1, an id once).
 
-    The driver gets two counts a bucket, and the chosen features of the sampled rows.
+    The marks are sampled before their texts are looked up, so their broadcast is bounded by
+    ``per_class`` and no text is shuffled. The driver gets two counts a bucket, and the chosen features
+    of the sampled rows.
     """
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     worker_imports(spark)
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    known = marks.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(BUCKETS), -40.0 if 1 not in sizes else 40.0)
     share = {k: min(1.0, per_class / n) for k, n in sizes.items()}
-    picked = sample_fraction(rows, F.when(F.col("label") == 1, share[1]).otherwise(share[0]), salt=5)
+    chosen = sample_fraction(known, F.when(F.col("label") == 1, share[1]).otherwise(share[0]), salt=5)
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
     picked = store(picked, "toxicity-sample")
-    marks = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
+    drawn = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
     found = picked.mapInArrow(_counts, "feature int, often long, bad long").groupBy("feature").agg(F.sum("often").alias("often"), F.sum("bad").alias("bad")).toArrow()
     often, bad = np.zeros(BUCKETS), np.zeros(BUCKETS)
     often[found["feature"].to_numpy()], bad[found["feature"].to_numpy()] = found["often"].to_numpy(), found["bad"].to_numpy()
-    names, first = select(often, bad, sum(marks.values()), marks.get(1, 0))
+    if len(drawn) < 2:
+        return Model(np.zeros(BUCKETS), -40.0 if 1 not in drawn else 40.0)
+    names, first = select(often, bad, sum(drawn.values()), drawn[1])
     got = picked.mapInArrow(_chosen(spark.sparkContext.broadcast(names)), "label int, feature binary, sentence binary, n int").toArrow()
     got = got.sort_by([("label", "ascending"), ("n", "ascending"), ("feature", "ascending"), ("sentence", "ascending")])  # the same model however the rows arrive
     n, label = got["n"].to_numpy().astype(np.int64), got["label"].to_numpy()
@@ -215,7 +220,7 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     """doc_id, held_out, score, predicted, n_offending; learned from labelled rows that are not held out."""
     rows = docs.select("doc_id", "text", (bucket_of_id(F.col("doc_id"), 5) == 0).alias("held_out"))
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = fit(rows.where("not held_out").join(marks, "doc_id"), per_class)
+    model = fit(rows, marks.where(bucket_of_id(F.col("doc_id"), 5) != 0), per_class)
     return score_toxicity(rows, model, ["doc_id", "held_out"]).select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending")
     )
