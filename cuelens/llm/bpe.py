@@ -25,6 +25,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from cuelens.llm.session import worker_imports
 from cuelens.llm.textkit import slices
@@ -197,7 +198,7 @@ def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with two columns more: ``token_ids`` array<int> and ``decoded``, the binary join of their pieces."""
+    """``docs`` with two columns more, or anew: ``token_ids`` array<int> and ``decoded``, the binary join of their pieces."""
     worker_imports(docs.sparkSession)
     path, pattern = _defaults(path, pattern)
     names = [c for c in docs.columns if c not in ("token_ids", "decoded")]
@@ -212,9 +213,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoded, pa.binary())], [*names, "token_ids", "decoded"])
 
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    return rows.mapInArrow(run, rows.schema.add("token_ids", ArrayType(IntegerType())).add("decoded", "binary"))
+    more = [StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *more]))
 
 
 def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -71,13 +71,13 @@ def _bit_set(windows: DataFrame) -> tuple[dict[int, str], int]:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, spans, contaminated for each row of ``docs``.
+    """doc_id, text_hash, n_words, n_hit, n_items, items, spans, contaminated for each row of ``docs``.
 
     ``items`` are the sorted ids, ``spans`` the maximal hit runs as (start, end) word positions from 0.
     """
     windows = benchmark_windows(benchmark, width)
     sets, bits = _bit_set(windows)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("w"))
+    rows = docs.select("doc_id", F.struct(F.monotonically_increasing_id().alias("at"), F.xxhash64("text").alias("hash")).alias("row"), words_of(F.col("text")).alias("w"))
     rows = rows.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     for size, bit_set in sets.items():
         keys = f"if(size(h) < {size}, cast(array() as array<bigint>), transform(sequence(0, size(h) - {size}), i -> {_key(size, 'i')}))"
@@ -116,14 +116,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     )
     return by_doc.select(
         "doc_id",
+        F.col("row.hash").alias("text_hash"),
         "n_words",
         reach.alias("n_hit"),
         F.array_sort(F.array_distinct("items")).alias("items"),
         F.aggregate("at", empty, extend).alias("spans"),
-    ).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    ).select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     found = hits(docs, benchmark, width)
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` without contaminated documents; the others are untouched."""
+    bad = hits(docs, benchmark, width).where("contaminated").groupBy("doc_id", "text_hash").agg(F.lit(1).alias("one")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return packed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")

@@ -130,13 +130,16 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     worker_imports(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    own = "text" not in keep
+    rows = docs.select(*keep, *(["text"] if own else []))
+    at = rows.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_lang_text", 2 << 20):
-            langs, score = shared.value.predict(batch.column("_lang_text"))
+        for batch in slices(batches, at, 2 << 20):
+            langs, score = shared.value.predict(batch.column(at))
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(score)], [*keep, "_lang_pred", "_lang_score"])
 
-    rows = docs.select(*keep, F.col("text").alias("_lang_text"))
     schema = docs.select(*keep).schema.add("_lang_pred", "string").add("_lang_score", "double")
     return rows.mapInArrow(run, schema)
 

@@ -48,6 +48,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_digest(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at 5-gram similarity 0.8, whole ``documents``."""
+    from cuelens.llm.neardup import jaccard_digest
+
+    return jaccard_digest(_documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document statistics, the base rule and the trees' verdict, whole ``documents``."""
     from cuelens.llm.quality import quality_digest
@@ -84,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }
@@ -143,4 +151,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op8_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), g AS (
+          SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+          FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0
+        ), n AS (
+          SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+        ), c AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), link AS (
+          SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n)
+        ), reach AS (
+          SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        ), class AS (
+          SELECT a, min(b) AS class_id FROM reach GROUP BY a
+        ), links AS (
+          SELECT a, count(*) AS n_links FROM link GROUP BY a
+        )
+        SELECT class.a AS doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM class LEFT JOIN links USING (a)""",
 }

@@ -147,7 +147,7 @@ def windows(words: Words, hashes: np.ndarray, width: int, block: int = 1 << 18)
     return mix(out[at]), at
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most_bytes`` of ``column``, one row at least."""
     for batch in batches:
         if not batch.num_rows:
