@@ -9,11 +9,16 @@ from pyspark.sql.window import Window
 from cuelens.functions.markup import xml_escape
 
 
+def _micros(ts: str) -> Column:
+    """Microseconds of a timestamp of either kind."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def silence(rows: DataFrame, subject: list[str], ts: str, gap_days: int = 14) -> DataFrame:
     """``rows`` with prior_count, last_prior and gap_days against strictly earlier rows of the subject, and silent."""
     w = Window.partitionBy(*subject).orderBy(ts, "event_id")
     rows = rows.withColumns({"prior_count": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, -1)), "last_prior": F.max(ts).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    gap = F.floor((F.unix_micros(ts) - F.unix_micros("last_prior")) / 86_400_000_000).cast("int")
+    gap = F.floor((_micros(ts) - _micros("last_prior")) / 86_400_000_000).cast("int")
     return rows.withColumn("gap_days", F.greatest(F.lit(0), gap)).withColumn("silent", F.coalesce(F.col("gap_days") > gap_days, F.lit(False)))
 
 
@@ -22,7 +27,7 @@ def rate_windows(rows: DataFrame, key: str, ts: str, seconds: int, limit: int) -
 
     A gap as long as a window always ends it, so each burst between such gaps is folded apart.
     """
-    micros = rows.select(key, F.unix_micros(ts).alias("t"))
+    micros = rows.select(key, _micros(ts).alias("t"))
     w = Window.partitionBy(key).orderBy("t")
     fresh = F.coalesce(F.col("t") - F.lag("t").over(w) >= seconds * 1_000_000, F.lit(True)).cast("int")
     bursts = micros.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -36,7 +41,7 @@ def rate_windows(rows: DataFrame, key: str, ts: str, seconds: int, limit: int) -
 
     folded = bursts.groupBy(key, "burst").agg(F.aggregate(F.array_sort(F.collect_list("t")), empty, step).alias("ws"))
     out = folded.select(key, F.explode("ws").alias("w"))
-    return out.select(key, F.timestamp_micros("w.opened").alias("opened"), F.col("w.n").alias("n"), F.greatest(F.lit(0), F.col("w.n") - limit).alias("n_refused"))
+    return out.select(key, F.timestamp_micros("w.opened").cast("timestamp_ntz").alias("opened"), F.col("w.n").alias("n"), F.greatest(F.lit(0), F.col("w.n") - limit).alias("n_refused"))
 
 
 def feed(rows: DataFrame, title: Column, body: Column, order: list[Column], most: int = 50) -> DataFrame:
