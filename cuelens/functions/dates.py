@@ -17,7 +17,7 @@ def absolute_dates(text: Column) -> Column:
         def one(m: Column) -> Column:
             parts = F.transform(F.regexp_extract_all(m["value"], F.lit(r"\d+"), F.lit(0)), lambda d: d.try_cast("int"))
             y, mo, d = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.coalesce(F.get(parts, F.lit(2)), F.lit(1))
-            day = F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), F.lit("yyyy-MM-dd"))
+            day = F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")
             return F.struct(m["start"].alias("start"), F.when(y.between(1990, 2100), day).alias("date"), F.lit(precision).alias("precision"))
 
         return F.transform(found, one)
