@@ -1,7 +1,7 @@
 """Structured Streaming forms: collecting from a folder, rate limits and silence by key.
 
 The same rules as the batch operators: a window opens at a key's first hit after the last one's end,
-and a gap is measured to strictly earlier coverage. State is one small row a key and ends by a timer.
+and a gap is measured to strictly earlier coverage. State is one small row a key.
 """
 
 from __future__ import annotations
@@ -46,16 +46,12 @@ def limit_hits(hits: DataFrame, key: str, ts: str, seconds: int, limit: int) ->
                 opened, n = t, 0
             n += 1
             rows.append((k[0], pd.Timestamp(t, unit="us"), pd.Timestamp(opened, unit="us"), n, n <= limit))
-        if state.hasTimedOut or opened is None:
-            state.remove()
-        else:
-            state.update((opened, n))
-            state.setTimeoutDuration(1000 * seconds)
+        state.update((opened, n))
         yield pd.DataFrame(rows, columns=[key, ts, "opened", "n", "allowed"])
 
     kind = hits.schema[key].dataType.simpleString()
     return hits.select(key, F.col(ts).cast("timestamp").alias(ts)).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, {ts} timestamp, opened timestamp, n int, allowed boolean", "opened long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{key} {kind}, {ts} timestamp, opened timestamp, n int, allowed boolean", "opened long, n int", "append", GroupStateTimeout.NoTimeout
     )
 
 
