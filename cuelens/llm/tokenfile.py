@@ -6,8 +6,8 @@ groups and pages are small and every page is in the page index, so a read of som
 counters alone skips the rest. A document's start in the whole is its start in its part and the
 tokens of the parts before; those totals are one row a part.
 
-Texts are encoded by the tokenizers library word by word: white space of ASCII never joins two words
-in this tokenizer (its pattern drops it), so a task encodes a word once and not once an occurrence.
+Texts are encoded by the tokenizers library word by word: white space never joins two words in this
+tokenizer (its pattern drops it), so a task encodes a word once and not once an occurrence.
 
 Defined cases: a null text is an empty one and holds the end id alone; null doc_ids come first; equal
 doc_ids are ordered by text, and each row is a document; an empty table gives one empty file; columns
@@ -48,27 +48,66 @@ OPTIONS = {
 _SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, token_ids array<int>"
 
 
+# Latin-1 by the tokenizer's own classes: letters, numbers, white space.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\x85\xa0"
+_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
 class Encoder:
+    """The library behind a memory of words.
+
+    A Latin-1 text is its own NFC form and lower-cased without context, so its words are those the
+    tokenizer's pattern finds in the lower-cased text; other texts, and those with a special token's
+    marks, are cut at ASCII white space alone. Many words are encoded in one call; the ids of each end
+    with a token that has the end-of-word mark.
+    """
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = re.compile(r"[^\x20\x09-\x0d]+").findall
-        self.known: dict[str, bytes] = {}
+        self.chunks = re.compile(r"[^\x20\x09-\x0d]+").findall
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
+
+    def _split(self, text: str | None) -> tuple[bool, list[str]]:
+        text = text or ""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False, self.chunks(text)
+            return True, _LATIN.findall(text.lower())
+        return False, self.chunks(text)
+
+    def _learn(self, fresh: list[str]) -> None:
+        for k in range(0, len(fresh), 4096):
+            part = fresh[k : k + 4096]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(part):
+                raise ValueError("the tokenizer joins or splits words in another way than its pattern says")
+            raw, start = ids.tobytes(), [0, *stop[:-1].tolist()]
+            self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, start, stop.tolist(), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers, without the end id."""
-        words = [self.words(t or "") for t in texts]
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for ws in words for w in ws if w not in known})
+        split = [self._split(t) for t in texts]
+        for known in (self.words, self.others):
+            if len(known) > MEMORY_WORDS:
+                known.clear()
+        words, others = self.words, self.others
+        self._learn(list({w for latin, ws in split if latin for w in ws if w not in words}))
+        fresh = list({w for latin, ws in split if not latin for w in ws if w not in others})
         for k in range(0, len(fresh), 4096):
             part = fresh[k : k + 4096]
             for w, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+                others[w] = np.array(got.ids, "<u4").tobytes()
+        return [b"".join([words[w] for w in ws] if latin else [others[w] for w in ws]) for latin, ws in split]
 
 
 @cache
