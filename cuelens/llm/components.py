@@ -35,22 +35,20 @@ def _small(edges: DataFrame) -> DataFrame:
     return _pairs(sent.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one parent at most and no parent has one: the stars are the components."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by_node = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by_node.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (u, v longs): the smallest node it is connected to."""
-    edges = store(_pairs(edges), "edges")
-    before = _state(edges)
+    edges = store(_pairs(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
     for _ in range(MOST_ROUNDS):
-        if not before[0]:
+        if _settled(edges):
             break
         edges = store(_small(store(_large(edges), "large")), "small")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("the components did not settle")
     roots = edges.groupBy("v").agg(F.lit(1).alias("_one")).select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -192,7 +192,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     about = nodes.select(F.col("node").alias("nd"), "n", "copies", "of", F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_BASE))).cast("int").alias("level"))
     members = store(found.join(about, F.col("node") == F.col("nd")).select("node", F.col("component").alias("comp"), "n", "copies", "of", "level"), "members")
     tasks = _tasks(members).withColumnRenamed("node", "task_node")
-    texts = members.join(keyed, F.col("of.id").eqNullSafe(F.col("doc_id")) & (F.col("of.hash") == F.col("text_hash")))
+    # a merge join at every size: the plan, and what it writes, follow the input
+    texts = members.hint("merge").join(keyed, F.col("of.id").eqNullSafe(F.col("doc_id")) & (F.col("of.hash") == F.col("text_hash")))
     ready = tasks.join(texts.select("node", "copies", "text"), F.col("task_node") == F.col("node")).select("task", "comp", "node", "copies", "side", "text")
     verified = store(ready.groupBy("task").applyInArrow(_verify, "node long, links long, root long"), "verified")
     classes = components(verified.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
