@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _written: list[tuple[SparkSession, str]] = []
@@ -60,9 +61,18 @@ def _clean() -> None:
             return
 
 
+#: Beyond this an estimate is Spark's word for not knowing.
+_UNKNOWN = 1 << 52
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``: file sizes for a scan, no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of the size of ``df``, file sizes for a scan, no job; counted where Spark has none."""
+    guess = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if guess < _UNKNOWN:
+        return guess
+    texts = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    row = df.select(sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(16)).cast("long").alias("n")).agg(F.sum("n")).first()
+    return int(row[0] or 0)
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 200_000) -> int:

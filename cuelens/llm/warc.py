@@ -131,6 +131,9 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if got:
                 buffer, at = buffer[at:] + got, 0
                 return True
+        if rest := unpack.flush():  # what was unpacked but beyond the last call's measure
+            buffer, at = buffer[at:] + rest, 0
+            return True
         return False
 
     while True:
