@@ -55,7 +55,7 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
         F.when(kind.isin("lexicon", "timeline", "actor", "instrument"), kind).otherwise("lexicon").alias("type"),
         desks.alias("desks"),
         F.regexp_extract_all(field("match"), F.lit('"([^"]+)"'), F.lit(1)).alias("match"),
-        F.trim(F.regexp_replace("v", r"(?s)^---\n.*?\n---\n?", "")).alias("body"),
+        F.regexp_replace(F.regexp_replace("v", r"(?s)^---\n.*?\n---\n?", ""), r"^\s+|\s+$", "").alias("body"),
     )
 
 
