@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
+_own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -27,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cuelens-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="cuelens-"))
     return found.rstrip("/")
 
 
