@@ -108,7 +108,10 @@ def _verify(table: pa.Table) -> pa.Table:
 
 
 def _linked(sets: np.ndarray, off: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Which sets are linked; between different sides where there are two, else among all."""
+    """Which sets are linked: among all where ``side`` is 0, in a task of two blocks (sides 1 and 2) between the sides only.
+
+    A block may be empty, so that a task of two blocks can hold one side alone; it has no links then.
+    """
     n, size = len(off) - 1, np.diff(off)
     owner = np.repeat(np.arange(n), size)
     order = np.argsort(sets, kind="stable")
@@ -126,7 +129,7 @@ def _linked(sets: np.ndarray, off: np.ndarray, side: np.ndarray) -> np.ndarray:
         part[o[a:b], column[a:b] - lo] = 1
         common += part @ part.T
     linked = 9 * common.astype(np.int64) >= 4 * (size[:, None] + size[None, :])
-    if side.any() and not side.all():
+    if side.any():
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
     return linked
@@ -145,7 +148,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tasks(members: DataFrame) -> DataFrame:
-    """(node, task, comp, side): every compatible pair of a component meets in one task."""
+    """(node, task, comp, side): every compatible pair of a component meets in one task; ``side`` as in ``_linked``."""
     stats = members.groupBy("comp", "level").agg(F.sum("n").alias("shingles"), F.count("*").alias("nodes"))
     whole = stats.groupBy("comp").agg(F.sum("shingles").alias("all_shingles"), F.sum("nodes").alias("all_nodes"))
     blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("nodes") / BLOCK_NODES)).cast("int")
@@ -167,9 +170,9 @@ def _tasks(members: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
     of = lambda k: F.coalesce(F.try_element_at("by_level", k), F.lit(0))
-    same = F.transform(upto(of(level)), lambda j: F.struct(name(level, F.least(i, j), level, F.greatest(i, j)).alias("task"), F.when(i <= j, 0).otherwise(1).alias("side")))
-    up = F.transform(upto(of(level + 1)), lambda j: F.struct(name(level, i, level + 1, j).alias("task"), F.lit(0).alias("side")))
-    down = F.transform(upto(of(level - 1)), lambda j: F.struct(name(level - 1, j, level, i).alias("task"), F.lit(1).alias("side")))
+    same = F.transform(upto(of(level)), lambda j: F.struct(name(level, F.least(i, j), level, F.greatest(i, j)).alias("task"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("side")))
+    up = F.transform(upto(of(level + 1)), lambda j: F.struct(name(level, i, level + 1, j).alias("task"), F.lit(1).alias("side")))
+    down = F.transform(upto(of(level - 1)), lambda j: F.struct(name(level - 1, j, level, i).alias("task"), F.lit(2).alias("side")))
     hard = wide.select("node", "comp", F.explode(F.concat(same, up, down)).alias("t")).select("node", "t.task", "comp", "t.side")
     return easy.unionByName(hard)
 

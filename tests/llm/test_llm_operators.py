@@ -285,6 +285,20 @@ def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
     assert max(k[2] for k in plain) > 5
 
 
+def test_jaccard_empty_blocks_count_no_link_twice(spark, monkeypatch):
+    from cuelens.llm import neardup
+
+    texts = []
+    for c in range(12):
+        w = [f"c{c}w{i}" for i in range(60)]
+        texts += [w, [*w[:-1], "x"], w[:50], [*w[:49], "y"]]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = Counter((i, i // 4 * 4, sum(i != j and 9 * len(a & b) >= 4 * (len(a) + len(b)) for j, b in enumerate(sets))) for i, a in enumerate(sets))
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 60)  # two nodes and two blocks at each of two levels
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert result(neardup.jaccard_digest(df), "doc_id", "class_id", "n_links") == want
+
+
 def test_quality(spark, docs, rows, empty):
     from cuelens.llm import quality
 
