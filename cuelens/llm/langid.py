@@ -85,16 +85,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Languages in order of name, and a (bucket, language) matrix of log-probabilities with the prior apart."""
+    """Languages in order of name, a (bucket, language) matrix of log-probabilities with the prior apart, and by language the buckets seen."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, matrix: np.ndarray):
-        self.langs, self.prior, self.matrix = langs, prior, matrix
+    def __init__(self, langs: list[str], prior: np.ndarray, matrix: np.ndarray, seen: np.ndarray):
+        self.langs, self.prior, self.matrix, self.seen = langs, prior, matrix, seen
 
-    def predict(self, array: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, array: pa.Array, share_known: bool = False) -> tuple[list[str], np.ndarray, np.ndarray | None]:
+        """Language and its probability among the learned ones; if asked, the share of the n-grams seen in that language."""
         texts = Texts(array)
         found, has = grams(texts)
         if not self.langs:
-            return [UNKNOWN] * texts.n, np.zeros(texts.n)
+            return [UNKNOWN] * texts.n, np.zeros(texts.n), np.zeros(texts.n) if share_known else None
         total = np.tile(self.prior, (texts.n, 1))
         for bucket, off in found:
             filled = np.flatnonzero(np.diff(off))
@@ -102,7 +103,16 @@ class Model:
                 total[filled] += np.add.reduceat(self.matrix[bucket], off[filled], axis=0, dtype=np.float64)
         best = total.argmax(1)
         share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        return [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, share, 0.0)
+        langs = [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
+        return langs, np.where(has, share, 0.0), np.where(has, self._known(found, best), 0.0) if share_known else None
+
+    def _known(self, found: list[tuple[np.ndarray, np.ndarray]], best: np.ndarray) -> np.ndarray:
+        every, known = np.zeros(len(best)), np.zeros(len(best))
+        for bucket, off in found:
+            every += np.diff(off)
+            # text by text: an index for all n-grams at once would be as large as the buckets
+            known += [np.count_nonzero(self.seen[b][bucket[lo:hi]]) for b, lo, hi in zip(best, off[:-1], off[1:], strict=True)]
+        return known / np.maximum(every, 1)
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -111,7 +121,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
+        return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, BUCKETS), bool))
     langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_lang / sizes[lang]))])
     picked = sample_fraction(rows, share[F.col("lang")], salt=6)
@@ -122,11 +132,11 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
         ids = counts["lang"].dictionary_encode().combine_chunks().indices.to_numpy()
         matrix[counts["bucket"].to_numpy(), np.array(at)[ids]] += counts["n"].to_numpy()
     prior = np.array([sizes[x] for x in langs], float)
-    return Model(langs, np.log(prior / prior.sum()), np.log(matrix / matrix.sum(0)).astype(np.float32))
+    return Model(langs, np.log(prior / prior.sum()), np.log(matrix / matrix.sum(0)).astype(np.float32), np.ascontiguousarray((matrix > SMOOTHING).T))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and lang_pred, score; ``text`` must be one of ``docs``' columns."""
+def identify(docs: DataFrame, model: Model, keep: list[str], share_known: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and _lang_pred, _lang_score, if asked _lang_known; ``text`` must be one of ``docs``' columns."""
     worker_imports(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -134,13 +144,18 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     rows = docs.select(*keep, *(["text"] if own else []))
     at = rows.columns.index("text")
 
+    # with other columns beside the text, and stages to follow in the same workers, smaller slices keep memory low
+    room = (1 << 19) if share_known else (2 << 20)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at, 2 << 20):
-            langs, score = shared.value.predict(batch.column(at))
+        for batch in slices(batches, at, room):
+            langs, *scores = shared.value.predict(batch.column(at), share_known)
             kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(score)], [*keep, "_lang_pred", "_lang_score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), *(pa.array(s) for s in scores if s is not None)], schema.names)
 
     schema = docs.select(*keep).schema.add("_lang_pred", "string").add("_lang_score", "double")
+    if share_known:
+        schema = schema.add("_lang_known", "double")
     return rows.mapInArrow(run, schema)
 
 

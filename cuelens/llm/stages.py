@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from cuelens.llm import bpe, decontaminate, langid, neardup, substring
 
-#: A predicted language below this probability rejects a document.
-LEAST_SCORE = 0.5
+#: A predicted language below this probability rejects a document, and so does a smaller share of n-grams seen in it.
+LEAST_SCORE, LEAST_KNOWN = 0.5, 0.8
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or whose language is less likely than not, go; null text goes."""
+    """Language ID: documents without a letter or in none of the learned languages go; null text goes.
+
+    The probability compares the learned languages with each other only and is near 1 for almost every text.
+    A text in another language is told by its n-grams: more than a fifth of them were never seen in the
+    predicted one. Languages near a learned one pass. Where no row is labelled no language is learned, and
+    only null and letterless texts go.
+    """
     model = langid.fit(docs)
     if not model.langs:
-        return docs
-    found = langid.identify(docs, model, docs.columns)
-    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).drop("_lang_pred", "_lang_score")
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs, model, docs.columns, share_known=True)
+    sure = (F.col("_lang_score") >= LEAST_SCORE) & (F.col("_lang_known") >= LEAST_KNOWN)
+    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & sure).drop("_lang_pred", "_lang_score", "_lang_known")
 
 
 def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

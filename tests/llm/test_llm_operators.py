@@ -225,6 +225,21 @@ def test_language_id(spark, docs, rows, empty):
     assert langid.language_digest(empty).count() == 0
 
 
+def test_language_stage_drops_other_languages(spark):
+    from cuelens.llm import stages
+
+    rng = random.Random(8)
+    en, de = "the of and that with this from have people nation market".split(), "der die und nicht eine mit auf wird volk markt".split()
+    many = [(i, " ".join(rng.choice(en if i % 2 else de) for _ in range(40)), "en" if i % 2 else "de") for i in range(60)]
+    new = [(100, " ".join(rng.choice(en) for _ in range(40)), None), (101, "a", None), (102, "the", None)]
+    odd = [(200, "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι", None), (201, "人人生而自由，在尊严和权利上一律平等。", None), (202, "xqzj vkqp jxwz qqzk vjxq", None), (203, "12 ..", None), (204, None, "en")]
+    df = spark.createDataFrame(many + new + odd, "doc_id long, text string, lang string")
+    out = stages.drop_unknown_language(spark, df, "")
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {*range(60), 100, 101, 102}
+    bare = stages.drop_unknown_language(spark, df.withColumn("lang", F.lit(None).cast("string")), "")
+    assert {r.doc_id for r in bare.collect()} == {*range(60), 100, 101, 102, 200, 201, 202}
+
+
 def test_warc(spark, empty):
     from cuelens.llm import warc
 
