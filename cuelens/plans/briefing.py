@@ -1,4 +1,4 @@
-"""Mandarin briefings from inline rows: the whole chain with the Mandarin pack."""
+"""Mandarin briefings from inline rows: the whole chain with the Mandarin pack. No query here reads a table."""
 
 from __future__ import annotations
 
