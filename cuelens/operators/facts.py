@@ -1,4 +1,4 @@
-"""Typed facts of Mandarin texts: actors, instruments, deadlines, money, quantities, prohibitions, subjects.
+"""Typed facts of Mandarin texts: actors, instruments, deadlines, money, prohibitions, subjects.
 
 Candidates are claimed longest first, so a fact never overlaps a better one of its kind. Offsets count
 code points. Word lists are columns of a fact pack.
