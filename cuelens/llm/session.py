@@ -25,9 +25,14 @@ def worker_imports(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; one of our own where that is unset and all run on this machine.
+
+    On a cluster without the setting it raises: a folder of one machine would lose or split what executors write.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         found = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="cuelens-"))
     return found.rstrip("/")
@@ -44,7 +49,41 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.scratch = path
+    return stored
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete tables of ``store`` that nothing will read again."""
+    for df in stored:
+        path = df.__dict__.get("scratch")
+        if path:
+            drop_scratch(df.sparkSession, path)
+            _written[:] = [(s, p) for s, p in _written if p != path]
+
+
+#: Plan nodes that give the same rows in the same order each time a task is run.
+_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "Relation", "Range", "SubqueryAlias", "Union", "LogicalRDD"}
+
+
+def _nodes(plan) -> list:
+    children = plan.children()
+    found = [plan]
+    for i in range(children.size()):
+        found += _nodes(children.apply(i))
+    return found
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df``, written and read again unless it reads files or given rows alone.
+
+    Behind a shuffle a task that is run again can meet its rows in another order; operators that name rows by their place need one order.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.deterministic() and all(n.nodeName().split(" ")[0] in _STEADY for n in _nodes(plan)):
+        return df
+    return store(df, "steady")
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
@@ -59,7 +98,7 @@ def _clean() -> None:
             if spark.sparkContext._jsc is not None:
                 drop_scratch(spark, path)
         except Exception:  # the session is gone; its folder goes with the cluster's own clean-up
-            return
+            continue
 
 
 #: Beyond this an estimate is Spark's word for not knowing.
@@ -76,6 +115,11 @@ def input_bytes(df: DataFrame) -> int:
     return int(row[0] or 0)
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 1, most: int = 200_000) -> int:
-    """How many groups of about ``bytes_each`` of stored input; grows with the input."""
-    return int(max(least, min(most, -(-input_bytes(df) // bytes_each))))
+def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
+    """How many groups of about ``bytes_each`` of stored input; grows with the input, without a bound."""
+    return int(max(least, -(-input_bytes(df) // bytes_each)))
+
+
+def grown(df: DataFrame, least: int, most: int, at_least_at: int = 4096) -> int:
+    """A group's bytes: ``least`` up to ``at_least_at`` groups, then larger ones up to ``most``, so that what passes between groups stays large."""
+    return int(min(most, max(least, input_bytes(df) // at_least_at)))

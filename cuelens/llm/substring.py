@@ -1,17 +1,23 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Every window of ``width`` words is hashed (64 bits). A map task first settles what repeats
-within its own batch and then sends one record for each distinct hash to the hash's bucket,
-so a passage that a third of all rows share costs one record a batch, not one a row. A bucket
-counts its hashes and sends the places of repeated ones back to their batch, where they merge
-into maximal removal intervals. Buckets follow the size of the input.
+Every window of ``width`` words has two independent Rabin-Karp hashes: one names its bucket, the other, of 64 bits,
+the window there. A map task first settles what repeats within its own batch and then sends one hash for each
+distinct window to the window's bucket, so a passage that a third of all rows share costs one hash a batch, not one
+a row. What a batch sends to a bucket is one record, and only buckets that get something have one: records are
+never more than windows. A bucket counts its hashes and sends the places of repeated ones back to their batch,
+where they merge into maximal removal intervals. Buckets follow the size of the input in number, and up to
+``MOST_BUCKET_BYTES`` in size. Documents that lose nothing are not shuffled while a bit set of bounded size can
+tell them (``bits``).
 
-Two different windows are taken for one when their 64-bit hashes agree, which for n windows
-happens to about n*n / 2**65 pairs.
+Two different windows are taken for one when both hashes agree. With n windows and b a bucket that happens to
+about n*b / 2**65 pairs: a few in 10**13 windows.
+
+Batches are named by partition and position, so ``docs`` that Spark may deliver in another order when a task is run
+again are stored first (``steady``).
 
 Defined cases: a null text has no words; texts of fewer than ``width`` words lose nothing;
 rows that repeat (the same id and text) are separate documents, so they remove each other; a
-null doc_id is an id like any other; an empty table gives no rows; other columns are kept by
+null doc_id is an id like any other; an empty table gives no rows; other columns, of any name, are kept by
 ``dedup_substrings`` and ignored by ``substring_digest``.
 """
 
@@ -27,35 +33,52 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelens.llm.session import parts_for, worker_imports
+from cuelens.llm.bits import bit_table, split
+from cuelens.llm.session import grown, parts_for, steady, store, worker_imports
 from cuelens.llm.textkit import Texts, Words, slices, windows
 
 WIDTH = 35
-#: Stored input for one bucket: about a million windows.
-BUCKET_BYTES = 4 << 20
+#: Stored input for one bucket, about a million windows, and at most; a map batch is twice as large, raw.
+BUCKET_BYTES, MOST_BUCKET_BYTES = 4 << 20, 16 << 20
+#: A record with fewer windows is not compressed.
+FEW = 64
 
 _SENT = "batch string, bucket int, places binary, hashes binary, settled binary, keys binary, marked binary"
 
 
 def _pack(sorted_places: np.ndarray) -> bytes:
-    """Ascending word positions as differences, byte planes apart, compressed."""
+    """Ascending word positions: few of them plain, many as differences, byte planes apart, compressed; the first byte tells."""
+    if len(sorted_places) < FEW:
+        return b"\0" + sorted_places.astype("<u4").tobytes()
     steps = np.diff(sorted_places, prepend=0).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    if data[0] == 0:
+        return np.frombuffer(data, "<u4", offset=1).astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
     return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64))
 
 
-def _send(width: int, buckets: int):
+def _runs(home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of buckets: the order that brings equal ones together, the buckets that occur, and each one's start in that order, ended by the length."""
+    order = np.argsort(home, kind="stable")
+    ordered = home[order]
+    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(home) else np.zeros(1, np.int64)
+    return order, ordered[edge[:-1]], edge
+
+
+def _send(width: int, buckets: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches, "text")):
+        for k, batch in enumerate(slices(batches, "text", batch_bytes)):
             words = Texts(batch.column("text")).words()
-            hashes, at = windows(words, words.hashes(), width)
+            of_words = words.hashes()
+            hashes, at = windows(words, of_words, width)
+            where = (windows(words, of_words, width, family=1)[0] >> np.uint64(33)) % np.uint64(buckets)
             order = np.argsort(hashes, kind="stable")
             ordered = hashes[order]
             again = np.zeros(len(ordered), bool)
@@ -63,17 +86,15 @@ def _send(width: int, buckets: int):
             repeats = again.copy()
             repeats[:-1] |= again[1:]
             marked = np.sort(at[order[repeats]])
-            settled = ordered[repeats & ~again]
+            known = order[repeats & ~again]
             single = np.sort(order[~repeats])
-            alone, place = hashes[single], at[single]
-            home, own = (((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32) for h in (alone, settled))
-            by, by_own = np.argsort(home, kind="stable"), np.argsort(own, kind="stable")
-            edge, edge_own = (np.searchsorted(x, np.arange(buckets + 1)) for x in (home[by], own[by_own]))
             name, rows = f"{part}-{k}", {c: [] for c in ("bucket", "places", "hashes", "settled", "keys", "marked")}
-            for b in range(buckets):
-                mine, known = by[edge[b] : edge[b + 1]], by_own[edge_own[b] : edge_own[b + 1]]
-                if len(mine) or len(known):
-                    for c, v in zip(rows, (b, _pack(place[mine]), alone[mine].tobytes(), settled[known].tobytes(), None, None), strict=True):
+            for chosen, settled in ((single, False), (known, True)):
+                by, of, edge = _runs(where[chosen])
+                mine, places = hashes[chosen][by], at[chosen][by]
+                for b, lo, hi in zip(of.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    sent = mine[lo:hi].tobytes()
+                    for c, v in zip(rows, (b, None, None, sent, None, None) if settled else (b, _pack(places[lo:hi]), sent, None, None, None), strict=True):
                         rows[c].append(v)
             keys = pa.table({"first": words.first[:-1], "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash")})
             sink = pa.BufferOutputStream()
@@ -96,10 +117,10 @@ def _count(table: pa.Table) -> pa.Table:
     sent = table.filter(pc.is_null(table["keys"]))
     found: dict[str, bytes] = {}
     if sent.num_rows:
-        names = sent["batch"].to_pylist()
-        places = [_unpack(x.as_py()) for x in sent["places"]]
-        alone = [np.frombuffer(x.as_buffer(), "<u8") for x in sent["hashes"]]
-        settled = [np.frombuffer(x.as_buffer(), "<u8") for x in sent["settled"]]
+        single = sent.filter(pc.is_valid(sent["places"]))
+        names = single["batch"].to_pylist()
+        alone = [np.frombuffer(x.as_buffer(), "<u8") for x in single["hashes"]]
+        settled = [np.frombuffer(x.as_buffer(), "<u8") for x in sent.filter(pc.is_valid(sent["settled"]))["settled"]]
         edge = np.cumsum([0, *map(len, alone)])
         every = np.concatenate([*alone, *settled])
         order = np.argsort(every, kind="stable")
@@ -110,7 +131,7 @@ def _count(table: pa.Table) -> pa.Table:
         hit[order[:-1][same]] = True
         for i, name in enumerate(names):
             if (mine := hit[edge[i] : edge[i + 1]]).any():
-                found[name] = _pack(places[i][mine])
+                found[name] = _pack(_unpack(single["places"][i].as_py())[mine])
     return pa.table(
         {
             "batch": pa.array([*passed["batch"].to_pylist(), *found], pa.string()),
@@ -156,8 +177,9 @@ def removal_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ``spans`` is little-endian int64 pairs of word positions, start and end, ascending and apart.
     """
     worker_imports(docs.sparkSession)
-    buckets = parts_for(docs, BUCKET_BYTES, least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
-    sent = _keyed(docs).mapInArrow(_send(width, buckets), _SENT)
+    each = grown(docs, BUCKET_BYTES, MOST_BUCKET_BYTES)
+    buckets = parts_for(docs, each, least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
+    sent = _keyed(steady(docs)).mapInArrow(_send(width, buckets, 2 * each), _SENT)
     counted = sent.groupBy("bucket").applyInArrow(_count, "batch string, keys binary, marked binary")
     merged = counted.groupBy("batch").applyInArrow(_merge(width), "doc_id long, text_hash long, spans binary")
     return merged.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))  # repeated rows have the same spans
@@ -201,25 +223,36 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    spans = removal_spans(docs, width).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    rows = _keyed(docs)
-    joined = rows.join(spans, rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_hash == F.col("_hash")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    spans, may, whole = _split(_keyed(docs), F.col("doc_id"), F.col("text_hash"), docs, width)
+    joined = may.join(spans, F.col("doc_id").eqNullSafe(F.col("_cut_id")) & (F.col("text_hash") == F.col("_cut_hash")), "left")
+    rows = joined.select("doc_id", "text", F.col("_cut_spans").alias("spans")).unionByName(whole.select("doc_id", "text", F.lit(None).cast("binary").alias("spans")))
+    return rows.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        spans = batch.column("_cut_spans").to_pylist()
-        _, data, off = kept_words(Texts(batch.column("text")).words(), spans)
-        whole = data.tobytes()
-        texts = [whole[off[i] : off[i + 1]].decode() if x else t for i, (x, t) in enumerate(zip(spans, batch.column("text").to_pylist(), strict=True))]
-        at = batch.schema.get_field_index("text")
-        yield batch.drop_columns(["_cut_spans"]).set_column(at, "text", pa.array(texts, pa.string()))
+def _split(rows: DataFrame, doc_id, text_hash, docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored removal intervals (_cut_id, _cut_hash, _cut_spans), the ``rows`` that may have some, and those that have none."""
+    spans = store(removal_spans(docs, width).select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("spans").alias("_cut_spans")), "spans")
+    return spans, *split(rows, F.xxhash64(doc_id, text_hash), bit_table(F.xxhash64("_cut_id", "_cut_hash"), spans))
+
+
+def _rewrite(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their removal intervals in the last column; names do not matter."""
+        for batch in slices(batches, at):
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            _, data, off = kept_words(Texts(batch.column(at)).words(), spans)
+            whole = data.tobytes()
+            texts = [whole[off[i] : off[i + 1]].decode() if x else t for i, (x, t) in enumerate(zip(spans, batch.column(at).to_pylist(), strict=True))]
+            columns = batch.columns[:-1]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with repeated windows cut from ``text``; a text that loses words is its kept words joined by one space."""
-    spans = removal_spans(docs, width).select(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"), F.col("spans").alias("_cut_spans"))
-    cut = docs["doc_id"].cast("long").eqNullSafe(spans["_cut_id"]) & (F.xxhash64(docs["text"]) == spans["_cut_hash"])
-    joined = docs.join(spans, cut, "left").select(docs["*"], spans["_cut_spans"])
-    return joined.mapInArrow(_rewrite, docs.schema)
+    spans, may, whole = _split(docs, F.col("doc_id").cast("long"), F.xxhash64("text"), docs, width)
+    packed = may.select(F.struct("*").alias("_doc"), F.col("doc_id").cast("long").alias("_own_id"), F.xxhash64("text").alias("_own_hash"))
+    joined = packed.join(spans, F.col("_own_id").eqNullSafe(F.col("_cut_id")) & (F.col("_own_hash") == F.col("_cut_hash")), "left").select("_doc.*", "_cut_spans")
+    return joined.mapInArrow(_rewrite(docs.columns.index("text")), docs.schema).unionByName(whole)

@@ -108,24 +108,25 @@ def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
         at, left = at[more] + 8, left[more] - 8
 
 
-_POWER = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_power_table = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASES = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)  # odd, so they have inverses modulo 2**64
+_power_table: dict[int, list[np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power_table[0]) < n:
-        inverse = pow(_POWER, -1, 1 << 64)
-        for k, base in enumerate((_POWER, inverse)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _power_table[k] = np.cumprod(table, dtype=np.uint64)
-    return _power_table[0][:n], _power_table[1][:n]
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    table = _power_table.setdefault(base, [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    if len(table[0]) < n:
+        for k, factor in enumerate((base, pow(base, -1, 1 << 64))):
+            grown = np.full(n, factor, np.uint64)
+            grown[0] = 1
+            table[k] = np.cumprod(grown, dtype=np.uint64)
+    return table[0][:n], table[1][:n]
 
 
-def windows(words: Words, hashes: np.ndarray, width: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def windows(words: Words, hashes: np.ndarray, width: int, block: int = 1 << 18, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of all ``width``-word windows within a text, and the word index where each starts.
 
-    Blocks overlap by ``width - 1`` words, so the power tables stay small for texts of any length.
+    Blocks overlap by ``width - 1`` words, so the power tables stay small for texts of any length. ``family`` picks
+    one of two bases: their hashes of a window are independent, given those of its words.
     """
     n = len(hashes)
     if n < width:
@@ -140,7 +141,7 @@ def windows(words: Words, hashes: np.ndarray, width: int, block: int = 1 << 18)
     for lo in range(0, n - width + 1, block):
         hi = min(lo + block, n - width + 1)
         m = hi - lo + width
-        up, down = _powers(m)
+        up, down = _powers(m, _BASES[family])
         total = np.zeros(m, np.uint64)
         np.cumsum(hashes[lo : hi + width - 1] * down[: m - 1], out=total[1:])
         out[lo:hi] = (total[width:] - total[: hi - lo]) * up[: hi - lo]
