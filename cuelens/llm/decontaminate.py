@@ -2,10 +2,17 @@
 
 Words are runs of ASCII digits and letters (A-Z lower-cased) and all characters beyond ASCII. A
 window is 13 consecutive words of a benchmark item; an item of fewer words is one window. Each
-document's windows are tested against a fixed-size bit set of the windows' first, middle and last
-word, inside the row; the few that pass are joined by their whole text with the table of windows,
-which verifies them and names the items. That table is broadcast while it is smaller than
-``BROADCAST_WINDOWS`` and shuffled beyond. Only documents' ids, counts and hits are shuffled.
+document's windows are tested against a bit set of the windows' first, middle and last word, inside the row;
+the few that pass are joined by their whole text with the table of windows, which verifies them and names the
+items. The set has 32 bits and two probes for each window up to ``MOST_BITS`` (two million windows, one place in
+270 passes by chance); with more windows more places pass and are verified. The table of windows is broadcast
+while it has ``BROADCAST_BYTES`` at most. Beyond, it is shuffled, and each window goes to ``SALTS`` tasks, over
+which the documents that hold it are dealt, so that a passage of a third of all documents is no one task's. Only
+documents' ids, counts and hits are shuffled; ``remove`` shuffles only documents that a bit set of bounded size
+cannot tell from contaminated ones.
+
+Rows are named by their place while their hits are gathered, so ``docs`` that Spark may deliver in another order when a
+task is run again are stored first (``steady``).
 
 Defined cases: a null text has no words, is not hit and not contaminated; rows that repeat are judged
 one by one; a null item text has no windows; an item with a null id marks words but is not listed or
@@ -19,11 +26,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuelens.llm.bits import bit_table, split
+from cuelens.llm.session import steady, store
+
 WIDTH = 13
-#: Windows in the broadcast table at most: about 200 bytes each.
-BROADCAST_WINDOWS = 200_000
-#: Bits of the set: 32 for each window within these bounds.
-LEAST_BITS, MOST_BITS = 1 << 12, 1 << 20
+#: Bytes of windows and item ids in the broadcast table at most.
+BROADCAST_BYTES = 64 << 20
+SALTS = 16
+#: Bits of the set: 32 for each window within these bounds. It is a literal of the plan, 8 MB at most.
+LEAST_BITS, MOST_BITS = 1 << 12, 1 << 26
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,25 +60,26 @@ def _key(size: int, at) -> str:
     return f"xxhash64({size}, get(h, {at}), get(h, {at} + {(size - 1) // 2}), get(h, {at} + {size - 1}))"
 
 
-def _bit_set(windows: DataFrame) -> tuple[dict[int, str], int]:
-    """For each window size the SQL of an array<bigint> with the bits of its windows' keys; and the number of bits."""
+def _probes(key: str, bits: int) -> list[str]:
+    """SQL of the two places of a key in the set."""
+    return [f"pmod({key}, {bits}L)", f"pmod(shiftrightunsigned({key}, 27), {bits}L)"]
+
+
+def _bit_set(windows: DataFrame) -> tuple[list[int], str, int]:
+    """The window sizes that occur, the SQL of an array<bigint> with the bits of all windows' keys, and the number of bits."""
     h = windows.select("size", F.transform(F.split("gram", " "), lambda x: F.xxhash64(x)).alias("h"))
-    sizes = sorted(r["size"] for r in h.select("size").distinct().collect())
-    rows = windows.count()
+    counts = {r["size"]: r["count"] for r in h.groupBy("size").count().collect()}
     bits = LEAST_BITS
-    while bits < min(MOST_BITS, 32 * rows):
+    while bits < min(MOST_BITS, 32 * sum(counts.values())):
         bits *= 2
-    found = {}
-    for size in sizes:
-        place = F.expr(f"pmod({_key(size, 0)}, {bits}L)")
-        words = h.where(F.col("size") == size).select(place.alias("b")).distinct()
+    table = np.zeros(bits // 64, np.int64)
+    for size in counts:
+        places = F.explode(F.array(*map(F.expr, _probes(_key(size, 0), bits)))).alias("b")
         # at most `bits` / 64 numbers come back, whatever the size of the benchmark
-        packed = words.groupBy(F.shiftright("b", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect()
-        table = np.zeros(bits // 64, np.int64)
-        for r in packed:
-            table[r["i"]] = r["v"]
-        found[size] = f"cast(split('{','.join(map(str, table.tolist()))}', ',') as array<bigint>)"
-    return found, bits
+        words = h.where(F.col("size") == size).select(places).groupBy(F.shiftright("b", 6).alias("i"))
+        for r in words.agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).collect():
+            table[r["i"]] |= np.int64(r["v"])
+    return sorted(counts), f"cast(split('{','.join(map(str, table.tolist()))}', ',') as array<bigint>)", bits
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -75,28 +87,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
 
     ``items`` are the sorted ids, ``spans`` the maximal hit runs as (start, end) word positions from 0.
     """
-    windows = benchmark_windows(benchmark, width)
-    sets, bits = _bit_set(windows)
-    rows = docs.select("doc_id", F.struct(F.monotonically_increasing_id().alias("at"), F.xxhash64("text").alias("hash")).alias("row"), words_of(F.col("text")).alias("w"))
+    windows = store(benchmark_windows(benchmark, width), "windows")
+    sizes, bit_set, bits = _bit_set(windows)
+    rows = steady(docs.select("doc_id", "text")).select("doc_id", F.struct(F.monotonically_increasing_id().alias("at"), F.xxhash64("text").alias("hash")).alias("row"), words_of(F.col("text")).alias("w"))
     rows = rows.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    for size, bit_set in sets.items():
+    test = "(shiftright(get(bits, cast(shiftright({0}, 6) as int)), cast({0} & 63L as int)) & 1L) = 1L"
+    passed = []
+    for size in sizes:
         keys = f"if(size(h) < {size}, cast(array() as array<bigint>), transform(sequence(0, size(h) - {size}), i -> {_key(size, 'i')}))"
         rows = rows.withColumn(f"k{size}", F.expr(keys))
-        passed = f"(shiftright(get({bit_set}, cast(shiftright(pmod(get(k{size}, i), {bits}L), 6) as int)), cast(pmod(get(k{size}, i), 64L) as int)) & 1L) = 1L"
-        at = f"filter(if(size(k{size}) = 0, cast(array() as array<int>), sequence(0, size(k{size}) - 1)), i -> {passed})"
-        rows = rows.withColumn(f"c{size}", F.expr(at)).drop(f"k{size}")
+        both = " and ".join(test.format(p) for p in _probes(f"get(k{size}, i)", bits))
+        passed.append(f"filter(if(size(k{size}) = 0, cast(array() as array<int>), sequence(0, size(k{size}) - 1)), i -> {both})")
+    if sizes:
+        rows = rows.withColumn("c", F.expr(f"transform(array({bit_set}), bits -> array({', '.join(passed)}))[0]"))
 
-    def with_text(size: int) -> Column:
-        return F.transform(f"c{size}", lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("w", i + 1, size), " ").alias("gram")))
+    def with_text(k: int, size: int) -> Column:
+        return F.transform(F.get("c", F.lit(k)), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("w", i + 1, size), " ").alias("gram")))
 
     kind = "array<struct<at:int,size:int,gram:string>>"
-    found = F.concat(*[with_text(size).cast(kind) for size in sets]) if sets else F.array().cast(kind)
+    found = F.concat(*[with_text(k, size).cast(kind) for k, size in enumerate(sizes)]) if sizes else F.array().cast(kind)
     thin = rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), found.alias("found"))
     thin = thin.select("doc_id", "row", "n_words", F.explode_outer("found").alias("c")).select("doc_id", "row", "n_words", "c.at", "c.size", "c.gram")
-    if windows.count() <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
     known = windows.select(F.col("gram").alias("g"), F.col("size").alias("s"), "items")
-    matched = thin.join(known, (F.col("gram") == F.col("g")) & (F.col("size") == F.col("s")), "left")
+    same = (F.col("gram") == F.col("g")) & (F.col("size") == F.col("s"))
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    held = windows.select(F.sum(F.octet_length("gram") + ids + 64).alias("n")).first()["n"] or 0
+    if held <= BROADCAST_BYTES:
+        matched = thin.join(F.broadcast(known), same, "left")
+    else:
+        salted = thin.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+        dealt = known.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        matched = salted.join(dealt, same & (F.col("salt") == F.col("of")), "left")
     span = F.when(F.col("g").isNotNull(), F.struct("at", (F.col("at") + F.col("size")).alias("end")))
     by_doc = matched.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set(span)).alias("at"), F.flatten(F.collect_set("items")).alias("items"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
@@ -132,6 +153,8 @@ def decontamination_digest(docs: DataFrame, benchmark: DataFrame, width: int = W
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without contaminated documents; the others are untouched."""
-    bad = hits(docs, benchmark, width).where("contaminated").groupBy("doc_id", "text_hash").agg(F.lit(1).alias("one")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"))
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    return packed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")
+    found = hits(docs, benchmark, width).where("contaminated").groupBy("doc_id", "text_hash").agg(F.lit(1).alias("one"))
+    bad = store(found.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")), "contaminated")
+    may, clean = split(docs, F.xxhash64("doc_id", F.xxhash64("text")), bit_table(F.xxhash64("bad_id", "bad_hash"), bad))
+    packed = may.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    return packed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*").unionByName(clean)
