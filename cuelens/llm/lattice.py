@@ -5,6 +5,9 @@ so each word has a segmentation. A word is written with a space before it, and n
 space elsewhere, so the segmentations of a text are those of its words apart. Words are handled as
 byte matrices: from each start the pieces' trie is walked for all words at once, and the forward
 recursion adds in log space.
+
+Defined cases: an empty word is the space before it; words of any length and any bytes have a probability above 0;
+words may repeat; no words give no numbers.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ weight of the segmentations (interpolation; the discount is n1 / (n1 + 2 n2), of
 twice). So the probabilities of all words sum to 1 at most.
 
 Every batch of documents (a block) sends its
-distinct words once, packed by hash bucket; buckets add up the training counts of all distinct words.
+distinct words once, packed by hash bucket, one record for each bucket that gets a word; buckets add up the training counts of all distinct words.
 From these counts the pieces' probabilities are re-estimated (expectation maximisation over all
 segmentations of all distinct training words), each distinct word is scored once, and the scores go back to
 the blocks, where documents add up their tokens. No text is shuffled, a frequent word is one entry a
@@ -31,12 +31,11 @@ from pyspark.sql import functions as F
 
 from cuelens.llm.lattice import Lattice, load_pieces
 from cuelens.llm.rows import bucket_of_id
-from cuelens.llm.session import parts_for, store, worker_imports
+from cuelens.llm.session import grown, parts_for, store, worker_imports
 from cuelens.llm.textkit import Texts, hash_spans, slices
 
-#: Raw text of one block, and stored input for one bucket.
-BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 8 << 20
+#: Stored input for one bucket, and at most; a block has twice as much raw text.
+BUCKET_BYTES, MOST_BUCKET_BYTES = 8 << 20, 32 << 20
 EM_ROUNDS = 2
 SMOOTHING = 0.01
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -57,7 +56,7 @@ def _open(data: bytes) -> bytes:
 
 def _planes(x: np.ndarray) -> bytes:
     """An integer array with its byte planes apart, compressed."""
-    return _squeeze(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
+    return _squeeze(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
 
 
 def _unplanes(data: bytes, kind: str) -> np.ndarray:
@@ -78,12 +77,12 @@ def _home(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _send(buckets: int):
+def _send(buckets: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches, "text", BLOCK_BYTES)):
+        for k, batch in enumerate(slices(batches, "text", block_bytes)):
             texts = Texts(batch.column("text"))
             texts.buf = _LOWER[texts.buf]
             words = texts.words(_GAP)
@@ -93,14 +92,13 @@ def _send(buckets: int):
             counts = np.bincount(token, trains[words.owner()], len(names)).astype("<u4")
             start, end = words.start[sample].tolist(), words.end[sample].tolist()
             raw = texts.buf.tobytes()
-            edge = np.searchsorted(_home(names, buckets), np.arange(buckets + 1)).tolist()
+            home = _home(names, buckets)
+            edge = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])).tolist() if len(home) else [0]
             rows: dict[str, list] = {c: [] for c in ("bucket", "first", "words", "counts", "docs", "tokens")}
-            for b in range(buckets):
-                lo, hi = edge[b], edge[b + 1]
-                if hi > lo:
-                    packed = b"".join([raw[s:e] + b"\n" for s, e in zip(start[lo:hi], end[lo:hi], strict=True)])
-                    for c, v in zip(rows, (b, lo, _squeeze(packed), _planes(counts[lo:hi]), None, None), strict=True):
-                        rows[c].append(v)
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                packed = b"".join([raw[s:e] + b"\n" for s, e in zip(start[lo:hi], end[lo:hi], strict=True)])
+                for c, v in zip(rows, (int(home[lo]), lo, _squeeze(packed), _planes(counts[lo:hi]), None, None), strict=True):
+                    rows[c].append(v)
             docs = pa.table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n": pa.array(words.count)})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -224,8 +222,9 @@ def lm_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         path = public_tokenizers.path("piece_bpe_32k.model")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", (bucket_of_id(F.col("doc_id"), 10) == 0).alias("held_out"))
-    buckets = parts_for(docs, BUCKET_BYTES, least=2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = store(rows.mapInArrow(_send(buckets), _SENT), "lm-sent")
+    each = grown(docs, BUCKET_BYTES, MOST_BUCKET_BYTES)
+    buckets = parts_for(docs, each, least=2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sent = store(rows.mapInArrow(_send(buckets, 2 * each), _SENT), "lm-sent")
     ups = sent.where("bucket >= 0").select("block", "bucket", "first", "words", "counts")
     words = store(ups.groupBy("bucket").applyInArrow(_distinct, "bucket int, words binary, counts binary, n long, v long, n1 long, n2 long"), "lm-words")
     found = [x or 0 for x in words.agg(*map(F.sum, ("n", "v", "n1", "n2"))).first()]
