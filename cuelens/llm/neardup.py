@@ -4,11 +4,18 @@ A document's set is its distinct runs of five words; a text of one to four words
 that are equal become one node first, so copies are never paired. ``BANDS`` bands of ``ROWS`` minima
 find two sets of Jaccard similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.99998.
 Nodes are shuffled on band hashes and tied to the smallest of their bucket; the components of these
-ties hold every candidate pair. Within a component all pairs of compatible size are verified once,
-large components in pairs of blocks, and only counts and spanning edges leave a task, never pairs.
-Components of the verified edges are the classes.
+ties hold every candidate pair. A small component's pairs are all verified in one task. In a larger one that is
+tight, where most pairs are candidates, all pairs of compatible size meet once, in pairs of blocks. In a larger
+one that is loose, a chain of texts each like the next, only pairs that share a bucket meet: buckets are tasks,
+large ones in pairs of blocks, and a pair is judged in the first band it shares. Which of the two a component gets
+is the one with fewer pairs. Only counts and spanning edges leave a task, never pairs. Components of the verified
+edges are the classes.
 
-A node is named by 64 bits of hash of its set; n nodes share a name by chance in about n*n / 2**65 pairs.
+Texts of candidates alone are shuffled, while a bit set of bounded size can tell them (``bits``); ``keep_first``
+shuffles only rows that go or repeat.
+
+A node is named by 64 bits of hash of its set; n nodes share a name by chance in about n*n / 2**65 pairs. Two sets of
+one name would be one node.
 
 Defined cases: a null text has no words; a text without words is a class of its own without links,
 also beside other such texts; rows that repeat (equal id and text) are documents of their own that are
@@ -22,9 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelens.llm.bits import bit_table, split
 from cuelens.llm.components import components
 from cuelens.llm.session import store, worker_imports
 from cuelens.llm.textkit import Texts, mix, slices, windows
@@ -34,6 +42,8 @@ SHINGLE = 5
 BANDS, ROWS = 36, 6
 #: Shingles and nodes of one verification block, and shingles of the small components that share a task.
 BLOCK_SHINGLES, BLOCK_NODES, TASK_SHINGLES = 200_000, 1500, 1_000_000
+#: A component or bucket beyond so many nodes is dealt over several blocks, however small, up to ``SPREAD``.
+FEW_NODES, SPREAD = 400, 8
 #: Sizes of linked sets differ by a factor of 1.25 at most, so by one class of this base at most.
 SIZE_BASE = 1.26
 _MULTIPLIERS = np.random.default_rng(8).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,19 +95,25 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(table: pa.Table) -> pa.Table:
     """Of one task: each node's links to others, by copies, and the smallest node it is connected to here."""
-    frame = {c: table[c].to_numpy(zero_copy_only=False) for c in ("comp", "node", "copies", "side")}
+    frame = {c: table[c].to_numpy(zero_copy_only=False) for c in ("comp", "node", "copies", "side", "band")}
     order = np.lexsort((frame["node"], frame["comp"]))
     comp, node = frame["comp"][order], frame["node"][order]
     fresh = np.ones(len(order), bool)
     fresh[1:] = (comp[1:] != comp[:-1]) | (node[1:] != node[:-1])
     order = order[fresh]
-    comp, node, copies, side = (frame[c][order] for c in ("comp", "node", "copies", "side"))
-    sets, off = shingle_sets(table["text"].combine_chunks().take(pa.array(order)))
+    comp, node, copies, side, band = (frame[c][order] for c in ("comp", "node", "copies", "side", "band"))
+    rows = pa.array(order)
+    sets, off = shingle_sets(table["text"].combine_chunks().take(rows))
+    bands = table["bands"].combine_chunks().take(rows)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     edge = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1], [True]]))
     for lo, hi in zip(edge[:-1], edge[1:], strict=True):
         if hi - lo > 1:
             linked = _linked(sets[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], side[lo:hi])
+            if band[lo] > 0:  # pairs that share an earlier band are judged there
+                own = bands.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)
+                for k in range(band[lo]):
+                    linked &= own[:, k][:, None] != own[:, k][None, :]
             a, b = np.nonzero(linked)
             if len(a):
                 links = linked.astype(np.int64) @ copies[lo:hi]
@@ -147,34 +163,64 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """(node, task, comp, side): every compatible pair of a component meets in one task; ``side`` as in ``_linked``."""
+def _blocks(shingles: Column, nodes: Column) -> Column:
+    """Blocks of a group: as many as its shingles and nodes need, and a few for a group that is merely large."""
+    spread = F.least(F.ceil(nodes / FEW_NODES), F.lit(SPREAD))
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(nodes / BLOCK_NODES), spread).cast("int")
+
+
+def _upto(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _tasks(members: DataFrame, rows: DataFrame, full: DataFrame) -> DataFrame:
+    """(node, task, comp, side, band): every candidate pair meets in one task; ``side`` as in ``_linked``, ``band`` as in ``_verify``.
+
+    ``members`` are the nodes of components, ``rows`` (node, k, band) all nodes' band hashes, ``full`` (b, least, c) the buckets of two or more.
+    """
     stats = members.groupBy("comp", "level").agg(F.sum("n").alias("shingles"), F.count("*").alias("nodes"))
-    whole = stats.groupBy("comp").agg(F.sum("shingles").alias("all_shingles"), F.sum("nodes").alias("all_nodes"))
-    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("nodes") / BLOCK_NODES)).cast("int")
-    small = (F.col("all_shingles") <= BLOCK_SHINGLES) & (F.col("all_nodes") <= BLOCK_NODES)
-    by_comp = store(stats.join(whole, "comp").select("comp", "level", blocks.alias("blocks"), small.alias("small"), "all_shingles"), "blocks")
+    whole = stats.groupBy("comp").agg(F.sum("shingles").alias("all_shingles"), F.sum("nodes").alias("all_nodes"), F.sum(F.col("nodes") * F.col("nodes")).alias("all_pairs"))
+    small = (F.col("all_shingles") <= BLOCK_SHINGLES) & (F.col("all_nodes") <= min(FEW_NODES, BLOCK_NODES))
+    by_comp = store(stats.join(whole, "comp").select("comp", "level", _blocks(F.col("shingles"), F.col("nodes")).alias("blocks"), small.alias("small"), "all_shingles", "all_pairs"), "blocks")
     total = by_comp.where("small").select("comp", "all_shingles").distinct().agg(F.sum("all_shingles")).first()[0] or 0
     shared = max(1, -(-total // TASK_SHINGLES), int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    here = by_comp.where("not small")
-    sizes = here.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("by_level"))
     few = by_comp.where("small").select(F.col("comp").alias("c")).distinct()
-    easy = members.join(few, F.col("comp") == F.col("c")).select("node", F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(shared)).cast("string")).alias("task"), "comp", F.lit(0).alias("side"))
+    easy = members.join(few, F.col("comp") == F.col("c")).select("node", F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(shared)).cast("string")).alias("task"), "comp", F.lit(0).alias("side"), F.lit(0).alias("band"))
+
+    # buckets of the components that are not small, and the pairs in them
+    large = by_comp.where("not small")
+    at = members.select(F.col("node").alias("m"), F.col("comp").alias("bucket_comp"))
+    held = full.join(at, F.col("least") == F.col("m")).join(large.select(F.col("comp").alias("lc"), "all_pairs").distinct(), F.col("bucket_comp") == F.col("lc"))
+    held = store(held.select("b", "c", "bucket_comp", "all_pairs"), "large-buckets")
+    loose = store(held.groupBy("bucket_comp").agg(F.sum(F.col("c") * F.col("c")).alias("bucket_pairs"), F.first("all_pairs").alias("all_pairs")).where("bucket_pairs < all_pairs").select(F.col("bucket_comp").alias("loose")), "loose")
+
+    tight = large.join(loose, F.col("comp") == F.col("loose"), "left_anti")
+    sizes = tight.groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("level", "blocks"))).alias("by_level"))
     wide = members.join(sizes.withColumnRenamed("comp", "c"), F.col("comp") == F.col("c"))
     wide = wide.withColumn("i", F.pmod(F.xxhash64("node"), F.col("by_level")[F.col("level")]).cast("int"))
 
     def name(level, i, other, j):
         return F.concat_ws("-", F.col("comp").cast("string"), level.cast("string"), i.cast("string"), other.cast("string"), j.cast("string"))
 
+    def sided(tasks, i):
+        return F.transform(tasks, lambda j: F.struct(name(level, F.least(i, j), level, F.greatest(i, j)).alias("task"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("side")))
+
     level, i = F.col("level"), F.col("i")
-    none = F.array().cast("array<int>")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none)
     of = lambda k: F.coalesce(F.try_element_at("by_level", k), F.lit(0))
-    same = F.transform(upto(of(level)), lambda j: F.struct(name(level, F.least(i, j), level, F.greatest(i, j)).alias("task"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("side")))
-    up = F.transform(upto(of(level + 1)), lambda j: F.struct(name(level, i, level + 1, j).alias("task"), F.lit(1).alias("side")))
-    down = F.transform(upto(of(level - 1)), lambda j: F.struct(name(level - 1, j, level, i).alias("task"), F.lit(2).alias("side")))
-    hard = wide.select("node", "comp", F.explode(F.concat(same, up, down)).alias("t")).select("node", "t.task", "comp", "t.side")
-    return easy.unionByName(hard)
+    same = sided(_upto(of(level)), i)
+    up = F.transform(_upto(of(level + 1)), lambda j: F.struct(name(level, i, level + 1, j).alias("task"), F.lit(1).alias("side")))
+    down = F.transform(_upto(of(level - 1)), lambda j: F.struct(name(level - 1, j, level, i).alias("task"), F.lit(2).alias("side")))
+    hard = wide.select("node", "comp", F.explode(F.concat(same, up, down)).alias("t")).select("node", "t.task", "comp", "t.side", F.lit(0).alias("band"))
+
+    # a bucket of a loose component is a task, or several where it is large
+    own = held.join(loose, F.col("bucket_comp") == F.col("loose")).select("b", "bucket_comp")
+    inside = rows.join(own, F.col("band") == F.col("b")).join(members.select(F.col("node").alias("m"), "n"), F.col("node") == F.col("m"))
+    inside = store(inside.select("node", "k", "b", "bucket_comp", "n"), "loose-buckets")
+    parts = inside.groupBy("b").agg(_blocks(F.sum("n"), F.count("*")).alias("blocks")).withColumnRenamed("b", "pb")
+    dealt = inside.join(parts, F.col("b") == F.col("pb")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = F.transform(_upto(F.col("blocks")), lambda j: F.struct(F.concat_ws("-", F.lit("b"), F.col("b").cast("string"), F.least(i, j).cast("string"), F.greatest(i, j).cast("string")).alias("task"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("side")))
+    chained = dealt.select("node", F.col("b").alias("comp"), "k", F.explode(met).alias("t")).select("node", "t.task", "comp", "t.side", F.col("k").alias("band"))
+    return easy.unionByName(hard).unionByName(chained)
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -188,16 +234,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     signed = store(keyed.mapInArrow(_sign, "doc_id long, text_hash long, n int, node long, bands array<long>"), "signed")
     sets = signed.where("n > 0")
     nodes = store(sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("of"), F.max("n").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("band"))
-    full = store(rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select(F.col("band").alias("b"), "least"), "full")
+    rows = nodes.select("node", F.posexplode("bands").alias("k", "band"))
+    full = store(rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select(F.col("band").alias("b"), "least", "c"), "full")
     ties = rows.join(full, F.col("band") == F.col("b")).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     found = store(components(ties), "candidates")
-    about = nodes.select(F.col("node").alias("nd"), "n", "copies", "of", F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_BASE))).cast("int").alias("level"))
-    members = store(found.join(about, F.col("node") == F.col("nd")).select("node", F.col("component").alias("comp"), "n", "copies", "of", "level"), "members")
-    tasks = _tasks(members).withColumnRenamed("node", "task_node")
-    # a merge join at every size: the plan, and what it writes, follow the input
-    texts = members.hint("merge").join(keyed, F.col("of.id").eqNullSafe(F.col("doc_id")) & (F.col("of.hash") == F.col("text_hash")))
-    ready = tasks.join(texts.select("node", "copies", "text"), F.col("task_node") == F.col("node")).select("task", "comp", "node", "copies", "side", "text")
+    about = nodes.select(F.col("node").alias("nd"), "n", "copies", "of", F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_BASE))).cast("int").alias("level"), "bands")
+    members = store(found.join(about, F.col("node") == F.col("nd")).select("node", F.col("component").alias("comp"), "n", "copies", "of", "level", "bands"), "members")
+    tasks = _tasks(members, rows, full).withColumnRenamed("node", "task_node")
+    wanted, _ = split(keyed, F.xxhash64("doc_id", "text_hash"), bit_table(F.xxhash64("of.id", "of.hash"), members))
+    texts = members.join(wanted, F.col("of.id").eqNullSafe(F.col("doc_id")) & (F.col("of.hash") == F.col("text_hash")))
+    ready = tasks.join(texts.select("node", "copies", "text", "bands"), F.col("task_node") == F.col("node")).select("task", "comp", "node", "copies", "side", "band", "bands", "text")
     verified = store(ready.groupBy("task").applyInArrow(_verify, "node long, links long, root long"), "verified")
     classes = components(verified.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
@@ -222,11 +268,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Texts without words all stay; of rows that repeat one stays.
     """
-    classes = jaccard_classes(docs)
-    wordless = F.col("n_shingles") == 0
-    first = classes.where(~wordless).groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.text_hash").alias("h"), F.lit(False).alias("alone"))
-    alone = classes.where(wordless).groupBy("doc_id", "text_hash").agg(F.lit(True).alias("alone")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "alone")
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    joined = packed.join(store(first.unionByName(alone), "kept"), F.col("id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")))
+    classes = store(jaccard_classes(docs).select("doc_id", "text_hash", "class").where("class is not null"), "classes")
+    first = classes.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.text_hash").alias("h"))
+    every = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
+    judged = every.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    # rows that go, and rows that repeat: all others stay as they are
+    moot = store(judged.where("h is null or n > 1").select("doc_id", "text_hash", F.col("h").isNotNull().alias("stays")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), "moot")
+    may, rest = split(docs, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), bit_table(F.xxhash64("d", "h"), moot))
+    packed = may.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = packed.join(moot, F.col("id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
     order = Window.partitionBy("id", "hash").orderBy(F.xxhash64("row"))
-    return joined.withColumn("k", F.row_number().over(order)).where("alone or k = 1").select("row.*")
+    kept = joined.withColumn("k", F.when(F.col("stays"), F.row_number().over(order))).where("stays is null or k = 1").select("row.*")
+    return kept.unionByName(rest)
