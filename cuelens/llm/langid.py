@@ -3,9 +3,13 @@
 Counts come from a bounded sample of labelled rows (``PER_LANG`` of each language, chosen by hash),
 summed in Spark; the log-probability matrix is broadcast and batches are scored sparsely in numpy.
 
+Memory follows the languages: the matrix has ``BUCKETS`` times as many numbers, and a batch looks up ``GATHERED``
+of them at once, whatever its texts' lengths.
+
 Defined cases: null or letterless text is ``und`` with score 0; so is every text where no row is
 labelled; a null doc_id counts as held out; rows that repeat are predicted alike; of languages with
-equal probability the first by name wins; columns other than doc_id, text, lang are ignored.
+equal probability the first by name wins; columns other than doc_id, text, lang are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.1
 UNKNOWN = "und"
+#: Log-probabilities looked up at once.
+GATHERED = 1 << 22
 
 
 @cache
@@ -97,10 +103,14 @@ class Model:
         if not self.langs:
             return [UNKNOWN] * texts.n, np.zeros(texts.n), np.zeros(texts.n) if share_known else None
         total = np.tile(self.prior, (texts.n, 1))
+        room = max(1, GATHERED // len(self.langs))
         for bucket, off in found:
-            filled = np.flatnonzero(np.diff(off))
-            if len(filled):
-                total[filled] += np.add.reduceat(self.matrix[bucket], off[filled], axis=0, dtype=np.float64)
+            # a text ends a stretch of n-grams, and so does a look-up that is full
+            cuts = np.union1d(off[:-1][np.diff(off) > 0], np.arange(0, len(bucket), room))
+            owner = np.searchsorted(off, cuts, "right") - 1
+            for lo in range(0, len(bucket), room):
+                here = slice(*np.searchsorted(cuts, (lo, lo + room)))
+                np.add.at(total, owner[here], np.add.reduceat(self.matrix[bucket[lo : lo + room]], cuts[here] - lo, axis=0, dtype=np.float64))
         best = total.argmax(1)
         share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         langs = [self.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
@@ -135,14 +145,18 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     return Model(langs, np.log(prior / prior.sum()), np.log(matrix / matrix.sum(0)).astype(np.float32), np.ascontiguousarray((matrix > SMOOTHING).T))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], share_known: bool = False) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and _lang_pred, _lang_score, if asked _lang_known; ``text`` must be one of ``docs``' columns."""
+def identify(docs: DataFrame, model: Model, keep: list[str], share_known: bool = False, text: str = "text") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and _lang_pred, _lang_score, if asked _lang_known, of its column ``text``.
+
+    Columns of ``keep`` that have one of the three names are replaced.
+    """
+    keep = [c for c in keep if c not in ("_lang_pred", "_lang_score", "_lang_known")]
     worker_imports(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    own = "text" not in keep
-    rows = docs.select(*keep, *(["text"] if own else []))
-    at = rows.columns.index("text")
+    own = text not in keep
+    rows = docs.select(*keep, *([text] if own else []))
+    at = rows.columns.index(text)
 
     # with other columns beside the text, and stages to follow in the same workers, smaller slices keep memory low
     room = (1 << 19) if share_known else (2 << 20)

@@ -1,4 +1,9 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, each one operator over all its input."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame, each one operator over all its input.
+
+Defined cases of all stages: an empty table gives an empty one with the same columns; rows that repeat are rows of
+their own, but for the Jaccard join, of which one of each class stays; a null doc_id is an id like any other; columns
+other than those a stage is for are kept as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -22,9 +27,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     model = langid.fit(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs, model, docs.columns, share_known=True)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns' own names, none clashes
+    found = langid.identify(docs.toDF(*names), model, names, share_known=True, text=names[docs.columns.index("text")])
     sure = (F.col("_lang_score") >= LEAST_SCORE) & (F.col("_lang_known") >= LEAST_KNOWN)
-    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & sure).drop("_lang_pred", "_lang_score", "_lang_known")
+    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & sure).select(*names).toDF(*docs.columns)
 
 
 def keep_one_near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
