@@ -8,8 +8,8 @@ bounded by the split's midpoint.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null label teaches
 nothing, of several labels of a document the largest holds; with no labelled rows of both kinds the
-verdict is the base rule's; rows that repeat are judged alike; columns other than doc_id and text are
-ignored.
+verdict is the base rule's; rows that repeat are judged alike, and of several texts with one id that with the
+smallest hash teaches; columns other than doc_id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -188,6 +188,7 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Trees | None
     known = marks.select("doc_id", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
     chosen = sample_fraction(known, F.lit(min(1.0, sample / max(1, known.count()))), salt=9)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    picked = picked.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = picked.mapInArrow(_features, "label int, x array<double>").toArrow()
     y = got["label"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
@@ -198,8 +199,9 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Trees | None
 
 
 def judge(docs: DataFrame, model: Trees | None, keep: list[str], least: float = 0.5) -> DataFrame:
-    """``keep`` and the base counts, base_failed, score, kept of every row."""
+    """``keep`` and the base counts, base_failed, score, kept of every row; columns of ``keep`` with these names are replaced."""
     worker_imports(docs.sparkSession)
+    keep = [c for c in keep if c not in (*COUNTS, "base_failed", "score", "kept")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,13 +2,13 @@
 
 A sentence's probability is logistic in hashed features, its words and their first four and five bytes; a document's is the
 noisy-or of its sentences'. Weights are trained from document labels on a bounded sample
-(``PER_CLASS`` rows of each label, weighted back to their shares); the sentence scores then
+(``PER_CLASS`` rows of each label, one of each id, weighted back to their shares); the sentence scores then
 locate what offends.
 
 Defined cases: null, empty and wordless texts score as a document without sentences (0);
 a null label teaches nothing, of several labels of a document the largest holds; a null doc_id counts
-as held out; with no labelled rows every score is 0; rows that repeat score alike; columns other than
-doc_id and text are ignored.
+as held out; with no labelled rows every score is 0; rows that repeat score alike, and of several texts with one id
+that with the smallest hash teaches; columns other than doc_id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Model:
         return Model(np.zeros(BUCKETS), -40.0 if 1 not in sizes else 40.0)
     share = {k: min(1.0, per_class / n) for k, n in sizes.items()}
     chosen = sample_fraction(known, F.when(F.col("label") == 1, share[1]).otherwise(share[0]), salt=5)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    picked = picked.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")
     picked = store(picked, "toxicity-sample")
     drawn = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
     found = picked.mapInArrow(_counts, "feature int, often long, bad long").groupBy("feature").agg(F.sum("often").alias("often"), F.sum("bad").alias("bad")).toArrow()
@@ -209,8 +210,12 @@ def _scored(model, keep: list[str], most: float):
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], most: float = 0.5) -> DataFrame:
-    """``keep`` and score, offending: the byte spans of sentences that alone reach ``most``, with their scores."""
+    """``keep`` and score, offending: the byte spans of sentences that alone reach ``most``, with their scores.
+
+    Columns of ``keep`` with these two names are replaced.
+    """
     worker_imports(docs.sparkSession)
+    keep = [c for c in keep if c not in ("score", "offending")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("score", "double").add("offending", _OFFENDING)
     return docs.select(*keep, F.col("text").alias("_tox_text")).mapInArrow(_scored(shared, keep, most), schema)
