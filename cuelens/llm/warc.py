@@ -2,8 +2,9 @@
 
 A page is a ``response`` record whose block is an HTTP response in chunked transfer framing; a block
 beyond ``SEGMENT_BYTES`` goes on in ``continuation`` records. Pages with equal payloads of at least
-``REVISIT_BYTES`` are ``revisit`` records of the one with the largest page_id. Spark's text writer ends
-each record with the two line breaks of the format and compresses the files.
+``REVISIT_BYTES`` are ``revisit`` records of the one with the largest page_id. Spark's text writer compresses the
+files; a row of it is a stretch of records, each ended by the two line breaks of the format, and files are bounded by
+bytes, however large or many the pages.
 
 Reading parses files by their Content-Length fields; segments are grouped by origin id, ordered by
 segment number, checked against the total length and the payload digest, and unframed. Only segments
@@ -28,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelens.llm.session import parts_for, scratch_path, worker_imports
+from cuelens.llm.textkit import slices
 
 REVISIT_BYTES = 1000
 CHUNK_BYTES = 8 << 10
 SEGMENT_BYTES = 32 << 10
 SALTS = 16
-#: Records in a file at most, so that a file fits a task's memory.
-FILE_RECORDS = 20_000
+#: Raw bytes of records that are written as one row, about, and rows in a file at most: a file is read as one value and must fit a task's memory.
+ROW_BYTES, FILE_ROWS = 4 << 20, 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _FIELDS = "page_id long, url string, payload string, digest string, bytes long, first_id long, first_url string"
@@ -71,28 +73,45 @@ def _line(text: str | None) -> str:
     return (text or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import uuid
+def _write(row_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        def row(out: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(out)], pa.binary())], ["value"])
 
-    for batch in batches:
         out: list[bytes] = []
-        for r in batch.to_pylist():
-            payload, origin = r["payload"].encode(), f"<urn:uuid:{uuid.uuid4()}>"
-            digest = "sha1:" + base64.b32encode(bytes.fromhex(r["digest"])).decode()
-            common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", _line(r["url"]))]
-            about = [("WARC-Payload-Digest", digest), ("WARC-Payload-Length", str(len(payload)))] + ([] if r["page_id"] is None else [("WARC-Page-ID", str(r["page_id"]))])
-            if r["first_id"] is not None and r["page_id"] != r["first_id"]:
-                refers = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", _line(r["first_url"])), ("WARC-Refers-To-Page-ID", str(r["first_id"]))]
-                out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", origin), *common, *about, *refers], b""))
-                continue
-            block = _HTTP + chunked(payload)
-            parts = [block[i : i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
-            kind = [("WARC-Type", "response"), ("WARC-Record-ID", origin), *common, *about, ("Content-Type", "application/http; msgtype=response")]
-            out.append(_record(kind + ([("WARC-Segment-Number", "1")] if len(parts) > 1 else []), parts[0]))
-            for k, part in enumerate(parts[1:], 2):
-                more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), *common, ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", str(k))]
-                out.append(_record(more + ([("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []), part))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        held = 0
+        for batch in slices(batches, "payload", row_bytes):
+            for r in batch.to_pylist():
+                if held >= row_bytes:
+                    yield row(out)
+                    out, held = [], 0
+                payload, origin = r["payload"].encode(), f"<urn:uuid:{uuid.uuid4()}>"
+                digest = "sha1:" + base64.b32encode(bytes.fromhex(r["digest"])).decode()
+                common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", _line(r["url"]))]
+                about = [("WARC-Payload-Digest", digest), ("WARC-Payload-Length", str(len(payload)))] + ([] if r["page_id"] is None else [("WARC-Page-ID", str(r["page_id"]))])
+                if r["first_id"] is not None and r["page_id"] != r["first_id"]:
+                    refers = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", _line(r["first_url"])), ("WARC-Refers-To-Page-ID", str(r["first_id"]))]
+                    out.append(_record([("WARC-Type", "revisit"), ("WARC-Record-ID", origin), *common, *about, *refers], b""))
+                    held += len(out[-1])
+                    continue
+                block = _HTTP + chunked(payload)
+                parts = [block[i : i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
+                kind = [("WARC-Type", "response"), ("WARC-Record-ID", origin), *common, *about, ("Content-Type", "application/http; msgtype=response")]
+                out.append(_record(kind + ([("WARC-Segment-Number", "1")] if len(parts) > 1 else []), parts[0]))
+                held += len(out[-1])
+                for k, part in enumerate(parts[1:], 2):
+                    if held >= row_bytes:
+                        yield row(out)
+                        out, held = [], 0
+                    more = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), *common, ("WARC-Segment-Origin-ID", origin), ("WARC-Segment-Number", str(k))]
+                    out.append(_record(more + ([("WARC-Segment-Total-Length", str(len(block)))] if k == len(parts) else []), part))
+                    held += len(out[-1])
+        if out:
+            yield row(out)
+
+    return run
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
@@ -107,8 +126,8 @@ def write_warc(pages: DataFrame, path: str) -> None:
     salted = rows.select("*", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
     joined = salted.join(shared, (F.col("digest") == F.col("d")) & (F.col("bytes") == F.col("b")) & (F.col("salt") == F.col("s")), "left")
     fields = [x.split()[0] for x in _FIELDS.split(", ")]
-    records = joined.select(*fields).mapInArrow(_write, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = joined.select(*fields).mapInArrow(_write(ROW_BYTES), "value binary").select(F.col("value").cast("string").alias("value"))
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -218,7 +237,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return {k: first[k] for k in _OUT}
 
     schema = None
-    for batch in batches:
+    for batch in slices(batches, "block", ROW_BYTES):
         schema = pa.schema([batch.schema.field(k) for k in _OUT])
         out = []
         for row in batch.to_pylist():
