@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelens.llm.session import parts_for, scratch_path, worker_imports
+from cuelens.llm.session import parts_for, scratch_path, steady, worker_imports
 from cuelens.llm.textkit import slices
 
 END_ID = 1
@@ -143,7 +143,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
             )
             done += int(off[-1])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = steady(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    # an id that holds a large share of all rows is dealt over several files by its texts' beginnings and its rows' places
+    rows = rows.repartitionByRange(parts, "doc_id", F.left("text", F.lit(32)), "place").sortWithinPartitions("doc_id", "text").drop("place")
     rows.mapInArrow(run, _SCHEMA).write.options(**OPTIONS).parquet(path)
 
 
