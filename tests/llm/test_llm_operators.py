@@ -414,3 +414,283 @@ def test_every_query_is_registered():
 
     assert [next(q for q in QUERIES if q.startswith(f"op{n}_")) for n in range(1, 11)] and set(ORACLE_SQL) <= set(QUERIES)
     json.dumps(ORACLE_SQL)
+
+
+def brute_links(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    holders = defaultdict(set)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].add(i)
+    return [{j for g in s for j in holders[g] if j != i and 9 * len(s & sets[j]) >= 4 * (len(s) + len(sets[j]))} for i, s in enumerate(sets)]
+
+
+def test_jaccard_chain_is_judged_by_buckets(spark, monkeypatch):
+    """A chain whose ends have nothing in common: its pairs meet in buckets, each once, and none is lost."""
+    from cuelens.llm import neardup
+
+    words = [f"w{i}" for i in range(4000)]
+    texts = [words[3 * i : 3 * i + 60] for i in range(600)]
+    links = brute_links(texts)
+    assert all(i + 1 in links[i] for i in range(599))
+    want = Counter((i, 0, len(links[i])) for i in range(len(texts)))
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 20)
+    seen = []
+    real = neardup._tasks
+    monkeypatch.setattr(neardup, "_tasks", lambda *a: seen.append(real(*a)) or seen[-1])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert result(neardup.jaccard_digest(df), "doc_id", "class_id", "n_links") == want
+    assert seen[0].where("task like 'b-%'").count() > 0
+
+
+def test_minhash_recall(spark):
+    """Random near copies around the threshold: at least 99 in 100 of the links brute force finds."""
+    from cuelens.llm import neardup
+
+    rng = random.Random(12)
+    texts = []
+    for c in range(150):
+        base = [f"c{c}x{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 160))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = f"z{rng.randrange(10**9)}"
+            texts.append(w)
+    want = sum(map(len, brute_links(texts)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = neardup.jaccard_digest(df).agg(F.sum("n_links")).first()[0]
+    assert want > 500 and 0.99 * want <= got <= want
+
+
+def test_substring_records_follow_windows(spark, monkeypatch):
+    """At a forced small bucket, twice the input sends about twice the records, and the result is the same."""
+    from cuelens.llm import substring
+
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n))
+    passage = say(60)
+    texts = [(i, say(200) + (" " + passage if i % 7 == 0 else "")) for i in range(240)]
+    sent = []
+    monkeypatch.setattr(substring, "grown", lambda *a: 2000)
+    for n in (120, 240):
+        monkeypatch.setattr(substring, "parts_for", lambda *a, n=n, **k: 50 * n)
+        df = spark.createDataFrame(texts[:n], "doc_id long, text string").repartition(4)
+        keyed = substring._keyed(df)
+        sent.append(keyed.mapInArrow(substring._send(35, 50 * n, 4000), substring._SENT).count())
+        want = Counter((r[0], len(gone)) for r, (w, gone) in zip(texts[:n], removed(texts[:n], 35), strict=True))
+        assert result(substring.substring_digest(df), "doc_id", "n_removed") == want
+    assert sent[1] < 2.2 * sent[0]
+
+
+def test_steady_stores_what_a_shuffle_gives(spark, docs, tmp_path):
+    from cuelens.llm.session import steady
+
+    df = spark.range(10)
+    assert steady(df) is df
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t")).where("id > 2").select((F.col("id") + 1).alias("x"))
+    assert steady(read) is read
+    assert steady(df.repartition(3)) is not df and steady(df.groupBy("id").count()).count() == 10
+
+
+def test_bit_split_loses_nothing(spark):
+    from cuelens.llm.bits import bit_table, split
+
+    df = spark.range(5000).select("id", F.col("id").alias("_row"), F.xxhash64("id").alias("_words"))
+    some = df.where("id % 10 = 3")
+    may, rest = split(df, F.xxhash64("id"), bit_table(F.xxhash64("id"), some))
+    got = {r.id for r in may.collect()}
+    assert {i for i in range(5000) if i % 10 == 3} <= got and len(got) < 600
+    assert may.columns == df.columns and got | {r.id for r in rest.collect()} == set(range(5000)) and rest.count() == 5000 - len(got)
+
+
+@pytest.mark.parametrize(("least_bits", "most_bits", "bytes_"), [(64, 64, 64 << 20), (1 << 12, 1 << 26, 0)])
+def test_decontamination_at_small_bounds(spark, docs, rows, monkeypatch, least_bits, most_bits, bytes_):
+    from cuelens.llm import decontaminate as d
+
+    table = spark.createDataFrame([(1, rows[31][1]), (2, rows[0][1]), (3, "one two"), (4, rows[43][1])], "item_id long, text string")
+    want = result(d.decontamination_digest(docs, table), "doc_id", "n_words", "n_hit", "items_sha256")
+    for name, value in (("LEAST_BITS", least_bits), ("MOST_BITS", most_bits), ("BROADCAST_BYTES", bytes_)):
+        monkeypatch.setattr(d, name, value)
+    assert result(d.decontamination_digest(docs, table), "doc_id", "n_words", "n_hit", "items_sha256") == want
+
+
+def test_lm_score_is_the_sum_over_all_segmentations(spark):
+    """The whole score by hand on a small corpus: interpolation, discount, and each word's segmentations one by one."""
+    import public_tokenizers
+
+    from cuelens.llm import lattice, lm
+
+    texts = ["ab ab cat", "cat ab dog dog dog", "abc dog", "Cat", "newword ab", "", None]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][: len(texts) - 2] + [i for i in range(400) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = lattice.load_pieces(path)
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in ids]
+    words = [re.findall(SPACE, lower(t)) for t in texts]
+    count = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+
+    def cuts(x):
+        return [[x[:k], *rest] for k in range(1, len(x) + 1) if x[:k] in pieces.ids for rest in cuts(x[k:])] if x else [[]]
+
+    p = pieces.weight / pieces.weight.sum()
+    for _ in range(lm.EM_ROUNDS):
+        use = np.zeros(len(p))
+        for w in count:
+            every = [[pieces.ids[x] for x in c] for c in cuts(b" " + w.encode())]
+            weight = [math.prod(p[i] for i in c) for c in every]
+            for c, x in zip(every, weight, strict=True):
+                for i in c:
+                    use[i] += x / sum(weight)
+        p = (use + lm.SMOOTHING) / (use.sum() + lm.SMOOTHING * len(p))
+    ends = held.count(False)
+    n = sum(count.values()) + ends
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+    free = discount * len(count) / n
+
+    def score(w):
+        spelled = sum(math.prod(p[pieces.ids[x]] for x in c) for c in cuts(b" " + w.encode()))
+        return math.log10(max(0.0, count[w] - discount) / n + free * spelled)
+
+    got = {r.doc_id: r.score for r in lm.lm_digest(df).collect()}
+    for i, ws in zip(ids, words, strict=True):
+        assert got[i] == pytest.approx(sum(map(score, ws)) + math.log10(ends / n), rel=1e-9)
+
+
+def test_noisy_or_and_its_gradient():
+    """A document's score is 1 minus the product over its sentences; training descends the likelihood's own gradient."""
+    import pyarrow as pa
+
+    from cuelens.llm import toxicity as t
+
+    rng = np.random.default_rng(3)
+    s = t.Sentences(pa.array(["aa bb. cc dd! ee", "", None, "ff aa", "... !"]))
+    weights = np.zeros(t.BUCKETS)
+    weights[np.unique(s.feature)] = rng.normal(size=len(np.unique(s.feature)))
+    model = t.Model(weights, -0.3)
+    p = model.sentences(s)
+    for i in range(s.n):
+        z = sum(float(np.float32(weights[f])) for f, k in zip(s.feature, s.sentence, strict=True) if k == i) - 0.3
+        assert p[i] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6)
+    want = [1 - math.prod(1 - p[i] for i in range(s.n) if s.owner[i] == d) for d in range(s.n_docs)]
+    assert model.documents(s, p) == pytest.approx(want) and want[1] == want[2] == want[4] == 0
+
+    owner, label = np.array([0, 0, 1, 2, 2, 2]), np.array([1, 0, 1])
+    z0 = rng.normal(size=6)
+
+    def loss(z):
+        q = 1 / (1 + np.exp(-z))
+        none = np.array([np.prod(1 - q[owner == d]) for d in range(3)])
+        return -np.sum(np.where(label > 0, np.log(1 - none), np.log(none)))
+
+    q = 1 / (1 + np.exp(-z0))
+    none = np.array([np.prod(1 - q[owner == d]) for d in range(3)])
+    pull = np.where(label > 0, none / (1 - none), -1.0)
+    by_formula = -pull[owner] * q
+    by_steps = [(loss(z0 + 1e-6 * e) - loss(z0 - 1e-6 * e)) / 2e-6 for e in np.eye(6)]
+    assert by_formula == pytest.approx(by_steps, rel=1e-4)
+
+
+def test_language_posterior_by_hand(spark, monkeypatch):
+    """From counts to the posterior in plain Python, and the same however few numbers are looked up at once."""
+    import pyarrow as pa
+
+    from cuelens.llm import langid
+
+    train = [("abc ab", "x"), ("bcd bc d", "y"), ("abd", "y"), ("zz é", "z")]
+    ask = ["abc", "bc d", "é zz", "q", "", None, "ab " * 40]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    counts = {lang: Counter() for lang in "xyz"}
+
+    def buckets(text):
+        return [int(b) for found, _ in langid.grams(langid.Texts(pa.array([text], pa.string())))[0] for b in found]
+
+    for text, lang in train:
+        counts[lang].update(buckets(text))
+    prior = Counter(lang for _, lang in train)
+
+    def posterior(text):
+        logs = []
+        for lang in "xyz":
+            total = sum(counts[lang].values()) + langid.SMOOTHING * langid.BUCKETS
+            logs.append(math.log(prior[lang] / 4) + sum(math.log((counts[lang][b] + langid.SMOOTHING) / total) for b in buckets(text)))
+        top = max(logs)
+        return "xyz"[logs.index(top)], 1 / sum(math.exp(v - top) for v in logs)
+
+    for room in (1 << 22, 5):
+        monkeypatch.setattr(langid, "GATHERED", room)
+        langs, scores, _ = model.predict(pa.array(ask, pa.string()))
+        for text, lang, score in zip(ask, langs, scores, strict=True):
+            if text:
+                assert (lang, score) == (posterior(text)[0], pytest.approx(posterior(text)[1], rel=1e-4))
+            else:
+                assert (lang, score) == ("und", 0)
+
+
+def test_language_id_of_many_languages(spark):
+    from cuelens.llm import langid
+
+    rng = random.Random(1)
+    letters = [chr(0x4E00 + i) for i in range(800)]
+    rows = [(i, "".join(rng.choice(letters[4 * (i % 200) : 4 * (i % 200) + 4]) for _ in range(40)), f"l{i % 200:03d}") for i in range(2400)]
+    got = langid.language_digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == f"l{r.doc_id % 200:03d}" for r in got)
+
+
+def test_warc_edges_and_file_sizes(spark, tmp_path, monkeypatch):
+    """Characters of several bytes across segment edges, and files that stay small when pages are large."""
+    import glob
+    import os
+
+    from cuelens.llm import warc
+
+    pages = [(i, "u", "é日😀" * n) for i, n in enumerate((1, 900, 3641, 3642, 7283, 40_000, 90_000))] + [(50 + i, "v", f"{i} " * 30) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "ROW_BYTES", 100_000)
+    monkeypatch.setattr(warc, "FILE_ROWS", 2)
+    warc.write_warc(df, str(tmp_path / "w"))
+    import gzip
+
+    files = [gzip.open(f).read() for f in glob.glob(str(tmp_path / "w") + "/part-*")]
+    assert len(files) > 4 and max(map(len, files)) < 400_000 and os.path.isdir(tmp_path / "w")
+    got = {(r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {(i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in pages}
+
+
+def test_repeated_ids_teach_once(spark):
+    from cuelens.llm import quality, toxicity
+
+    texts = [(i, f"fine words {i} here. more of them.") for i in range(40)] + [(1, "vileword one")] * 500
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 5)) for i in range(40)], "doc_id long, label int")
+    assert toxicity.fit(df, marks) is not None and quality.fit(df, marks) is not None
+    both = toxicity.score_toxicity(df.withColumn("score", F.lit(1)), toxicity.fit(df, marks), ["doc_id", "score"])
+    assert both.columns == ["doc_id", "score", "offending"] and both.count() == 540
+    judged = quality.judge(df.withColumn("kept", F.lit(1)), None, ["doc_id", "kept"])
+    assert judged.columns.count("kept") == 1
+
+
+def test_token_files_of_one_hot_id(spark, tmp_path, monkeypatch):
+    from cuelens.llm import tokenfile
+
+    rows = [(7, f"text {i % 50}") for i in range(900)] + [(i, "other") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(tokenfile, "parts_for", lambda *a, **k: 8)
+    path = str(tmp_path / "t")
+    tokenfile.write_tokens(df, path)
+    sizes = [r["count"] for r in tokenfile.read_tokens(spark, path).groupBy("part").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 400
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokenfile.token_digest(df).collect())
+    assert [d for _, d, _ in got] == sorted(d for d, _ in rows)
+    assert all(a + n == b for (a, _, n), (b, _, _) in zip(got[:-1], got[1:], strict=True))
+
+
+def test_stage_keeps_clashing_columns(spark):
+    from cuelens.llm import stages
+
+    df = spark.createDataFrame([(i, "the of and that with", "en", 1, "x") for i in range(20)], "doc_id long, text string, lang string, _lang_pred int, c0 string")
+    out = stages.drop_unknown_language(spark, df, "")
+    assert out.columns == df.columns and out.count() == 20
+    out = stages.keep_one_near_duplicate(spark, df.withColumnsRenamed({"c0": "_row", "_lang_pred": "row"}), "")
+    assert out.columns == ["doc_id", "text", "lang", "row", "_row"] and out.count() == 1
