@@ -18,17 +18,47 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract(text, java(pattern), 0), F.lit(""))
 
 
+SPAN = "struct<start:int,end:int,value:string>"
+#: Matches whose places are summed up together; places of stretches are summed before.
+STRETCH = 256
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of all matches; the pattern must not match the empty string."""
-    gaps = F.split(text, java(pattern), -1)
-    found = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), matches(text, pattern), lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    """array<struct<start,end,value>> of all matches; the pattern must not match the empty string.
+
+    A text without a match is only tested for one. Places are running sums within stretches of ``STRETCH`` matches and
+    over stretches, so the work grows little faster than the matches.
+    """
+    empty = F.array().cast(f"array<{SPAN}>")
+    found = F.zip_with(F.split(text, java(pattern), -1), matches(text, pattern), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("value")))
+    found = F.filter(found, lambda x: x["value"].isNotNull())
+
+    def within(part: Column) -> Column:
+        def add(done: Column, x: Column) -> Column:
+            start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + x["gap"]
+            return F.concat(done, F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"))))
+
+        return F.aggregate(part, empty, add)
+
+    def shifted(parts: Column) -> Column:
+        def add(done: Column, part: Column) -> Column:
+            by = done["end"]
+            moved = F.transform(part, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value")))
+            return F.struct((by + F.element_at(part, -1)["end"]).alias("end"), F.concat(done["parts"], F.array(moved)).alias("parts"))
 
-    def add(done: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + F.length(x["gap"])
-        return F.concat(done, F.array(F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"))))
+        first = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<array<{SPAN}>>").alias("parts"))
+        return F.flatten(F.aggregate(parts, first, add, lambda d: d["parts"]))
 
-    return F.when(text.isNull(), empty).otherwise(F.aggregate(found, empty, add))
+    def placed(all_: Column) -> Column:
+        of = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STRETCH).cast("int")), lambda k: within(F.slice(all_, k * STRETCH + 1, F.lit(STRETCH))))
+        return F.when(F.size(all_) > 0, shifted(of)).otherwise(empty)
+
+    return F.when(F.coalesce(text.rlike(java(pattern)), F.lit(False)), bind(found, placed)).otherwise(empty)
 
 
 def claim(candidates: Column, kind: str = "struct<start:int,end:int,value:string>") -> Column:
@@ -37,11 +67,32 @@ def claim(candidates: Column, kind: str = "struct<start:int,end:int,value:string
     return F.aggregate(candidates, F.array().cast(f"array<{kind}>"), lambda done, x: F.when(clash(done, x), done).otherwise(F.concat(done, F.array(x))))
 
 
-def around(text: Column, start: Column, size: Column, breaks: str, most: int) -> Column:
-    """The stretch around a span up to the nearest break on either side, trimmed, cut to ``most`` characters."""
-    left = F.regexp_extract(F.substring(text, F.lit(1), start), f"[^{breaks}]*$", 0)
-    right = F.regexp_extract(F.substring(text, start + 1, F.length(text)), f"^[^{breaks}]*", 0)
-    return F.substring(F.trim(F.concat(left, right)), 1, most)
+# What ends a clause and a sentence, the most characters of each, and what is trimmed from its ends.
+CLAUSE_BREAKS, CLAUSE_MOST = "。！？；，、：·\n\r\t　,;:!?…", 52
+SENTENCE_BREAKS, SENTENCE_MOST = "。！？；\n\r", 96
+TRIMMED = "。！？；，、：·\n\r\t　 ,;:!?…“”\"'‘’()（）"
+
+
+def around(text: Column, start: Column, value: Column, breaks: str = CLAUSE_BREAKS, most: int = CLAUSE_MOST) -> Column:
+    """The stretch around the span ``value`` at ``start`` up to the nearest break on either side, trimmed of ``TRIMMED``.
+
+    One of more than ``most`` characters begins with the span itself and is cut behind, not within the span; so it
+    never begins in the middle of a phrase. Only ``most`` + 1 characters on either side are looked at.
+    """
+    size = F.length(value)
+    left = F.regexp_extract(F.substring(text, F.greatest(F.lit(1), start - most), F.least(start, F.lit(most + 1))), rf"[^{breaks}]*\z", 0)
+    right = F.concat(value, F.regexp_extract(F.substring(text, start + size + 1, F.lit(most + 1)), f"^[^{breaks}]*", 0))
+    whole = F.when(F.length(left) + F.length(right) <= most, F.concat(left, right)).otherwise(F.substring(right, F.lit(1), F.greatest(F.lit(most), size)))
+    return F.coalesce(F.nullif(F.btrim(whole, F.lit(TRIMMED)), F.lit("")), value)
+
+
+def around_sql(text: str, start: str, value: str, breaks: str = CLAUSE_BREAKS, most: int = CLAUSE_MOST) -> str:
+    """The same rule as an SQL text, from the whole text."""
+    left = f"regexp_extract(substr({text}, 1, {start}), '[^{breaks}]*$')"
+    right = f"({value} || regexp_extract(substr({text}, {start} + length({value}) + 1), '^[^{breaks}]*'))"
+    trimmed = "[" + TRIMMED.replace("'", "''") + "]"
+    whole = f"CASE WHEN length({left}) + length({right}) <= {most} THEN {left} || {right} ELSE substr({right}, 1, greatest({most}, length({value}))) END"
+    return f"coalesce(nullif(regexp_replace({whole}, '^{trimmed}+|{trimmed}+$', '', 'g'), ''), {value})"
 
 
 def char_grams(text: Column, n: int, of: str = r"\p{IsHan}") -> Column:
@@ -56,18 +107,13 @@ def most_specific(terms: Column) -> Column:
     return F.filter(terms, lambda t: ~F.exists(terms, lambda o: (o != t) & F.contains(o, t)))
 
 
-def squeeze(text: Column) -> Column:
-    """Without white space."""
-    return F.regexp_replace(text, java(r"\s"), "")
-
-
 def placeholders(text: Column, labels: Column, name: str = "paste") -> Column:
     """``name-N`` replaced by the N-th label (from 1), in one pass; out of range stays."""
     pattern = f"{name}-\\d+"
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def fill(m: Column) -> Column:
-        n = F.expr("try_cast(null as int)") if m is None else F.substring(m, len(name) + 2, 9).try_cast("int")
+        n = F.substring(m, len(name) + 2, 9).try_cast("int")
         return F.when(n >= 1, F.coalesce(F.try_element_at(labels, n), m)).otherwise(m)
 
     tail = F.zip_with(F.slice(gaps, F.lit(2), F.size(gaps)), found, lambda g, m: F.concat(fill(m), g))

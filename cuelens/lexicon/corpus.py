@@ -32,7 +32,6 @@ CORPUS = Pack(
         Rule("delta_or_priority_shift", _JUNK),
         Rule("official_action", _INSULT),
     ),
-    hard_kinds=tuple(ACTIONABLE),
     actionable=ACTIONABLE,
     support=("responsible_body", "named_sector_or_place"),
     signals=(

@@ -193,7 +193,6 @@ MANDARIN = Pack(
     name="mandarin",
     boilerplate=BOILERPLATE,
     detectors=DETECTORS,
-    hard_kinds=tuple(ACTIONABLE),
     actionable=ACTIONABLE,
     support=("responsible_body", "named_sector_or_place"),
     signals=SIGNALS,

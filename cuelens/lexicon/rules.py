@@ -108,7 +108,6 @@ class Pack:
     name: str
     boilerplate: tuple[Rule, ...]
     detectors: tuple[Rule, ...]
-    hard_kinds: tuple[str, ...]
     actionable: dict[str, str]
     support: tuple[str, ...]
     signals: tuple[Signal, ...]
@@ -122,8 +121,13 @@ class Pack:
     nexus_direct: tuple[Rule, ...]
     nexus_possible: tuple[Rule, ...]
     gray: str
+    #: Patterns on a nugget's English value that make it actionable too, and the kinds of fact that can explain a nugget.
+    actionable_en: dict[str, str] = field(default_factory=dict)
+    fact_kinds: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: What two sources can share: named subjects, issuers, and stock wording that tells nothing.
     subjects: tuple[str, ...] = ()
     issuers: tuple[str, ...] = ()
+    formula: tuple[str, ...] = ()
     instrument: str = ""
     meeting: str = ""
     extra: dict = field(default_factory=dict)

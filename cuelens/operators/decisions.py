@@ -21,11 +21,20 @@ def level(n: Column) -> Column:
 
 
 def adoption(docs: DataFrame, pack: Pack) -> DataFrame:
-    """``docs`` (with nuggets) and n_strong, n_support, adopted, hard (10 at most)."""
+    """``docs`` (with nuggets) and n_strong, n_support, adopted, hard (10 at most).
+
+    A nugget is strong if its evidence, the clause it stands in, has what its kind needs, or its English value has.
+    """
 
     def strong(n: Column) -> Column:
-        tests = [(n["kind"] == k, F.lit(True) if not p else n["value"].rlike(java(p))) for k, p in pack.actionable.items()]
-        return first_of(tests, F.lit(False))
+        def test(kind: str, pattern: str) -> Column:
+            if not pattern:
+                return F.lit(True)
+            told = n["evidence"].rlike(java(pattern))
+            english = pack.actionable_en.get(kind)
+            return told | F.coalesce(n["value_en"].rlike(java(english)), F.lit(False)) if english else told
+
+        return first_of([(n["kind"] == k, test(k, p)) for k, p in pack.actionable.items()], F.lit(False))
 
     support = F.concat(*[_two(kind) for kind in pack.support])
     rows = docs.withColumns({"_strong": F.filter("nuggets", strong), "_support": support})
@@ -43,20 +52,20 @@ def has_kind(kind: str) -> Column:
     return F.exists("nuggets", lambda n: n["kind"] == kind)
 
 
+def gray_zone(pack: Pack) -> Column:
+    """A body and a sector, a ban and a sector, a watched theme in a thin text, or a time without a strong cue."""
+    sector = has_kind("named_sector_or_place")
+    watched = (F.col("substance_band") == "thin") & Has(pack.gray).column(F.col("text"))
+    return (has_kind("responsible_body") & sector) | (has_kind("constraint_or_ban") & sector) | watched | (has_kind("timeline") & (F.col("n_strong") == 0))
+
+
 def intake(docs: DataFrame, pack: Pack, override: str | None = None) -> DataFrame:
     """``docs`` (adopted, source_class, substance_band, n_strong) and intake.
 
-    Social texts are down-weighted, adopted ones admitted; a thin one waits if it names a body and a
-    sector, a ban and a sector, a watched theme, or a time without a strong cue. ``override`` names a
-    column that decides in the gray zone.
+    Social texts are down-weighted, adopted ones admitted; another waits if it is in the gray zone. ``override`` names a
+    column that decides there.
     """
-    sector = has_kind("named_sector_or_place")
-    gray = (
-        (has_kind("responsible_body") & sector)
-        | (has_kind("constraint_or_ban") & sector)
-        | ((F.col("substance_band") == "thin") & Has(pack.gray).column(F.col("text")))
-        | (has_kind("timeline") & (F.col("n_strong") == 0))
-    )
+    gray = gray_zone(pack)
     thin = F.when(gray, "defer").otherwise("reject_thin")
     if override:
         thin = F.coalesce(F.when(gray, F.col(override)), thin)

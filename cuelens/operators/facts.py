@@ -61,7 +61,7 @@ def money(text: Column, pack: FactPack) -> Column:
         unit = F.regexp_replace(s["value"], r"^[\d.]+", "")
         factor = F.element_at(F.create_map(*[F.lit(x) for u, n in pack.units.items() for x in (u, n)]), unit)
         amount = (F.regexp_extract(s["value"], r"^[\d.]+", 0).cast("decimal(20,4)") * factor).cast("decimal(38,2)")
-        clause = around(text, s["start"], s["end"] - s["start"], "，。；！？,;!?\\n", 52)
+        clause = around(text, s["start"], s["value"])
         vehicle = F.coalesce(*[F.when(F.contains(clause, F.lit(v)), e) for v, e in pack.vehicles.items()])
         plain = (unit == "元") & vehicle.isNull()
         return F.when(~plain, F.struct(F.lit("money").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.coalesce(vehicle, F.lit("amount")).alias("label"), amount.alias("amount")))

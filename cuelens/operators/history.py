@@ -14,12 +14,18 @@ def _micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def silence(rows: DataFrame, subject: list[str], ts: str, gap_days: int = 14) -> DataFrame:
-    """``rows`` with prior_count, last_prior and gap_days against strictly earlier rows of the subject, and silent."""
-    w = Window.partitionBy(*subject).orderBy(ts, "event_id")
-    rows = rows.withColumns({"prior_count": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, -1)), "last_prior": F.max(ts).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+def silence(rows: DataFrame, subject: list[str], ts: str, gap_days: int = 14, band: str | None = None) -> DataFrame:
+    """``rows`` with prior_count, last_prior and gap_days against the subject's rows of an earlier time, and silent.
+
+    Rows of the same time are no coverage of each other. A row is silent if the gap is longer than ``gap_days`` and, where
+    ``band`` names a column, the row is thin.
+    """
+    before = Window.partitionBy(*subject).orderBy(_micros(ts)).rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"prior_count": F.count("*").over(before), "last_prior": F.max(ts).over(before)})
     gap = F.floor((_micros(ts) - _micros("last_prior")) / 86_400_000_000).cast("int")
-    return rows.withColumn("gap_days", F.greatest(F.lit(0), gap)).withColumn("silent", F.coalesce(F.col("gap_days") > gap_days, F.lit(False)))
+    rows = rows.withColumn("gap_days", F.greatest(F.lit(0), gap))
+    quiet = F.coalesce(F.col("gap_days") > gap_days, F.lit(False))
+    return rows.withColumn("silent", quiet & F.coalesce(F.col(band) == "thin", F.lit(False)) if band else quiet)
 
 
 def rate_windows(rows: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:

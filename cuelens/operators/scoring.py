@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import java
-from cuelens.functions.text import first_match
+from cuelens.functions.text import bind, first_match
 from cuelens.lexicon.rules import Has, Pack, Rule
 
 #: Thousandths of a rule's weight that each status counts.
@@ -74,11 +74,12 @@ def triage(docs: DataFrame, pack: Pack) -> DataFrame:
     """
     text = F.col("text")
     hit = F.array_compact(F.array(*[F.when(Has(r.pattern).column(text), F.struct(F.lit(-r.weight).alias("w"), F.lit(i).alias("ord"), F.lit(r.name).alias("kind"))) for i, r in enumerate(pack.kinds)]))
-    ranked = F.transform(F.array_sort(hit), lambda k: k["kind"])
-    rows = docs.withColumn("kinds", F.when(F.size(ranked) > 0, ranked).otherwise(F.array(F.lit("other_public_text"))))
-    swap = F.array_contains("kinds", "leadership_meeting") & F.array_contains("kinds", "implementing_instrument") & pack.extra["instrument_over_meeting"].column(text)
-    first = F.array(F.lit("implementing_instrument"))
-    rows = rows.withColumn("kinds", F.when(swap, F.concat(first, F.array_remove("kinds", "implementing_instrument"))).otherwise(F.col("kinds")))
+    # a column of its own, used once: each rule is matched once
+    rows = docs.withColumn("kinds", bind(F.transform(F.array_sort(hit), lambda k: k["kind"]), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.lit("other_public_text")))))
+    meeting, instrument = pack.extra.get("swapped_kinds", ("leadership_meeting", "implementing_instrument"))
+    swap = F.array_contains("kinds", meeting) & F.array_contains("kinds", instrument) & pack.extra["instrument_over_meeting"].column(text)
+    first = F.array(F.lit(instrument))
+    rows = rows.withColumn("kinds", F.when(swap, F.concat(first, F.array_remove("kinds", instrument))).otherwise(F.col("kinds")))
     parts = []
     for name, milli, test in pack.drivers:
         if isinstance(test[0], str):
@@ -125,16 +126,18 @@ def desks(docs: DataFrame, pack: Pack) -> DataFrame:
 def nexus(docs: DataFrame, pack: Pack) -> DataFrame:
     """``docs`` with nexus_hits (8 at most), nexus (direct, possible, none) and nexus_bump (thousandths)."""
     text = F.col("text")
-    direct, possible = hit_names(text, pack.nexus_direct), hit_names(text, pack.nexus_possible)
-    rows = docs.withColumn("nexus_hits", F.slice(F.concat(direct, possible), 1, 8))
-    flag = F.when(F.size(direct) > 0, "direct").when(F.size(possible) > 0, "possible").otherwise("none")
-    rows = rows.withColumn("nexus", flag)
+    both = F.struct(hit_names(text, pack.nexus_direct).alias("direct"), hit_names(text, pack.nexus_possible).alias("possible"))
+    flag = lambda b: F.when(F.size(b["direct"]) > 0, "direct").when(F.size(b["possible"]) > 0, "possible").otherwise("none")
+    made = lambda b: F.struct(F.slice(F.concat(b["direct"], b["possible"]), 1, 8).alias("hits"), flag(b).alias("flag"))
+    rows = docs.withColumn("_nexus", bind(both, made))
+    rows = rows.withColumns({"nexus_hits": F.col("_nexus.hits"), "nexus": F.col("_nexus.flag")}).drop("_nexus")
     return rows.withColumn("nexus_bump", F.when(F.col("nexus") == "direct", 250).when(F.col("nexus") == "possible", 120).otherwise(0))
 
 
-def source_class(text: Column, pack: Pack, forced: Column | None = None) -> Column:
-    """Forced class, else social by any social cue, else the first class whose pattern matches."""
-    cases = [(Has(r.pattern).column(text), F.lit("social_commentary")) for r in pack.social] + [(Has(r.pattern).column(text), F.lit(r.name)) for r in pack.classes]
+def source_class(text: Column, pack: Pack, forced: Column | None = None, label: Column | None = None) -> Column:
+    """Forced class, else social by any social cue of the text or its label, else the first class whose pattern the text has."""
+    hay = text if label is None else F.concat_ws("\n", text, label)
+    cases = [(Has(r.pattern).column(hay), F.lit("social_commentary")) for r in pack.social] + [(Has(r.pattern).column(text), F.lit(r.name)) for r in pack.classes]
     found = first_of(cases, F.lit("unknown_public"))
     return found if forced is None else F.coalesce(forced, found)
 

@@ -23,7 +23,7 @@ def brief(rows: DataFrame) -> DataFrame:
     """Every layer on (doc_id, source, text): nexus, scorecard, triage, desk, substance, class, adoption, intake, facts."""
     rows = scoring.nexus(substance.normalise(rows), MANDARIN)
     rows = scoring.desks(scoring.triage(scoring.scorecard(rows, MANDARIN), MANDARIN), MANDARIN)
-    rows = substance.cut(rows, MANDARIN).withColumn("source_class", scoring.source_class(F.concat_ws("\n", "text", "source"), MANDARIN))
+    rows = substance.cut(rows, MANDARIN).withColumn("source_class", scoring.source_class(F.col("text"), MANDARIN, label=F.col("source")))
     return facts.facts(decisions.intake(decisions.adoption(rows, MANDARIN), MANDARIN))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import literal
-from cuelens.functions.text import around, placeholders, spans
+from cuelens.functions.text import SENTENCE_MOST, around, around_sql, placeholders, spans
 from cuelens.lexicon import CORPUS
-from cuelens.operators import history
+from cuelens.operators import decisions, history
 from cuelens.plans.crosschecks import INTAKE_SQL
-from cuelens.plans.registry import query, table
+from cuelens.plans.registry import query, spread, table
 from cuelens.plans.screening import screened
 from cuelens.sources import feeds
 
@@ -80,21 +80,21 @@ def q35_placeholder_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", placeholders(F.col("s"), F.array(*map(F.lit, LABELS))).alias("line"))
 
 
-_CUE = CORPUS.themes[0].pattern
+_CUE, _ENDS = CORPUS.themes[0].pattern, r".!?\n"
 
 
 @query(
     f"""WITH s AS (SELECT doc_id, text, string_split_regex(text, {literal(_CUE)}) AS gaps, regexp_extract_all(text, {literal(_CUE)}) AS ms FROM documents),
     p AS (SELECT doc_id, text, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: length(array_to_string(gaps[1:i], '')) + length(array_to_string(ms[1:i - 1], '')))) AS st FROM s WHERE len(ms) > 0),
-    q AS (SELECT doc_id, st, substr(trim(regexp_extract(substr(text, 1, st), '[^.!?\\n]*$') || regexp_extract(substr(text, st + 1), '^[^.!?\\n]*')), 1, 96) AS quote FROM p),
+    q AS (SELECT doc_id, st, {around_sql("text", "st", "m", _ENDS, SENTENCE_MOST)} AS quote FROM p),
     d AS (SELECT doc_id, quote, min(st) AS st FROM q GROUP BY ALL)
     SELECT doc_id, quote, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st) AS INT) AS k FROM d"""
 )
 def q37_digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences around each cue, once, in order of their first cue; 96 characters at most."""
-    found = spans(F.col("text"), _CUE)
-    quotes = F.transform(found, lambda s: around(F.col("text"), s["start"], s["end"] - s["start"], r".!?\n", 96))
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(_CUE)).select("doc_id", F.posexplode(F.array_distinct(quotes)).alias("at", "quote"))
+    quotes = F.transform(spans(F.col("text"), _CUE), lambda s: around(F.col("text"), s["start"], s["value"], _ENDS, SENTENCE_MOST))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", F.posexplode_outer(F.array_distinct(quotes)).alias("at", "quote")).where("at is not null")
     return rows.select("doc_id", "quote", (F.col("at") + 1).alias("k"))
 
 
@@ -105,9 +105,7 @@ def q37_digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q39_review_and_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a record is worth, and which decisions a human should look at."""
     rows = screened(spark, sf_dir)
-    gray = (
-        F.exists("nuggets", lambda n: n["kind"].isin("responsible_body", "constraint_or_ban")) & F.exists("nuggets", lambda n: n["kind"] == "named_sector_or_place")
-    ) | ((F.col("substance_band") == "thin") & F.col("text").rlike(CORPUS.gray)) | (F.exists("nuggets", lambda n: n["kind"] == "timeline") & (F.col("n_strong") == 0))
+    gray = decisions.gray_zone(CORPUS)
     value = F.when((F.col("intake") == "admit") & (F.col("substance_band") == "dense"), "high").when(F.col("intake").isin("admit", "defer") | (F.col("substance_band") == "mixed"), "medium").otherwise("low")
     points = F.array_compact(F.array(F.when(gray & ~F.col("adopted"), "intake"), F.when((F.col("source_class") == "social_commentary") & (F.col("n_strong") > 0), "source_class"), F.when((F.col("n_strong") > 0) & ~F.col("adopted"), "support")))
     return rows.select("doc_id", value.alias("info_value"), F.array_join(points, ",").alias("review"))

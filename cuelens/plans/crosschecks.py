@@ -12,7 +12,7 @@ from cuelens.functions.dialect import literal
 from cuelens.lexicon import CORPUS
 from cuelens.operators import crossing, decisions, scoring, substance
 from cuelens.plans.registry import query, table
-from cuelens.plans.screening import CARD_SQL, DESK_SQL, INTAKE_SQL, NUGGETS_SQL, cards, cuts, desked, screened
+from cuelens.plans.screening import CARD_SQL, DESK_SQL, INTAKE_SQL, NUGGETS_SQL, cards, cuts, desked, screened, texts
 
 SUBJECTS = ("thing", "ing", "tion", "leaux", "eaux", "schaft", "sch", "ción", "mente", "idiot", "clown", "the ")
 ISSUERS = ("idiot", "clown", "***", "###", "Licensed", "@", " | ", "!!")
@@ -33,7 +33,7 @@ _FOUND_SQL = f"""
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pastes with run, subjects, issuers, traceable."""
-    docs = substance.normalise(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = texts(spark, sf_dir)
     first = substance.one_of_each_paste(docs).select("doc_id")
     rows = docs.join(first, "doc_id", "left_semi")
     run = F.concat("lang", F.lit(":"), F.regexp_extract("text", r"^[^\s]+", 0))

@@ -44,14 +44,14 @@ def q23_quality_and_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT event_id, user_id, event_type, ts, count(*) OVER w AS prior_count, max(ts) OVER w AS last_prior FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT event_id, prior_count, CAST(greatest(0, floor((epoch_us(ts) - epoch_us(last_prior)) / 86400000000)) AS INT) AS gap_days, coalesce(floor((epoch_us(ts) - epoch_us(last_prior)) / 86400000000) > 14, false) AS silent
-    FROM g WHERE last_prior IS NOT NULL"""
+    """WITH g AS (SELECT a.event_id, a.ts, a.value, count(*) AS prior_count, max(b.ts) AS last_prior FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.ts < a.ts GROUP BY ALL)
+    SELECT event_id, prior_count, CAST(floor((epoch_us(ts) - epoch_us(last_prior)) / 86400000000) AS INT) AS gap_days, floor((epoch_us(ts) - epoch_us(last_prior)) / 86400000000) > 14 AND value < 50 AS silent FROM g"""
 )
 def q24_silence_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gap to strictly earlier coverage of a subject, silent beyond 14 days."""
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    return history.silence(rows, ["user_id", "event_type"], "ts").where("last_prior is not null").select("event_id", "prior_count", "gap_days", "silent")
+    """Gap to strictly earlier coverage of a subject; silent beyond 14 days if thin, which a value below 50 plays."""
+    band = F.when(F.col("value") < 50, "thin").otherwise("dense")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", band.alias("band"))
+    return history.silence(rows, ["user_id", "event_type"], "ts", band="band").where("last_prior is not null").select("event_id", "prior_count", "gap_days", "silent")
 
 
 @query(

@@ -22,5 +22,11 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their scan has fewer tasks: files of one row group. A large table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,25 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import literal, re2
-from cuelens.functions.text import matches
+from cuelens.functions.text import around_sql, matches
 from cuelens.lexicon import CORPUS
 from cuelens.lexicon.rules import values_sql
 from cuelens.operators import decisions, scoring, substance
-from cuelens.plans.registry import query, table
+from cuelens.plans.registry import query, spread, table
 
 _KINDS = values_sql(CORPUS.detectors)
 _TEXT = "SELECT doc_id, trim(text) AS text, lang, source FROM documents WHERE length(trim(text)) >= 20"
-_CASE_ACTIONABLE = " ".join(f"WHEN kind = {literal(k)} THEN {'true' if not p else f'regexp_matches(value, {literal(re2(p))})'}" for k, p in CORPUS.actionable.items())
+_CASE_ACTIONABLE = " ".join(f"WHEN kind = {literal(k)} THEN {'true' if not p else f'regexp_matches(evidence, {literal(re2(p))})'}" for k, p in CORPUS.actionable.items())
 
-#: Nuggets of every document, by rule table and not by rule column: distinct in order, 4 a kind, 16 in all.
+#: Nuggets of every document, by rule table and not by rule column: distinct in order, 4 a kind, 16 in all; the clause
+#: of each from the place of its first match.
 NUGGETS_SQL = f"""
   docs AS ({_TEXT}),
   rules(ord, kind, pattern, w) AS (VALUES {_KINDS}),
-  raw AS (SELECT doc_id, ord, kind, regexp_extract_all(text, pattern) AS ms FROM docs, rules),
+  raw AS (SELECT doc_id, text, ord, kind, string_split_regex(text, pattern) AS gaps, regexp_extract_all(text, pattern) AS ms FROM docs, rules WHERE regexp_matches(text, pattern)),
   flat AS (SELECT doc_id, ord, kind, unnest(ms) AS value, unnest(range(1, len(ms) + 1)) AS pos FROM raw),
   once AS (SELECT doc_id, ord, kind, value, min(pos) AS pos FROM flat GROUP BY ALL),
   capped AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY pos) AS k FROM once QUALIFY k <= 4),
-  nuggets AS (SELECT doc_id, ord, kind, value, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) AS n FROM capped QUALIFY n <= 16),
+  kept AS (SELECT doc_id, ord, kind, value, pos, row_number() OVER (PARTITION BY doc_id ORDER BY ord, k) AS n FROM capped QUALIFY n <= 16),
+  placed AS (SELECT kept.*, text, length(array_to_string(gaps[1:pos], '')) + length(array_to_string(ms[1:pos - 1], '')) AS st FROM kept JOIN raw USING (doc_id, ord)),
+  nuggets AS (SELECT doc_id, ord, kind, value, n, {around_sql("text", "st", "value")} AS evidence FROM placed),
   scores AS (
     SELECT docs.doc_id, count(n) AS n_nuggets, least(1000, 120 * count(DISTINCT kind) + 40 * count(n)) AS milli
     FROM docs LEFT JOIN nuggets USING (doc_id) GROUP BY docs.doc_id),
@@ -51,8 +54,13 @@ INTAKE_SQL = f"""{NUGGETS_SQL},
     FROM decided)"""
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised documents, over as many tasks as there are cores where the files have fewer row groups."""
+    return substance.normalise(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
+
+
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substance.cut(substance.normalise(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), CORPUS)
+    return substance.cut(texts(spark, sf_dir), CORPUS)
 
 
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,17 +88,18 @@ def q02_repaste_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q03_cue_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and matches of each detector; rules are unrolled so each pattern is compiled once."""
-    docs = substance.normalise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = texts(spark, sf_dir)
     counts = F.array(*[F.struct(F.lit(r.name).alias("kind"), F.size(matches(F.col("text"), r.pattern)).alias("n")) for r in CORPUS.detectors])
     rows = docs.select(F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c"))
     return rows.groupBy(F.col("c.kind").alias("kind")).agg(F.count("*").alias("n_docs"), F.sum(F.col("c.n").cast("long")).alias("n_hits"))
 
 
-@query(f"WITH {NUGGETS_SQL} SELECT doc_id, kind, value, CAST(n AS INT) AS n FROM nuggets")
+@query(f"WITH {NUGGETS_SQL} SELECT doc_id, kind, value, evidence, CAST(n AS INT) AS n FROM nuggets")
 def q04_nugget_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nuggets in order: distinct, 4 a kind, 16 a document."""
-    rows = cuts(spark, sf_dir).select("doc_id", F.posexplode("nuggets").alias("at", "x"))
-    return rows.select("doc_id", "x.kind", "x.value", (F.col("at") + 1).alias("n"))
+    """Nuggets in order, each with the clause it stands in: distinct, 4 a kind, 16 a document."""
+    # the outer form: an inner one would filter on the array below the projection and compute it twice
+    rows = cuts(spark, sf_dir).select("doc_id", F.posexplode_outer("nuggets").alias("at", "x")).where("at is not null")
+    return rows.select("doc_id", "x.kind", "x.value", "x.evidence", (F.col("at") + 1).alias("n"))
 
 
 _COVERED = " + ".join(f"length(regexp_extract(text, {literal(re2(r.pattern))}))" for r in CORPUS.boilerplate)
@@ -132,7 +141,7 @@ CARD_SQL = f"""
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.scorecard(substance.normalise(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), CORPUS)
+    return scoring.scorecard(texts(spark, sf_dir), CORPUS)
 
 
 @query(f"WITH {CARD_SQL} SELECT doc_id, CAST(n_hit AS INT) AS n_hit, CAST(n_miss AS INT) AS n_miss, CAST(n_unclear AS INT) AS n_unclear, CAST(total AS INT) AS signal_sum, signal_band FROM banded")
@@ -280,7 +289,7 @@ _TIER_SQL = "CASE source_class WHEN 'social_commentary' THEN 'D' WHEN 'policy_in
 )
 def q13_tier_credibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, tier, channel weight (unlisted channels are unknown), capped credibility in 1/10000."""
-    rows = substance.normalise(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    rows = texts(spark, sf_dir)
     rows = credible(rows.withColumn("source_class", scoring.source_class(F.col("text"), CORPUS)))
     return rows.select("doc_id", "source_class", "source_tier", "channel_weight", "credibility", "credibility_score")
 
@@ -295,5 +304,5 @@ _ALL_NEXUS = CORPUS.nexus_direct + CORPUS.nexus_possible
 )
 def q14_nexus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nexus flag, hits, and 12 characters around the first direct cue."""
-    rows = scoring.nexus(substance.normalise(table(spark, sf_dir, "documents").select("doc_id", "text")), CORPUS)
+    rows = scoring.nexus(texts(spark, sf_dir), CORPUS)
     return rows.select("doc_id", "nexus", F.size("nexus_hits").alias("n_hits"), scoring.evidence(F.col("text"), CORPUS.nexus_direct[0].pattern).alias("evidence"))
