@@ -82,7 +82,8 @@ def around(text: Column, start: Column, value: Column, breaks: str = CLAUSE_BREA
     size = F.length(value)
     left = F.regexp_extract(F.substring(text, F.greatest(F.lit(1), start - most), F.least(start, F.lit(most + 1))), rf"[^{breaks}]*\z", 0)
     right = F.concat(value, F.regexp_extract(F.substring(text, start + size + 1, F.lit(most + 1)), f"^[^{breaks}]*", 0))
-    whole = F.when(F.length(left) + F.length(right) <= most, F.concat(left, right)).otherwise(F.substring(right, F.lit(1), F.greatest(F.lit(most), size)))
+    cut = lambda x: F.when(F.length(x["left"]) + F.length(x["right"]) <= most, F.concat(x["left"], x["right"])).otherwise(F.substring(x["right"], F.lit(1), F.greatest(F.lit(most), size)))
+    whole = bind(F.struct(left.alias("left"), right.alias("right")), cut)
     return F.coalesce(F.nullif(F.btrim(whole, F.lit(TRIMMED)), F.lit("")), value)
 
 

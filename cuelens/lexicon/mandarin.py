@@ -189,6 +189,50 @@ NEXUS_POSSIBLE = (
 # Relative dates in order, with the days they are taken to mean.
 RELATIVE_DATES = (("今日", 0), ("昨天", 1), ("昨日", 1), ("日前", 3), ("近日", 5), ("近期", 14), ("最近", 10), ("本周", 3), ("本月", 15))
 
+# English of a nugget that makes it actionable, and the kinds of fact that explain one.
+ACTIONABLE_EN = {
+    "named_instrument": r"(?i)\b(notice|circular|regulation|ordinance|issued)\b",
+    "resource_or_funding": "(?i)RMB|billion|million|yuan|USD",
+    "numeric_target": "(?i)RMB|billion|percent|pilot",
+}
+FACT_KINDS = {
+    "numeric_target": ("quantity", "money"),
+    "timeline": ("deadline",),
+    "named_instrument": ("instrument",),
+    "responsible_body": ("actor",),
+    "pilot_or_scope": ("scope",),
+    "constraint_or_ban": ("prohibition",),
+    "resource_or_funding": ("money",),
+    "named_sector_or_place": ("subject",),
+    "delta_or_priority_shift": (),
+    "official_action": ("actor",),
+    "named_campaign": (),
+}
+
+# Issuers, subjects and stock phrases that sources are compared by.
+ISSUERS = (
+    "新华社", "人民日报", "光明日报", "经济日报", "求是", "中新社", "央视", "中国政府网", "国务院办公厅", "国务院国资委", "国务院台办", "国台办", "国务院", "国家发展改革委", "国家发改委",
+    "工业和信息化部", "商务部", "外交部", "财政部", "教育部", "科技部", "农业农村部", "交通运输部", "自然资源部", "生态环境部", "国防部", "国家统计局", "中国人民银行",
+    "国家金融监督管理总局", "中国证监会", "海关总署", "市场监管总局", "国家能源局", "国家网信办", "省级人民政府",
+)
+SUBJECTS = (
+    "中央经济工作会议", "中央政治局会议", "中央金融工作会议", "中央财经委员会", "中央全会", "全国两会", "十四五", "十五五", "新质生产力", "专精特新", "产业链供应链", "关键核心技术",
+    "芯片", "半导体", "人工智能", "新能源汽车", "房地产", "保交楼", "地方债", "隐性债务", "系统性金融风险", "资本无序扩张", "稀土", "菜籽", "软木", "粮食安全", "乡村振兴", "共同富裕",
+    "全国统一大市场", "双循环", "一带一路", "两岸", "台海", "台湾", "南海", "粤港澳", "长三角", "京津冀", "新疆", "西藏", "主题教育", "社会治理", "强军", "练兵备战",
+)
+FORMULA = (
+    "习近平新时代中国特色社会主义思想", "以习近平同志为核心", "中国特色社会主义", "中华民族伟大复兴", "高质量发展", "深入贯彻落实", "全面贯彻落实", "认真贯彻落实", "新发展理念",
+    "统筹发展和安全", "提高政治站位", "增强四个意识", "四个自信", "两个维护", "两个确立", "凝心聚力", "砥砺前行", "人民至上", "以人民为中心", "保障和改善民生", "社会和谐稳定",
+    "安定团结", "正能量", "主旋律", "经济社会发展", "持续健康发展", "健康稳定发展", "改革开放", "有关部门", "有关负责人", "有关方面", "相互尊重", "扎实推进", "会议强调", "会议指出",
+    "会议要求",
+)
+# Cues of a record's role on its desk.
+ROLE_CUES = {"defense_public": "国防|解放军|强军", "diplomatic": "外交部|一带一路|中加|加方", "social_or_ideology": "社会治理|主题教育|乡村振兴"}
+# A record that a reviewer can look up, wording that promises, numbers or times within a passage.
+TRACEABLE = "《[^》]{2,40}》|据(新华社|人民日报|中新社|央视|经济日报|光明日报|中国政府网)|新华社[^，。]{0,6}电|援引|转引自"
+CALORIES = {"posture": Has("强调|坚持|推动|抓好"), "slogan": Has("高质量发展|新质生产力"), "propaganda": Has("正能量|主旋律|意识形态|主题教育")}
+NUMERIC = r"\d+(\.\d+)?\s*(%|％|亿|万|亿元)|20\d{2}\s*年|年内|年底前"
+
 MANDARIN = Pack(
     name="mandarin",
     boilerplate=BOILERPLATE,
@@ -205,8 +249,13 @@ MANDARIN = Pack(
     classes=CLASSES,
     nexus_direct=NEXUS_DIRECT,
     nexus_possible=NEXUS_POSSIBLE,
+    actionable_en=ACTIONABLE_EN,
+    fact_kinds=FACT_KINDS,
+    subjects=SUBJECTS,
+    issuers=ISSUERS,
+    formula=FORMULA,
     gray="CPTPP|北极|极地|关键矿产|北美|双边投资|菜籽|软木",
     instrument="实施细则|实施方案|管理办法|配套办法|印发通知|通知|意见|条例",
     meeting="中央经济工作会议|中央政治局|中央全会|两会|会议强调|会议指出",
-    extra={"think_tank": THINK_TANK, "defense": ("defense_public", Has("国防|解放军|军委|强军|军工")), "instrument_over_meeting": Has("印发|实施细则|实施方案|配套办法")},
+    extra={"think_tank": THINK_TANK, "defense": ("defense_public", Has("国防|解放军|军委|强军|军工")), "instrument_over_meeting": Has("印发|实施细则|实施方案|配套办法"), "roles": ROLE_CUES, "traceable": Has(TRACEABLE), "calories": CALORIES, "numeric": Has(NUMERIC)},
 )

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
-from cuelens.functions.text import char_grams, most_specific
+from cuelens.functions.dialect import java
+from cuelens.functions.text import char_grams, matches, most_specific
+from cuelens.operators.scoring import CHANNEL_TIERS
 
 
 def terms_in(text: Column, terms: tuple[str, ...]) -> Column:
@@ -14,6 +17,47 @@ def terms_in(text: Column, terms: tuple[str, ...]) -> Column:
     return most_specific(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), t) for t in terms])))
 
 
+# What two passages can agree on to the letter.
+ANCHORS = (r"\d+(\.\d+)?\s*(%|％|个百分点|亿元|万亿元|亿|万吨|万人)", r"20\d{2}\s*年(底|前)?", "《[^》]{2,40}》")
+
+
+def anchors(text: Column) -> Column:
+    """Distinct numbers with their units and years, without white space, and titles of a text."""
+    plain = lambda m: F.regexp_replace(m, java(r"\s") + "+", "")
+    numbers, years, titles = (matches(text, p) for p in ANCHORS)
+    return F.array_distinct(F.concat(F.transform(F.concat(numbers, years), plain), titles))
+
+
+def tier_spread(rows: DataFrame, run: str, order: str, tier: str = "channel") -> DataFrame:
+    """(run, tiers, cross_tier) of runs with two known channel tiers or more: distinct ones in order of their first source."""
+    first = rows.where(F.col(tier).isNotNull()).groupBy(run, tier).agg(F.min(order).alias("at"), F.count("*").alias("n"))
+    spread = first.groupBy(run).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", F.col(tier).alias("t")))).alias("ts"))
+    return spread.where("n >= 2").select(run, F.transform("ts", lambda x: x["t"]).alias("tiers"), (F.size("ts") > 1).alias("cross_tier"))
+
+
+def weakest_tier(rows: DataFrame, run: str, order: str, tier: str = "channel") -> DataFrame:
+    """(run, weakest): the channel tier of least weight among a run's sources; of equal ones that of the first source."""
+    weight = F.create_map(*[F.lit(x) for k, w in CHANNEL_TIERS.items() for x in (k, w)])
+    known = rows.where(F.col(tier).isNotNull())
+    return known.groupBy(run).agg(F.min(F.struct(weight[F.col(tier)].alias("w"), F.col(order).alias("o"), F.col(tier).alias("t"))).alias("m")).select(run, F.col("m.t").alias("weakest"))
+
+
+def limited_overlap(rows: DataFrame, run: str, text: str, terms: tuple[str, ...], source: str) -> DataFrame:
+    """(run): runs of two sources or more in which a term occurs and none occurs in two of them."""
+    found = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), t) for t in terms]))
+    common = shared(rows.select(run, source, found.alias("terms")), run, "terms", source).select(run).distinct()
+    seen = rows.groupBy(run).agg(F.count_distinct(source).alias("n"), F.bool_or(F.size(found) > 0).alias("any")).where("n >= 2 and any")
+    return seen.select(run).join(common, run, "left_anti")
+
+
+def topic_keys(desk: Column, themes: Column, kind: Column, subjects: Column, nuggets: Column) -> Column:
+    """``desk:``, ``hot:``, ``kind:``, ``subj:`` and ``nugget:`` keys of a record, each once; nuggets of sectors, places and instruments by their lower-case English, else their value."""
+    named = F.filter(nuggets, lambda n: n["kind"].isin("named_sector_or_place", "named_instrument"))
+    keyed = lambda prefix, values: F.transform(values, lambda v: F.concat(F.lit(prefix), v))
+    one = F.array_compact(F.array(F.concat(F.lit("desk:"), desk), F.concat(F.lit("kind:"), kind)))
+    return F.array_distinct(F.concat(one, keyed("hot:", themes), keyed("subj:", subjects), keyed("nugget:", F.transform(named, lambda n: F.lower(F.coalesce(n["value_en"], n["value"]))))))
+
+
 def shared(rows: DataFrame, run: str, terms: str, source: str, least: int = 2) -> DataFrame:
     """(run, term, n_sources) of terms that ``least`` distinct sources of a run hold.
 
@@ -23,6 +67,15 @@ def shared(rows: DataFrame, run: str, terms: str, source: str, least: int = 2) -
     return flat.groupBy(run, "term").agg(F.count("*").alias("n_sources")).where(F.col("n_sources") >= least)
 
 
+def shared_terms(rows: DataFrame, run: str, terms: str, source: str) -> DataFrame:
+    """(run, term) of terms that two sources of a run hold: the smallest and the largest source differ.
+
+    Both are aggregated before the shuffle, so a term is one row a task, however many sources hold it.
+    """
+    flat = rows.select(run, source, F.explode(terms).alias("term"))
+    return flat.groupBy(run, "term").agg(F.min(source).alias("a"), F.max(source).alias("b")).where("a < b").select(run, "term")
+
+
 def independent_pair(rows: DataFrame, run: str, issuers: str, order: str) -> DataFrame:
     """(run, first, second): the first pair, by order, of sources with issuers that do not overlap.
 
@@ -46,8 +99,8 @@ def corroborate(rows: DataFrame, run: str, source: str, order: str) -> DataFrame
     ``rows``: run, source, order, subjects, issuers, phrases, traceable; one row a distinct paste.
     """
     n = rows.groupBy(run).agg(F.count("*").alias("n_sources"), F.bool_or("traceable").alias("traceable"))
-    subjects = shared(rows, run, "subjects", order).groupBy(run).agg(F.count("*").alias("n_subjects"))
-    common = shared(rows, run, "phrases", order).groupBy(run).agg(F.count("*").alias("n_phrases"))
+    subjects = shared_terms(rows, run, "subjects", order).groupBy(run).agg(F.count("*").alias("n_subjects"))
+    common = shared_terms(rows, run, "phrases", order).groupBy(run).agg(F.count("*").alias("n_phrases"))
     pairs = independent_pair(rows, run, "issuers", order).select(run, F.lit(True).alias("independent"))
     joined = n.join(subjects, run, "left").join(common, run, "left").join(pairs, run, "left")
     joined = joined.fillna(0, ["n_subjects", "n_phrases"]).fillna(False, ["independent"])
@@ -71,7 +124,8 @@ def related(rows: DataFrame, limit: int = 6) -> DataFrame:
     sets are paired by shared keys and each contributes its newest ``limit`` + 1 records; records are
     never paired all with all, however many share a key.
     """
-    rows = rows.select("id", "created", F.array_sort("keys").alias("keys"), "nexus")
+    # four branches read the keys: without this each would match the rules anew
+    rows = rows.select("id", "created", F.array_sort("keys").alias("keys"), "nexus").persist(StorageLevel.DISK_ONLY)
     newest = Window.partitionBy("keys", "nexus").orderBy(F.desc("created"), F.desc("id"))
     top = rows.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= limit + 1)
     sets = rows.select("keys", "nexus").distinct()

@@ -105,12 +105,71 @@ def freshness(age: Column, precision: Column) -> Column:
 
 
 def clamp_likelihood(likelihood: Column, band: Column) -> Column:
-    """A likelihood level no higher than freshness allows: stale or unknown low, aging or weak medium."""
-    cap = F.when(band.isin("stale", "unknown"), 0).when(band.isin("aging", "weak"), 1).otherwise(2)
-    return level(F.least(rank(likelihood), cap))
+    """A likelihood level no higher than freshness allows: unknown low; weak, aging or stale medium."""
+    return level(F.least(rank(likelihood), likelihood_cap(band)))
+
+
+def likelihood_cap(band: Column) -> Column:
+    return F.when(band == "unknown", 0).when(band.isin("weak", "aging", "stale"), 1).otherwise(2)
+
+
+def clamp_scenarios(scenarios: Column, band: Column) -> Column:
+    """Scenarios by their own likelihood, falling, ties in their order; then each no likelier than freshness allows.
+
+    An unknown likelihood counts as low. The order still tells what the clamp hides.
+    """
+    keyed = F.transform(scenarios, lambda s, i: F.struct((-rank(F.lower(s["likelihood"]))).alias("r"), i.alias("i"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x["s"].withField("likelihood", level(F.least(-x["r"], likelihood_cap(band)))))
+
+
+def brief_quality(docs: DataFrame, operator_dated: Column | None = None) -> DataFrame:
+    """``docs`` (adopted, distinct_sources, as_of struct<date,method,precision>) and quality (complete, partial, rejected), quality_missing.
+
+    Complete is adopted, with two distinct sources, and dated: by the operator, by a provided date, or by a date of the text that is not relative.
+    """
+    dated = (F.col("as_of.method") == "provided") | (~F.col("as_of.precision").isin("none", "relative") & F.col("as_of.date").isNotNull())
+    if operator_dated is not None:
+        dated = F.coalesce(operator_dated, F.lit(False)) | dated
+    dated = F.coalesce(dated, F.lit(False))
+    gaps = F.array_compact(F.array(F.when(F.col("distinct_sources") < 2, "second_public_source"), F.when(~dated, "source_as_of")))
+    rows = docs.withColumn("quality_missing", F.when(F.col("adopted"), gaps).otherwise(F.array(F.lit("actionable_hard_detail"))))
+    return rows.withColumn("quality", F.when(~F.col("adopted"), "rejected").when(F.size("quality_missing") > 0, "partial").otherwise("complete"))
+
+
+def info_value(intake: Column, adopted: Column, band: Column, corroboration: Column) -> Column:
+    """What a record is worth: low where it waits, is social or was not adopted; high if dense and cross-checked; low if thin and not."""
+    low = intake.isin("defer", "social_downweight") | ~adopted | ((band == "thin") & (corroboration <= 1))
+    return F.when(low, "low").when((band == "dense") & (corroboration >= 2), "high").otherwise("medium")
+
+
+def review_points(docs: DataFrame) -> DataFrame:
+    """``docs`` and review, array<struct<id,system_pick,status,resolved>>: the three decisions that were guessed.
+
+    ``docs``: class_ambiguous, forced_class, gray_open, auto_intake, intake, intake_overridden, adopted, profile, desk_guessed, forced_profile.
+    """
+
+    def point(name: str, pick: Column, done: Column, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("id"), pick.alias("system_pick"), F.when(done, "resolved").otherwise("open").alias("status"), F.when(done, value).alias("resolved"))
+
+    guessed = F.col("adopted") & ((F.col("profile") == "general_policy") | F.col("desk_guessed"))
+    points = [
+        F.when(F.col("class_ambiguous"), point("source_class", F.lit("unknown_public"), F.col("forced_class").isNotNull(), F.col("forced_class"))),
+        F.when(F.col("gray_open"), point("intake_gray", F.coalesce("auto_intake", F.lit("reject_thin")), F.col("intake_overridden"), F.col("intake"))),
+        F.when(guessed, point("domain_profile", F.coalesce("profile", F.lit("general_policy")), F.col("forced_profile").isNotNull(), F.col("forced_profile"))),
+    ]
+    return docs.withColumn("review", F.array_compact(F.array(*points)))
 
 
 def gate(docs: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
-    """Long findings of ``rules`` (id, severity, column that holds for an offence): doc_id, finding, severity."""
+    """Long findings of ``rules`` (id, severity, column that holds for an offence): doc_id, finding, severity.
+
+    A null test is no offence. A record passes if none of its findings is hard (``passed``).
+    """
     found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(i).alias("finding"), F.lit(s).alias("severity"))) for i, s, test in rules]))
     return docs.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.finding", "f.severity")
+
+
+def passed(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """``docs`` and gate_passed: no hard finding. Findings are counted by document before they meet the documents."""
+    hard = findings.where("severity = 'hard'").groupBy("doc_id").agg(F.count("*").alias("_hard")).withColumnRenamed("doc_id", "_hard_id")
+    return docs.join(hard, F.col("doc_id") == F.col("_hard_id"), "left").withColumn("gate_passed", F.col("_hard").isNull()).drop("_hard", "_hard_id")

@@ -23,7 +23,7 @@ def silence(rows: DataFrame, subject: list[str], ts: str, gap_days: int = 14, ba
     before = Window.partitionBy(*subject).orderBy(_micros(ts)).rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"prior_count": F.count("*").over(before), "last_prior": F.max(ts).over(before)})
     gap = F.floor((_micros(ts) - _micros("last_prior")) / 86_400_000_000).cast("int")
-    rows = rows.withColumn("gap_days", F.greatest(F.lit(0), gap))
+    rows = rows.withColumn("gap_days", F.when(F.col("last_prior").isNotNull(), F.greatest(F.lit(0), gap)))
     quiet = F.coalesce(F.col("gap_days") > gap_days, F.lit(False))
     return rows.withColumn("silent", quiet & F.coalesce(F.col(band) == "thin", F.lit(False)) if band else quiet)
 

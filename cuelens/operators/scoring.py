@@ -163,3 +163,50 @@ def evidence(text: Column, pattern: str, reach: int = 12) -> Column:
     start = F.greatest(F.lit(1), at - reach)
     cut = F.substring(text, start, at - start + F.length(found) + reach)
     return F.when(found != "", F.trim(F.regexp_replace(cut, java(r"\s") + "+", " ")))
+
+
+def policy_overlay(docs: DataFrame, themes: tuple) -> DataFrame:
+    """``docs`` with policy_hits, array<struct<theme,label,level,evidence,urls>> (six at most), and policy_level: named_instrument, topical or none."""
+    text = F.col("text")
+    hits = []
+    for t in themes:
+        level = F.when(Has(t.named).column(text), "named_instrument").otherwise("topical") if t.named else F.lit("topical")
+        hit = F.struct(F.lit(t.name).alias("theme"), F.lit(t.label).alias("label"), level.alias("level"), evidence(text, t.pattern, 10).alias("evidence"), F.array(*[F.lit(u) for _, u in t.refs]).alias("urls"))
+        hits.append(F.when(Has(t.pattern).column(text), hit))
+    named = lambda h: F.when(F.exists(h, lambda x: x["level"] == "named_instrument"), "named_instrument").when(F.size(h) > 0, "topical").otherwise("none")
+    rows = docs.withColumn("_policy", bind(F.array_compact(F.array(*hits)), lambda h: F.struct(F.slice(h, 1, 6).alias("hits"), named(h).alias("level"))))
+    return rows.withColumns({"policy_hits": F.col("_policy.hits"), "policy_level": F.col("_policy.level")}).drop("_policy")
+
+
+def item_role(text: Column, kind: Column, pack: Pack) -> Column:
+    """A record's role on its desk's board, the first of these that holds: defence, diplomacy, society, instrument, meeting, sector."""
+    has = lambda p: Has(p).column(text)
+    words = pack.extra["roles"]
+    return first_of(
+        [
+            ((kind == "defense_public") | has(words["defense_public"]), F.lit("defense_public")),
+            ((kind == "foreign_affairs") | has(words["diplomatic"]), F.lit("diplomatic")),
+            (kind.isin("social_governance", "ideology_party", "rural_revitalization") | has(words["social_or_ideology"]), F.lit("social_or_ideology")),
+            (has(pack.instrument) | (kind == "implementing_instrument"), F.lit("implementing_instrument")),
+            (has(pack.meeting) | kind.isin("leadership_meeting", "macro_policy", "dual_circulation"), F.lit("direction_meeting")),
+            (kind.isin("finance_risk", "industrial_tech_policy", "economic_data"), F.lit("sector_or_risk")),
+        ],
+        F.lit("other"),
+    )
+
+
+def match_cards(docs: DataFrame, cards: list[dict], most: int = 8) -> DataFrame:
+    """(doc_id, card, score, k): each document's ``most`` best context cards that share a keyword with it.
+
+    ``docs``: doc_id, text, desk. A card (id, desks, match, bonus in thousandths) scores 400 a keyword, 1000 on its own
+    desk or 350 where it is for ``all``, and its bonus; ties go to the smaller id. In the row, without a join.
+    """
+    def scored(c: dict) -> Column:
+        hits = sum((F.when(F.contains("text", F.lit(w)), 400).otherwise(0) for w in c["match"]), F.lit(0))
+        own = F.when(F.col("desk").isin(*c["desks"]), 1000).otherwise(350 if "all" in c["desks"] else 0)
+        return bind(hits, lambda h: F.when(h > 0, F.struct((-(h + own + c["bonus"])).alias("s"), F.lit(c["id"]).alias("card"))))
+
+    rows = [scored(c) for c in sorted(cards, key=lambda c: c["id"])]
+    best = F.slice(F.array_sort(F.array_compact(F.array(*rows))), 1, most)
+    out = docs.select("doc_id", F.posexplode_outer(best).alias("at", "c")).where("at is not null")
+    return out.select("doc_id", "c.card", (-F.col("c.s")).alias("score"), (F.col("at") + 1).alias("k"))

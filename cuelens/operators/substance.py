@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelens.functions.text import around, first_match, spans
+from cuelens.functions.gloss import looked_up
+from cuelens.functions.text import around, bind, first_match, spans
 from cuelens.lexicon.rules import Pack
 from cuelens.operators.scoring import CHANNEL_TIERS
 
@@ -65,13 +66,14 @@ def nuggets(text: Column, pack: Pack, facts: Column | None = None) -> Column:
         clause = around(text, n["start"], n["value"])
         if facts is None or not pack.fact_kinds:
             return F.struct(n["kind"].alias("kind"), n["value"].alias("value"), clause.alias("evidence"), F.lit(None).cast("string").alias("value_en"), n["start"].alias("start"))
-        wanted = F.create_map(*[x for k, v in pack.fact_kinds.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
-        fit = F.filter(facts, lambda f: F.array_contains(F.element_at(wanted, n["kind"]), f["kind"]))
+        wanted = looked_up({k: f" {' '.join(v)} " for k, v in pack.fact_kinds.items()}, n["kind"])
+        fit = F.filter(facts, lambda f: F.contains(wanted, F.concat(F.lit(" "), f["kind"], F.lit(" "))))
         end = n["start"] + F.length(n["value"])
         over = F.try_element_at(F.filter(fit, lambda f: (n["start"] < f["end"]) & (end > f["start"])), F.lit(1))
         near = F.array_sort(F.transform(F.filter(fit, lambda f: F.contains(clause, f["value"])), lambda f: F.struct(F.abs(f["start"] - n["start"]).alias("far"), f["start"].alias("at"), f.alias("f"))))
-        fact = F.coalesce(over, F.try_element_at(near, F.lit(1))["f"])
-        return F.struct(n["kind"].alias("kind"), n["value"].alias("value"), F.coalesce(fact["quote"], clause).alias("evidence"), _value_en(n["kind"], fact).alias("value_en"), n["start"].alias("start"))
+        found = F.struct(F.coalesce(over, F.try_element_at(near, F.lit(1))["f"]).alias("fact"))
+        with_fact = lambda x: F.struct(n["kind"].alias("kind"), n["value"].alias("value"), F.coalesce(x["fact"]["quote"], clause).alias("evidence"), _value_en(n["kind"], x["fact"]).alias("value_en"), n["start"].alias("start"))
+        return bind(found, with_fact)
 
     return F.transform(first, told).cast(f"array<{NUGGET}>")
 

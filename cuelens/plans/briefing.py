@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelens.lexicon import MANDARIN
-from cuelens.operators import decisions, facts, scoring, substance
+from cuelens.functions.dates import as_of
+from cuelens.functions.dialect import literal
+from cuelens.lexicon.mandarin import RELATIVE_DATES
+from cuelens.lexicon.policy import THEMES
+from cuelens.operators import analysis, decisions, facts, reading, scoring, substance
 from cuelens.plans.registry import query
 
 #: Invented texts.
@@ -23,28 +27,64 @@ def brief(rows: DataFrame) -> DataFrame:
     """Every layer on (doc_id, source, text): nexus, scorecard, triage, desk, substance, class, adoption, intake, facts."""
     rows = scoring.nexus(substance.normalise(rows), MANDARIN)
     rows = scoring.desks(scoring.triage(scoring.scorecard(rows, MANDARIN), MANDARIN), MANDARIN)
-    rows = substance.cut(rows, MANDARIN).withColumn("source_class", scoring.source_class(F.col("text"), MANDARIN, label=F.col("source")))
-    return facts.facts(decisions.intake(decisions.adoption(rows, MANDARIN), MANDARIN))
+    rows = substance.cut(facts.facts(rows), MANDARIN).withColumn("source_class", scoring.source_class(F.col("text"), MANDARIN, label=F.col("source")))
+    return decisions.intake(decisions.adoption(rows, MANDARIN), MANDARIN)
 
 
 def sample(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROWS, "doc_id long, source string, text string, url string")
 
 
-@query()
+#: What the rows hold, written down by hand from the rules.
+FACTS = [
+    (1, "actor", 0, "商务部", "the Ministry of Commerce", None), (1, "instrument", 5, "通知", "a notice", None), (1, "money", 14, "3.5亿元", "RMB 350 million in special funds", 350000000.0),
+    (1, "scope", 21, "半导体试点", "a semiconductors pilot", None), (1, "subject", 21, "半导体", "semiconductors", None), (1, "deadline", 27, "2026年底前", "by end-2026", None),
+    (1, "prohibition", 37, "严禁挪用资金", "expressly prohibits a practice named only in the Mandarin excerpt", None), (3, "money", 9, "补贴", "subsidies (no amount stated)", None),
+    (4, "actor", 0, "国务院办公厅", "the State Council General Office", None), (4, "instrument", 8, "稀土管理条例", "a rare earths regulation", None), (4, "subject", 8, "稀土", "rare earths", None),
+    (4, "actor", 15, "工业和信息化部", "the Ministry of Industry and Information Technology", None), (4, "prohibition", 25, "一律不得超额开采", "flatly bars a practice named only in the Mandarin excerpt", None),
+    (4, "deadline", 34, "自2026年3月起", "from March 2026", None), (5, "subject", 0, "加拿大", "Canada", None), (5, "subject", 14, "菜籽", "canola", None),
+]
+DECISIONS = [
+    (1, "dense", "medium", "policy_instrument", "implementing_instrument", "hot_topics", "P3", "none", "none", "semiconductors", "partial", "admit"),
+    (2, "thin", "medium", "unknown_public", "macro_policy", "economy_investment", "P4", "none", "none", "macro_finance", "rejected", "reject_thin"),
+    (3, "thin", "medium", "social_commentary", "other_public_text", "economy_investment", "P4", "none", "none", "macro_finance", "rejected", "social_downweight"),
+    (4, "dense", "medium", "policy_instrument", "implementing_instrument", "hot_topics", "P3", "possible", "topical", "critical_minerals", "partial", "admit"),
+    (5, "dense", "medium", "unknown_public", "implementing_instrument", "economy_investment", "P2", "direct", "topical", "canada_trade", "partial", "admit"),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else literal(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+@query(f"SELECT CAST(a AS BIGINT) AS doc_id, b AS kind, CAST(c AS INT) AS start, d AS value, e AS value_en, CAST(f AS DOUBLE) AS amount FROM (VALUES {_values(FACTS)}) t(a, b, c, d, e, f)")
 def q38_facts_mandarin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed facts with places and amounts of inline Mandarin rows."""
-    rows = brief(sample(spark)).select("doc_id", F.explode("facts").alias("f"))
-    return rows.select("doc_id", "f.kind", "f.start", "f.value", "f.label", F.col("f.amount").cast("double").alias("amount"))
+    """Typed facts with places and amounts of inline Mandarin rows, against rows written by hand."""
+    rows = brief(sample(spark)).select("doc_id", F.explode_outer("facts").alias("f")).where("f is not null")
+    return rows.select("doc_id", "f.kind", "f.start", "f.value", "f.value_en", F.col("f.amount").cast("double").alias("amount"))
 
 
-@query()
+def read(rows: DataFrame, now: str = "2026-06-01") -> DataFrame:
+    """``brief`` and all that a reader sees: date and freshness, quality, profile, analysis, headline, prose, digest. The clock is ``now``."""
+    clock = F.lit(now).cast("date")
+    rows = scoring.policy_overlay(brief(rows), THEMES).withColumn("as_of", as_of(F.col("text"), RELATIVE_DATES, clock))
+    age = F.datediff(clock, F.col("as_of.date"))
+    rows = rows.withColumns({"band": decisions.freshness(age, F.col("as_of.precision")), "distinct_sources": F.lit(1)})
+    rows = analysis.analyse(analysis.pick(decisions.brief_quality(rows)))
+    scenarios = decisions.clamp_scenarios(F.col("analysis.scenarios"), F.col("band"))
+    watch = analysis.watchpoints(F.col("analysis.watchpoints"), F.col("band"), F.col("as_of.date"))
+    rows = rows.withColumn("analysis", F.col("analysis").withField("scenarios", scenarios).withField("watchpoints", watch))
+    told = F.when(F.col("adopted"), facts.what()).otherwise(facts.rejection())
+    return rows.withColumns({"headline": facts.headline(F.col("hard")), "what": told, "digest": facts.digest(), "missing": facts.missing_facts()})
+
+
+@query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, substance_band, signal_band, source_class, primary_kind, desk, grade, nexus, policy_level, profile, quality, intake FROM (VALUES {_values(DECISIONS)}) t(doc_id, substance_band, signal_band, source_class, primary_kind, desk, grade, nexus, policy_level, profile, quality, intake)")
 def q40_mandarin_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands, class, desk, grade, nexus and intake of inline Mandarin rows."""
-    return brief(sample(spark)).select("doc_id", "substance_band", "signal_band", "source_class", "primary_kind", "desk", "grade", "nexus", "intake")
+    """Bands, class, desk, grade, nexus, policy, profile, quality and intake of inline Mandarin rows."""
+    return read(sample(spark)).select("doc_id", "substance_band", "signal_band", "source_class", "primary_kind", "desk", "grade", "nexus", "policy_level", "profile", "quality", "intake")
 
 
 @query()
 def q41_brief_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Briefings as Markdown."""
-    return facts.markdown(brief(sample(spark)))
+    return reading.markdown(read(sample(spark)))

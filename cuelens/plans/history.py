@@ -31,7 +31,7 @@ def q22_as_of_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_AGED}, l AS (SELECT *, CASE left(o_orderpriority, 1) WHEN '1' THEN 2 WHEN '2' THEN 1 WHEN '3' THEN 1 ELSE 0 END AS lk, CASE band WHEN 'stale' THEN 0 WHEN 'unknown' THEN 0 WHEN 'aging' THEN 1 WHEN 'weak' THEN 1 ELSE 2 END AS cap FROM fresh)
+    f"""WITH {_AGED}, l AS (SELECT *, CASE left(o_orderpriority, 1) WHEN '1' THEN 2 WHEN '2' THEN 1 WHEN '3' THEN 1 ELSE 0 END AS lk, CASE WHEN band = 'unknown' THEN 0 WHEN band IN ('stale', 'aging', 'weak') THEN 1 ELSE 2 END AS cap FROM fresh)
     SELECT band, ['low', 'medium', 'high'][lk + 1] AS likelihood, ['low', 'medium', 'high'][least(lk, cap) + 1] AS clamped, count(*) AS n FROM l GROUP BY ALL"""
 )
 def q23_quality_and_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:

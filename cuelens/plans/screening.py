@@ -246,14 +246,8 @@ _CARDS = ", ".join(f"({literal(i)}, {b}, {literal(d)}, {literal(k)}.split('|'))"
 )
 def q12_ontology_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best eight context cards of a document: keywords, desk affinity and type bonus; in the row, no join."""
-    rows = []
-    for card, bonus, home, words in CARDS:
-        hits = sum((F.when(F.contains("text", F.lit(w)), 400).otherwise(0) for w in words.split("|")), F.lit(0))
-        near = F.lit(350 if home == "all" else 0) if home == "all" else F.when(F.col("desk") == home, 1000).otherwise(0)
-        rows.append(F.when(hits > 0, F.struct((-(hits + near + bonus)).alias("s"), F.lit(card).alias("card"))))
-    best = F.slice(F.array_sort(F.array_compact(F.array(*rows))), 1, 8)
-    out = desked(spark, sf_dir).select("doc_id", F.posexplode(best).alias("at", "c"))
-    return out.select("doc_id", "c.card", (-F.col("c.s")).alias("score"), (F.col("at") + 1).alias("k"))
+    catalog = [{"id": card, "bonus": bonus, "desks": (home,), "match": words.split("|")} for card, bonus, home, words in CARDS]
+    return scoring.match_cards(desked(spark, sf_dir), catalog)
 
 
 _CHANNELS = list(scoring.CHANNEL_TIERS)

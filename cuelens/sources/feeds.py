@@ -62,9 +62,31 @@ def rss_rows(feeds: DataFrame, most: int = 5) -> DataFrame:
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of landed pages, cut to ``TEXT_MOST`` characters, dropped below ``TEXT_LEAST``."""
-    text = F.substring(html_text(F.coalesce("html", F.lit(""))), 1, TEXT_MOST)
-    return pages.select("page_id", "url", text.alias("text")).where(F.length("text") >= TEXT_LEAST)
+    """(page_id, url, text) of landed pages, cut to ``TEXT_MOST`` characters, dropped below ``TEXT_LEAST``.
+
+    Where ``pages`` has content_type, only HTML, XML, JSON and plain text count; text that is not HTML stays as it is.
+    """
+    body = F.coalesce("html", F.lit(""))
+    text = html_text(body)
+    if "content_type" in pages.columns:
+        pages = pages.where(F.lower("content_type").rlike("^(text/(html|plain|xml)|application/(xhtml\\+xml|xml|json|rss\\+xml|atom\\+xml))"))
+        text = F.when(F.lower("content_type").contains("html"), text).otherwise(F.trim(body))
+    return pages.select("page_id", "url", F.substring(text, 1, TEXT_MOST).alias("text")).where(F.length("text") >= TEXT_LEAST)
+
+
+def read_fixtures(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, domain, label, text, file) of the JSON files of a folder, one an excerpt; short ones go, ids are file names, in their order."""
+    rows = spark.read.schema("domain string, sourceLabel string, sourceText string").option("multiLine", True).json(f"{folder}/*.json")
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    rows = rows.select(F.regexp_replace(F.url_decode(file), r"\.json$", "").alias("id"), F.coalesce("domain", F.lit("unknown")).alias("domain"), "sourceLabel", F.coalesce("sourceText", F.lit("")).alias("text"), file.alias("file"))
+    return rows.select("id", "domain", F.coalesce("sourceLabel", "file").alias("label"), "text", "file").where(F.length("text") >= TEXT_LEAST).orderBy("id")
+
+
+def local_rows(spark: SparkSession, whitelist: DataFrame, folder: str) -> DataFrame:
+    """(source_id, item_pos, text) of a whitelist's ``local_json`` entries whose file is in ``folder``; short texts go."""
+    files = read_fixtures(spark, folder).select("text", F.col("file").alias("f"))
+    wanted = whitelist.where("type = 'local_json'").select(F.col("id").alias("source_id"), F.element_at(F.split("path", "/"), -1).alias("p"))
+    return wanted.join(files, F.col("p") == F.col("f")).select("source_id", F.lit(0).alias("item_pos"), F.trim("text").alias("text")).where(F.length("text") >= TEXT_LEAST)
 
 
 def admit(items: DataFrame) -> DataFrame:

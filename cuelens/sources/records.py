@@ -23,14 +23,22 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.withColumn("dt", F.to_date("created_at")).write.mode("append").partitionBy("dt", "subscription_id").parquet(path)
 
 
+def write_briefs(rows: DataFrame, path: str, live: bool = False) -> None:
+    """Append records (with markdown) as JSON and their Markdown as text files' rows, by subscription; ``live`` forces that provenance, as for a saved paste."""
+    rows = rows.withColumn("provenance", F.lit("live")) if live else provenance(rows)
+    rows.drop("markdown").write.mode("append").partitionBy("subscription_id").json(f"{path}/json")
+    rows.select("subscription_id", F.col("markdown").alias("value")).write.mode("append").partitionBy("subscription_id").option("lineSep", "\n\u0000\n").text(f"{path}/markdown")
+
+
 def list_records(spark: SparkSession, path: str, subscription: str | None = None) -> DataFrame:
     rows = spark.read.parquet(path)
     return provenance(rows if subscription is None else rows.where(F.col("subscription_id") == subscription))
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON records, one a file or line; corrupt ones are left out."""
-    return spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path).where("_corrupt is null").drop("_corrupt")
+    """JSON records, one a file or line; corrupt ones are left out, and a missing provenance is filled where there is an address."""
+    rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path).where("_corrupt is null").drop("_corrupt")
+    return provenance(rows) if {"provenance", "url"} <= set(rows.columns) else rows
 
 
 def restore(archive: DataFrame, present: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Structured Streaming forms: collecting from a folder, rate limits and silence by key.
 
 The same rules as the batch operators: a window opens at a key's first hit after the last one's end,
-and a gap is measured to strictly earlier coverage. State is one small row a key.
+and a gap is measured to strictly earlier coverage. State is one small row a key; a rate limit's ends with its window
+where hits carry a watermark, so keys that stay away cost nothing. A query that is started again on its
+checkpoint goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,10 +37,16 @@ def once(docs: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
     return docs.withWatermark(event_time, delay).withColumn("paste_key", key).dropDuplicatesWithinWatermark(["paste_key"])
 
 
-def limit_hits(hits: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
-    """(key, ts, opened, n, allowed) of each hit of a stream."""
+def limit_hits(hits: DataFrame, key: str, ts: str, seconds: int, limit: int, delay: str | None = None) -> DataFrame:
+    """(key, ts, opened, n, allowed) of each hit of a stream.
+
+    With ``delay``, hits may be so late, and a key's state goes once its window is over by then; without, it is kept.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, n = state.get if state.exists else (None, 0)
         times = sorted(int(t.value // 1000) for b in batches for t in b[ts])
         rows = []
@@ -47,12 +56,14 @@ def limit_hits(hits: DataFrame, key: str, ts: str, seconds: int, limit: int) ->
             n += 1
             rows.append((k[0], pd.Timestamp(t, unit="us"), pd.Timestamp(opened, unit="us"), n, n <= limit))
         state.update((opened, n))
+        if delay:
+            state.setTimeoutTimestamp(max((opened + seconds * 1_000_000) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[key, ts, "opened", "n", "allowed"])
 
     kind = hits.schema[key].dataType.simpleString()
-    return hits.select(key, F.col(ts).cast("timestamp").alias(ts)).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, {ts} timestamp, opened timestamp, n int, allowed boolean", "opened long, n int", "append", GroupStateTimeout.NoTimeout
-    )
+    rows = hits.select(key, F.col(ts).cast("timestamp").alias(ts))
+    rows, timeout = (rows.withWatermark(ts, delay), GroupStateTimeout.EventTimeTimeout) if delay else (rows, GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, opened timestamp, n int, allowed boolean", "opened long, n int", "append", timeout)
 
 
 def silences(rows: DataFrame, subject: str, ts: str, gap_days: int = 14) -> DataFrame:
@@ -75,6 +86,43 @@ def silences(rows: DataFrame, subject: str, ts: str, gap_days: int = 14) -> Data
     )
 
 
+def cooled(calls: DataFrame, ts: str, status: str, seconds: int = 60) -> DataFrame:
+    """``calls`` with allowed: none within ``seconds`` after a refusal for rate (status 429) that was itself allowed.
+
+    A refused provider is left alone for that long; calls in between are not made, so their status does not count. The
+    provider's refusals are folded in order, which is one sequence by nature; all calls are then compared with them.
+    """
+    spans = calls.where(F.col(status) == 429).select(F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).distinct()
+    folded = F.aggregate(
+        F.array_sort(F.collect_list("t")), F.array().cast("array<bigint>"),
+        lambda done, t: F.when((F.size(done) > 0) & (t <= F.try_element_at(done, F.lit(-1)) + seconds * 1_000_000), done).otherwise(F.concat(done, F.array(t))),
+    )
+    refusals = spans.agg(folded.alias("_refusals"))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    hit = F.exists("_refusals", lambda r: (at > r) & (at <= r + seconds * 1_000_000))
+    return calls.crossJoin(F.broadcast(refusals)).withColumn("allowed", ~hit).drop("_refusals")
+
+
+def with_history(store: str, subject: str, ts: str) -> Callable[[DataFrame, int], None]:
+    """A sink that reads the store it writes: each batch's rows get the number of earlier stored rows of their subject, then join the store.
+
+    A batch that is run again replaces its own part of the store and sees only the parts before it.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        counts = batch.select(F.col(subject).alias("_s")).limit(0).withColumn("_n", F.lit(0).cast("long"))
+        try:
+            past = spark.read.parquet(store).where(F.col("batch") < number)
+            counts = past.groupBy(F.col(subject).alias("_s")).agg(F.count("*").alias("_n"))
+        except AnalysisException:  # the first batch has no store yet
+            pass
+        rows = batch.join(counts, F.col(subject) == F.col("_s"), "left").withColumn("prior", F.coalesce("_n", F.lit(0))).drop("_s", "_n")
+        rows.write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return each
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> None:
     """Take what has landed and stop; ``each`` replaces the Parquet sink by a function of micro-batches."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)

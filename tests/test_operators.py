@@ -21,7 +21,7 @@ def test_briefing_goldens(spark):
         for f in r.facts:
             assert r.text[f.start : f.end] == f.value
     money = [f for f in got[1].facts if f.kind == "money"]
-    assert float(money[0].amount) == 350_000_000 and money[0].label == "special fund"
+    assert float(money[0].amount) == 350_000_000 and money[0].vehicle == "special funds"
 
 
 def test_signals_count_and_weigh():

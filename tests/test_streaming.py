@@ -42,3 +42,31 @@ def test_screening_stream(spark, tmp_path):
     stream = live.screen(live.read_folder(spark, str(tmp_path / "docs"), "doc_id long, text string"), CORPUS).select("doc_id", "intake")
     live.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert dict(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == {1: "reject_thin", 2: "admit"}
+
+
+def test_restart_goes_on(spark, tmp_path):
+    kind = "event_id long, user_id long, ts timestamp"
+    rows = [(i, 1, T0 + datetime.timedelta(hours=h)) for i, h in enumerate([0, 1, 2, 3])]
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.limit_hits(live.read_folder(spark, str(tmp_path / "in"), kind), "user_id", "ts", 6 * 3600, 2, delay="1 hour")
+        live.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
+
+
+def test_history_is_read_by_later_batches(spark, tmp_path):
+    for day in (1, 2, 3):
+        spark.createDataFrame([(day, "s"), (day + 10, f"t{day}")], "id long, subject string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live.run_once(live.read_folder(spark, str(tmp_path / "in"), "id long, subject string"), "", str(tmp_path / "cp"), live.with_history(str(tmp_path / "store"), "subject", "id"))
+    got = {r.id: r.prior for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert (got[1], got[2], got[3], got[13]) == (0, 1, 2, 0)
+
+
+def test_cooldown_and_pastes_once(spark, tmp_path):
+    calls = [(T0 + datetime.timedelta(seconds=s), status) for s, status in [(0, 200), (10, 429), (30, 429), (70, 200), (71, 200), (100, 429), (130, 200)]]
+    got = live.cooled(spark.createDataFrame(calls, "ts timestamp, status int"), "ts", "status").orderBy("ts").collect()
+    assert [r.allowed for r in got] == [True, True, False, False, True, True, False]
+    spark.createDataFrame([(1, "a b", T0), (2, "ab", T0), (3, "c", T0)], "doc_id long, text string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.once(live.read_folder(spark, str(tmp_path / "in"), "doc_id long, text string, ts timestamp"), "ts")
+    live.run_once(stream.select("doc_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
