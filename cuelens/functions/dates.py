@@ -7,33 +7,39 @@ from pyspark.sql import functions as F
 
 from cuelens.functions.text import spans
 
-_FULL, _MONTH, _ISO = r"\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日", r"\d{4}\s*年\s*\d{1,2}\s*月", r"\d{4}-\d{1,2}-\d{1,2}"
+# Forms of a date in order, and words beside a date that make it a dateline.
+_YEAR, _MONTH, _DAY = r"((?:19|20)\d{2})\s*年\s*", r"(1[0-2]|0?[1-9])\s*月", r"\s*(3[01]|[12]?\d)\s*日"
+FULL, MONTH, ISO = _YEAR + _MONTH + _DAY, _YEAR + _MONTH + r"(?!\s*(?:3[01]|[12]?\d)\s*日)", r"\b((?:19|20)\d{2})-([01]?\d)-([0-3]?\d)\b"
+WIRE = "电|讯|报道|记者"
 
 
 def absolute_dates(text: Column) -> Column:
-    """array<struct<start,date,precision>> of dates of 1990 to 2100 that the calendar has, in order, each date once."""
+    """array<struct<start,end,date,precision>> of dates of 1990 to 2100 that the calendar has: full ones, months, ISO ones, each day and each month once."""
 
-    def read(found: Column, precision: str) -> Column:
+    def read(pattern: str, precision: str) -> Column:
         def one(m: Column) -> Column:
             parts = F.transform(F.regexp_extract_all(m["value"], F.lit(r"\d+"), F.lit(0)), lambda d: d.try_cast("int"))
             y, mo, d = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.coalesce(F.get(parts, F.lit(2)), F.lit(1))
             day = F.try_to_date(F.format_string("%04d-%02d-%02d", y, mo, d), "yyyy-MM-dd")
-            return F.struct(m["start"].alias("start"), F.when(y.between(1990, 2100), day).alias("date"), F.lit(precision).alias("precision"))
+            return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.when(y.between(1990, 2100), day).alias("date"), F.lit(precision).alias("precision"))
 
-        return F.transform(found, one)
+        return F.transform(spans(text, pattern), one)
 
-    full = spans(text, f"{_FULL}|{_ISO}")
-    every = F.concat(read(full, "day"), read(spans(text, f"{_MONTH}(?!\\s*\\d{{1,2}}\\s*日)"), "month"))
-    dated = F.array_sort(F.filter(every, lambda x: x["date"].isNotNull()))
-    empty = F.array().cast("array<struct<start:int,date:date,precision:string>>")
-    return F.aggregate(dated, empty, lambda done, x: F.when(F.exists(done, lambda k: k["date"] == x["date"]), done).otherwise(F.concat(done, F.array(x))))
+    every = F.filter(F.concat(read(FULL, "day"), read(MONTH, "month"), read(ISO, "day")), lambda x: x["date"].isNotNull())
+    empty = F.array().cast("array<struct<start:int,end:int,date:date,precision:string>>")
+    seen = lambda done, x: F.exists(done, lambda k: (k["date"] == x["date"]) & (k["precision"] == x["precision"]))
+    return F.aggregate(every, empty, lambda done, x: F.when(seen(done, x), done).otherwise(F.concat(done, F.array(x))))
 
 
 def as_of(text: Column, relative: tuple[tuple[str, int], ...], now: Column, provided: Column | None = None) -> Column:
-    """struct<date,method,precision>: provided date, else the first date of the first 120 characters or of the text, else a relative cue of the first 160."""
+    """struct<date,method,precision>: provided date, else the first date within the first 120 characters or of the text, else a relative cue of the first 160.
+
+    A date of the text is ``wire`` if a dateline's words stand within 12 characters before or 8 behind it, else ``absolute``.
+    """
     dates = absolute_dates(text)
-    early = F.filter(dates, lambda x: x["start"] < 120)
+    early = F.filter(dates, lambda x: x["end"] <= 120)
     first = F.coalesce(F.try_element_at(early, F.lit(1)), F.try_element_at(dates, F.lit(1)))
+    beside = F.substring(text, F.greatest(F.lit(1), first["start"] - 11), first["end"] - F.greatest(F.lit(0), first["start"] - 12) + 8)
     head = F.substring(text, 1, 160)
     kind = "struct<date:date,method:string,precision:string>"
 
@@ -43,7 +49,7 @@ def as_of(text: Column, relative: tuple[tuple[str, int], ...], now: Column, prov
     cases = []
     if provided is not None:
         cases.append(F.when(provided.isNotNull(), made(provided, "provided", "day").cast(kind)))
-    wire = F.when(first["start"] < 120, made(first["date"], "wire", first["precision"])).otherwise(made(first["date"], "absolute", first["precision"]))
+    wire = F.when(beside.rlike(WIRE), made(first["date"], "wire", first["precision"])).otherwise(made(first["date"], "absolute", first["precision"]))
     cases.append(F.when(first.isNotNull(), wire.cast(kind)))
     cases += [F.when(F.contains(head, F.lit(cue)), made(F.date_sub(now, days), "relative", "relative").cast(kind)) for cue, days in relative]
     return F.coalesce(*cases, made(F.lit(None).cast("date"), "none", "none").cast(kind))

@@ -63,5 +63,6 @@ def test_dates(spark):
     assert [(x.date, x.precision) for x in got] == [(datetime.date(2025, 3, 5), "day"), (datetime.date(2024, 7, 1), "month")]
     now = F.lit("2026-01-10").cast("date")
     assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "昨日消息").method == "relative"
-    assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "2025-12-01 昨日").method == "wire"
+    assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "2025-12-01 昨日").method == "absolute"
+    assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "新华社北京2025年12月1日电").method == "wire"
     assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "没有").method == "none"
