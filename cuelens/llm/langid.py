@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cuelens.llm.rows import bucket_of_id, sample_fraction
 from cuelens.llm.session import worker_imports
-from cuelens.llm.textkit import Texts, mix, slices
+from cuelens.llm.textkit import Texts, let_go, mix, slices
 
 #: The most labelled rows of a language that are learned from, about.
 PER_LANG = 4000
@@ -166,6 +166,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], share_known: bool =
             langs, *scores = shared.value.predict(batch.column(at), share_known)
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), *(pa.array(s) for s in scores if s is not None)], schema.names)
+        let_go()
 
     schema = docs.select(*keep).schema.add("_lang_pred", "string").add("_lang_score", "double")
     if share_known:

@@ -29,19 +29,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelens.llm.bits import bit_table, split
 from cuelens.llm.components import components
 from cuelens.llm.session import store, worker_imports
-from cuelens.llm.textkit import Texts, mix, slices, windows
+from cuelens.llm.textkit import Texts, let_go, mix, slices, windows
 
 SHINGLE = 5
 #: A pair is linked if 9 * common >= 4 * (sum of sizes): similarity 4/5 at least.
 BANDS, ROWS = 36, 6
 #: Shingles and nodes of one verification block, and shingles of the small components that share a task.
 BLOCK_SHINGLES, BLOCK_NODES, TASK_SHINGLES = 200_000, 1500, 1_000_000
+#: Text whose sets a verification task holds at a time, if one component has no more.
+SET_BYTES = 1 << 20
+#: Text signed at a time.
+SIGN_BYTES = 1 << 20
 #: A component or bucket beyond so many nodes is dealt over several blocks, however small, up to ``SPREAD``.
 FEW_NODES, SPREAD = 400, 8
 #: Sizes of linked sets differ by a factor of 1.25 at most, so by one class of this base at most.
@@ -74,7 +79,7 @@ def shingle_sets(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", SIGN_BYTES):
         sets, off = shingle_sets(batch.column("text"))
         size = np.diff(off)
         some = np.flatnonzero(size)
@@ -91,6 +96,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array(size, pa.int32()), pa.array(node.view(np.int64)), lists], ["doc_id", "text_hash", "n", "node", "bands"]
         )
+    let_go()
 
 
 def _verify(table: pa.Table) -> pa.Table:
@@ -102,23 +108,29 @@ def _verify(table: pa.Table) -> pa.Table:
     fresh[1:] = (comp[1:] != comp[:-1]) | (node[1:] != node[:-1])
     order = order[fresh]
     comp, node, copies, side, band = (frame[c][order] for c in ("comp", "node", "copies", "side", "band"))
-    rows = pa.array(order)
-    sets, off = shingle_sets(table["text"].combine_chunks().take(rows))
-    bands = table["bands"].combine_chunks().take(rows)
+    text, bands = table["text"].combine_chunks(), table["bands"].combine_chunks()
+    total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(text), 0), np.int64)[order])
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     edge = np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1], [True]]))
+    sets, off, first, end = np.zeros(0, np.uint64), np.zeros(1, np.int64), 0, 0
     for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        if lo == end:  # sets of the next components, of about ``SET_BYTES`` of text or of one component, are held at a time
+            most = (total[lo - 1] if lo else 0) + SET_BYTES
+            first, end = lo, max(hi, edge[np.searchsorted(edge, np.searchsorted(total, most, "right"), "right") - 1])
+            sets, off = shingle_sets(text.take(pa.array(order[lo:end])))
         if hi - lo > 1:
-            linked = _linked(sets[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], side[lo:hi])
+            own = slice(lo - first, hi - first + 1)
+            linked = _linked(sets[off[own][0] : off[own][-1]], off[own] - off[own][0], side[lo:hi])
             if band[lo] > 0:  # pairs that share an earlier band are judged there
-                own = bands.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)
+                given = bands.take(pa.array(order[lo:hi])).flatten().to_numpy().reshape(hi - lo, -1)
                 for k in range(band[lo]):
-                    linked &= own[:, k][:, None] != own[:, k][None, :]
+                    linked &= given[:, k][:, None] != given[:, k][None, :]
             a, b = np.nonzero(linked)
             if len(a):
                 links = linked.astype(np.int64) @ copies[lo:hi]
                 some = np.flatnonzero(links)
                 out.append((node[lo:hi][some], links[some], node[lo:hi][_roots(len(linked), a, b)[some]]))
+    let_go()
     columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
     return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("node", "links", "root"), columns, strict=True)})
 

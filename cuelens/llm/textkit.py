@@ -6,6 +6,7 @@ carriage return. All functions work on the UTF-8 bytes, so no text becomes a Pyt
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,3 +162,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int
             hi = max(lo + 1, int(np.searchsorted(total, base + most_bytes, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+
+
+def let_go() -> None:
+    """Give memory that a finished task no longer uses back to the system: workers live on, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc keeps its own counsel
+        return
