@@ -130,7 +130,6 @@ def _verify(table: pa.Table) -> pa.Table:
                 links = linked.astype(np.int64) @ copies[lo:hi]
                 some = np.flatnonzero(links)
                 out.append((node[lo:hi][some], links[some], node[lo:hi][_roots(len(linked), a, b)[some]]))
-    let_go()
     columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
     return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("node", "links", "root"), columns, strict=True)})
 
