@@ -248,7 +248,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rows = nodes.select("node", F.posexplode("bands").alias("k", "band"))
     full = store(rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select(F.col("band").alias("b"), "least", "c"), "full")
     ties = rows.join(full, F.col("band") == F.col("b")).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    found = store(components(ties), "candidates")
+    found = components(ties)
     about = nodes.select(F.col("node").alias("nd"), "n", "copies", "of", F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_BASE))).cast("int").alias("level"), "bands")
     members = store(found.join(about, F.col("node") == F.col("nd")).select("node", F.col("component").alias("comp"), "n", "copies", "of", "level", "bands"), "members")
     tasks = _tasks(members, rows, full).withColumnRenamed("node", "task_node")
