@@ -90,6 +90,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document of ``documents``, drawn towards ``benchmark``."""
+    from cuelens.llm.importance import importance_digest
+
+    return importance_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_byte_bpe": op2_byte_bpe,
@@ -102,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -196,4 +204,36 @@ ORACLE_SQL: dict[str, str] = {
                vec_id AS negative_id, positive_score, score AS negative_score
         FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
         QUALIFY rank <= 5""",
+    "op12_importance_resampling": f"""
+        WITH tab AS (
+          SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(CAST(n AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), w AS (
+          SELECT 's' AS side, doc_id AS id, row_number() OVER () AS k, {_WORDS} AS ws FROM documents
+          UNION ALL SELECT 't', item_id, row_number() OVER (), {_WORDS} FROM benchmark
+        ), f AS (
+          SELECT side, id, k, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w
+        ), h AS (
+          SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)
+        ), b AS (
+          SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(len(x) // 2 AS BIGINT)), lambda i: CAST(16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) + instr('0123456789ABCDEF', x[2 * i + 2]) - 1 AS BIGINT))),
+                        lambda c, y: xor(c >> 8, t[CAST(xor(c & 255, y) + 1 AS INTEGER)])), 4294967295) % 10000 AS bucket
+          FROM h, tab
+        ), n AS (
+          SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM f JOIN b USING (f) GROUP BY bucket
+        ), tot AS (
+          SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM n
+        ), gain AS (
+          SELECT bucket, CAST(floor(1000 * ln((n.t + 1.0::DOUBLE) * (tot.s + 10000) / ((n.s + 1.0::DOUBLE) * (tot.t + 10000)))) AS BIGINT) AS g FROM n, tot
+        ), m AS (
+          SELECT k, count(*) AS n_features, CAST(floor(CAST(sum(g) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+          FROM f JOIN b USING (f) JOIN gain USING (bucket) WHERE side = 's' GROUP BY k
+        ), d AS (
+          SELECT id AS doc_id, len(ws) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', sha256('7:' || coalesce(CAST(id AS VARCHAR), ''))[i]) - 1 AS BIGINT))), lambda c, y: 16 * c + y) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+          FROM w LEFT JOIN m USING (k) WHERE side = 's'
+        )
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_words >= 20 AND row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) <= 25 * count(*) FILTER (n_words >= 20) OVER () // 100
+                    THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS rank
+        FROM d""",
 }
