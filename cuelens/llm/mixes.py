@@ -47,6 +47,20 @@ def solve(mixes: np.ndarray, histogram: np.ndarray, rounds: int) -> np.ndarray:
 
 #: Rounds of the solver, over so many of the largest mixes a length; first over all.
 SCHEDULE = ((None, 100), (24, 150), (12, 200), (6, 400), (3, 1000))
+#: The largest mixes of each length that stay whatever the others.
+EACH = 3
+
+
+def _largest(mixes: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` mixes of largest x, and the EACH largest with each length."""
+    order = np.argsort(-x, kind="stable")
+    keep = np.zeros(len(mixes), bool)
+    keep[order[:most]] = True
+    length, holder = mixes[order].ravel(), np.repeat(order, mixes.shape[1])
+    by = np.argsort(length, kind="stable")
+    place = np.arange(len(by)) - np.searchsorted(length[by], length[by])
+    keep[holder[by][(place < EACH) & (length[by] > 0)]] = True
+    return mixes[keep]
 
 
 def repeat_counts(mixes: np.ndarray, histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +68,7 @@ def repeat_counts(mixes: np.ndarray, histogram: np.ndarray) -> tuple[np.ndarray,
     x = np.zeros(0)
     for most, rounds in SCHEDULE:
         if most:
-            mixes = mixes[np.argsort(-x, kind="stable")[: most * len(histogram)]]
+            mixes = _largest(mixes, x, most * len(histogram))
         x = solve(mixes, histogram, rounds)
     return mixes, x
 
