@@ -150,11 +150,12 @@ def windows(words: Words, hashes: np.ndarray, width: int, block: int = 1 << 18,
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``most_bytes`` of ``column``, one row at least."""
+    """The same rows in batches of at most ``most_bytes`` of ``column``, texts, binaries or lists of integers, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+        own = batch.column(column)
+        size = np.asarray(pc.fill_null(pc.list_value_length(own) if pa.types.is_list(own.type) else pc.binary_length(own), 0), np.int64) * (4 if pa.types.is_list(own.type) else 1)
         total = np.cumsum(size)
         lo = 0
         while lo < len(size):

@@ -7,7 +7,7 @@ counters alone skips the rest. A document's start in the whole is its start in i
 tokens of the parts before; those totals are one row a part.
 
 Texts are encoded by the tokenizers library word by word: white space never joins two words in this
-tokenizer (its pattern drops it), so a task encodes a word once and not once an occurrence.
+tokenizer (its pattern drops it), so a process encodes a word once and looks it up by hash from then on.
 
 Defined cases: a null text is an empty one and holds the end id alone; null doc_ids come first; equal
 doc_ids are ordered by text, and each row is a document; an empty table gives one empty file; columns
@@ -17,7 +17,6 @@ other than doc_id and text are not written.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelens.llm.session import parts_for, scratch_path, steady, worker_imports
-from cuelens.llm.textkit import slices
+from cuelens.llm.textkit import Texts, slices
+from cuelens.llm.wordtable import WordTable, split_plain
 
 END_ID = 1
 #: Stored input for one file.
 FILE_BYTES = 12 << 20
-MEMORY_WORDS = 400_000
 OPTIONS = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -48,18 +47,13 @@ OPTIONS = {
 _SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, token_ids array<int>"
 
 
-# Latin-1 by the tokenizer's own classes: letters, numbers, white space.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\x09-\x0d\x20\x85\xa0"
-_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-
-
 class Encoder:
-    """The library behind a memory of words.
+    """The library behind tables of words.
 
-    A Latin-1 text is its own NFC form and lower-cased without context, so its words are those the
-    tokenizer's pattern finds in the lower-cased text; other texts, and those with a special token's
-    marks, are cut at ASCII white space alone. Many words are encoded in one call; the ids of each end
-    with a token that has the end-of-word mark.
+    A text of Latin-1 characters is its own NFC form and lower-cased without context, so its words are those the
+    tokenizer's pattern finds in the lower-cased bytes; other texts, and those with a special token's marks, are cut
+    at ASCII white space alone. Many words are encoded in one call; the ids of each end with a token that has the
+    end-of-word mark.
     """
 
     def __init__(self, path: str):
@@ -67,47 +61,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.chunks = re.compile(r"[^\x20\x09-\x0d]+").findall
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
-
-    def _split(self, text: str | None) -> tuple[bool, list[str]]:
-        text = text or ""
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return False, self.chunks(text)
-            return True, _LATIN.findall(text.lower())
-        return False, self.chunks(text)
-
-    def _learn(self, fresh: list[str]) -> None:
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
+        self.words, self.chunks = WordTable(self._words), WordTable(self._chunks)
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        counts, ids = [], []
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            got = np.array(self.library.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            stop = np.flatnonzero(self.ends[got]) + 1
             if len(stop) != len(part):
                 raise ValueError("the tokenizer joins or splits words in another way than its pattern says")
-            raw, start = ids.tobytes(), [0, *stop[:-1].tolist()]
-            self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, start, stop.tolist(), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers, without the end id."""
-        split = [self._split(t) for t in texts]
-        for known in (self.words, self.others):
-            if len(known) > MEMORY_WORDS:
-                known.clear()
-        words, others = self.words, self.others
-        self._learn(list({w for latin, ws in split if latin for w in ws if w not in words}))
-        fresh = list({w for latin, ws in split if not latin for w in ws if w not in others})
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
-            for w, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                others[w] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join([words[w] for w in ws] if latin else [others[w] for w in ws]) for latin, ws in split]
+            counts.append(np.diff(stop, prepend=0)), ids.append(got)
+        return np.concatenate(counts), np.concatenate(ids)
+
+    def _chunks(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for k in range(0, len(words), 4096) for x in self.library.encode_batch_fast([w.decode() for w in words[k : k + 4096]], add_special_tokens=False)]
+        return np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts' ids, and all ids, without the end id."""
+        own = Texts(texts)
+        marks = own.buf == ord("<")
+        marks[:-1] &= own.buf[1:] == ord("|")
+        latin = (own.per_text(own.buf >= 0xC4) == 0) & (own.per_text(marks) == 0)
+        size, parts = np.zeros(own.n, np.int64), []
+        for some, plain in ((np.flatnonzero(latin), True), (np.flatnonzero(~latin), False)):
+            if len(some):
+                part = own if len(some) == own.n else Texts(texts.take(pa.array(some)))
+                if plain:
+                    part.buf = _lower(part.buf)
+                    start, end, first = split_plain(part)
+                else:
+                    words = part.words()
+                    start, end, first = words.start, words.end, words.first
+                count, ids = (self.words if plain else self.chunks).encode(part.buf, start, end)
+                size[some] = np.diff(np.concatenate([[0], np.cumsum(count)])[first])
+                parts.append((some, ids))
+        off = np.concatenate([[0], np.cumsum(size)])
+        if len(parts) == 1:
+            return off, parts[0][1]
+        out = np.empty(off[-1], np.uint32)
+        for some, ids in parts:
+            own_size = size[some]
+            out[np.repeat(off[some] - (np.cumsum(own_size) - own_size), own_size) + np.arange(len(ids))] = ids
+        return off, out
+
+
+def _lower(buf: np.ndarray) -> np.ndarray:
+    """Latin-1 letters in UTF-8 in lower case: A to Z, and the upper ones behind byte C3, but for the multiplication sign."""
+    out = buf.copy()
+    out[(buf >= 0x41) & (buf <= 0x5A)] += 32
+    at = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    at = at[(buf[at] <= 0x9E) & (buf[at] != 0x97)]
+    out[at] += 32
+    return out
 
 
 @cache
@@ -123,17 +133,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     parts = parts_for(docs, FILE_BYTES)
-    end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, done, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in slices(batches, "text", 2 << 20):
-            data = [x + end for x in own.encode(batch.column("text").to_pylist())]
-            off = np.cumsum([0, *(len(x) // 4 for x in data)])
-            ids = pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
+            found, flat = own.encode(batch.column("text"))
             n = batch.num_rows
+            off = found + np.arange(n + 1)
+            data = np.full(off[-1], END_ID, np.int32)
+            inner = np.ones(len(data), bool)
+            inner[off[1:] - 1] = False
+            data[inner] = flat
+            ids = pa.array(data)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part] * n, pa.int32()), batch.column("doc_id"), pa.array(done + off[:-1], pa.int64()), pa.array(np.diff(off), pa.int64()),
@@ -162,10 +175,10 @@ def token_starts(files: DataFrame) -> DataFrame:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, "token_ids"):
         lists = batch.column("token_ids")
         off = lists.offsets.to_numpy().astype(np.int64)
-        ids = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False)).astype("<u4")
+        ids, off = lists.values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False).astype("<u4"), off - off[0]
         crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

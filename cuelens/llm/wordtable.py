@@ -54,6 +54,22 @@ def byte_classes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, lead
 
 
+def _contract(buf: np.ndarray, kind: np.ndarray, edge: np.ndarray, begins: np.ndarray) -> None:
+    """``'s 't 'm 'd 're 've 'll`` are words where a word begins at their apostrophe; letters behind them begin another."""
+    n = len(buf)
+    mark = np.flatnonzero((buf == 0x27) & begins[:n])
+    mark = mark[mark + 1 < n]
+    mark = mark[begins[mark + 1] & ~edge[mark + 1] & (kind[mark + 1] == LETTER)]
+    if len(mark):
+        padded = np.concatenate([buf, np.zeros(4, np.uint8)])
+        one = np.isin(padded[mark + 1], np.frombuffer(b"stmd", np.uint8))
+        two = ((padded[mark + 1] == ord("r")) | (padded[mark + 1] == ord("v"))) & (padded[mark + 2] == ord("e")) | (padded[mark + 1] == ord("l")) & (padded[mark + 2] == ord("l"))
+        two &= ~one & ~edge[np.minimum(mark + 2, n)]
+        begins[mark[one | two] + 1] = False
+        begins[mark[one] + 2] = True
+        begins[mark[two] + 3] = True
+
+
 def split_spaced(texts: Texts, special: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
     """Starts of the words of byte-level BPE, and the first word of each text.
 
@@ -83,24 +99,30 @@ def split_spaced(texts: Texts, special: bytes = b"") -> tuple[np.ndarray, np.nda
         before -= ~lead[before]
     begins[before] = True
     begins[after[buf[before] == 0x20]] = False
-    # a contraction is a word where a word could begin at its apostrophe
-    mark = np.flatnonzero((buf == 0x27) & begins[:n])
-    mark = mark[mark + 1 < n]
-    mark = mark[begins[mark + 1] & ~edge[mark + 1] & (kind[mark + 1] == LETTER)]
-    if len(mark):
-        padded = np.concatenate([buf, np.zeros(4, np.uint8)])
-        one = np.isin(padded[mark + 1], np.frombuffer(b"stmd", np.uint8))
-        two = ((padded[mark + 1] == ord("r")) | (padded[mark + 1] == ord("v"))) & (padded[mark + 2] == ord("e")) | (padded[mark + 1] == ord("l")) & (padded[mark + 2] == ord("l"))
-        two &= ~one & ~edge[np.minimum(mark + 2, n)]
-        begins[mark[one | two] + 1] = False
-        begins[mark[one] + 2] = True
-        begins[mark[two] + 3] = True
+    _contract(buf, kind, edge, begins)
     for at in inside:
         begins[at + 1 : at + len(special)] = False
     start = np.flatnonzero(begins[:n])
     return start, np.searchsorted(start, off)
 
 
+def split_plain(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the matches, in order, of ``'s|'t|'re|'ve|'m|'ll|'d|L+|N|O+``, and the first of each text; white space is left out."""
+    buf, off = texts.buf, texts.off
+    n = len(buf)
+    kind, lead = byte_classes(buf)
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    begins = edge.copy()
+    begins[1:n] |= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER) & lead[1:]
+    _contract(buf, kind, edge, begins)
+    start = np.flatnonzero(begins[:n])
+    end = np.append(start, n)[1:]
+    some = kind[start] != SPACE
+    start, end = start[some], end[some]
+    return start, end, np.searchsorted(start, off)
+
+
 class WordTable:
     """Ids of words by hash. ``learn`` takes words as bytes and gives their numbers of ids and all ids in order."""
 

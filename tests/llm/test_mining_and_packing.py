@@ -229,3 +229,24 @@ def test_words_of_bytes():
         off, ids = own.encode(pa.array(texts, pa.string()))
         for t, a, b in zip(texts, off[:-1], off[1:], strict=True):
             assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_lower_case_words_of_bytes():
+    """The same for the tokenizer of the token files: Latin-1 texts by words, others and special marks by chunks."""
+    import public_tokenizers as p
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from cuelens.llm import tokenfile
+
+    library = Tokenizer.from_file(p.path("word_bpe_49k.json"))
+    own = tokenfile.Encoder(p.path("word_bpe_49k.json"))
+    own.words.most = own.chunks.most = 300
+    rng = random.Random(5)
+    latin = [*"ab ZST'MDrevl 's 't're've'll  \n\t\r.!?12²½éÉßÀÞ×÷ÿµª \x85\x1c\x1f", "I'LL", "'re x", "''s"]
+    other = [*"ab ZsT'm  \n.!12²½éÉßЖ日本Σς  ​-😀", "<|endoftext|>", "<|startoftext|>", "<|"]
+    for parts in (latin, other, latin + other):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(700)] + ["", None]
+        off, ids = own.encode(pa.array(texts, pa.string()))
+        for t, a, b in zip(texts, off[:-1], off[1:], strict=True):
+            assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
