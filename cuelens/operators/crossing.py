@@ -76,15 +76,43 @@ def shared_terms(rows: DataFrame, run: str, terms: str, source: str) -> DataFram
     return flat.groupBy(run, "term").agg(F.min(source).alias("a"), F.max(source).alias("b")).where("a < b").select(run, "term")
 
 
+#: Issuers that a set shares with others, up to which its partners are counted by subsets.
+MOST_SHARED = 12
+
+
 def independent_pair(rows: DataFrame, run: str, issuers: str, order: str) -> DataFrame:
     """(run, first, second): the first pair, by order, of sources with issuers that do not overlap.
 
-    Only the first source of each distinct issuer set can be in that pair, so sets are paired and not sources.
+    Sets are not paired. How many sets meet a set S is a sum over its subsets U that are not empty: the number of sets
+    that hold all of U, counted for odd sizes and off for even ones. Those numbers are one aggregation over the subsets
+    of all sets. The earliest set that fewer than all sets meet is the first of the pair, and its partner is the
+    earliest set without its issuers. Issuers of one set alone can meet nothing and are left out. Sets with more than
+    ``MOST_SHARED`` shared issuers, 4,096 subsets, are compared with the run's sets one by one.
     """
-    sets = rows.where(F.size(issuers) > 0).groupBy(run, F.array_sort(issuers).alias("set")).agg(F.min(order).alias("at"))
-    other = sets.select(F.col(run).alias("r"), F.col("set").alias("other"), F.col("at").alias("later"))
-    pairs = sets.join(other, (F.col(run) == F.col("r")) & (F.col("at") < F.col("later"))).where(~F.arrays_overlap("set", "other"))
-    return pairs.groupBy(run).agg(F.min(F.struct("at", "later")).alias("p")).select(run, F.col("p.at").alias("first"), F.col("p.later").alias("second"))
+    sets = rows.where(F.size(issuers) > 0).groupBy(run, F.array_sort(F.array_distinct(issuers)).alias("set")).agg(F.min(order).alias("at"))
+    flat = sets.select(run, "set", F.explode("set").alias("issuer"))
+    common = flat.groupBy(run, "issuer").agg(F.count("*").alias("n")).where("n > 1").select(F.col(run).alias("_run"), F.col("issuer").alias("_issuer"))
+    cores = flat.join(common, (F.col(run) == F.col("_run")) & (F.col("issuer") == F.col("_issuer"))).groupBy(run, "set").agg(F.array_sort(F.collect_list("issuer")).alias("core"))
+    whole = sets.groupBy(run).agg(F.count("*").alias("n_sets"))
+    few, many = cores.where(F.size("core") <= MOST_SHARED), cores.where(F.size("core") > MOST_SHARED)
+
+    every = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("core")) - 1)
+    picks = F.transform(every, lambda m: F.filter("core", lambda x, i: F.getbit(m, i) == 1))
+    subsets = few.select(run, "set", F.explode(picks).alias("subset"))
+    held = subsets.groupBy(run, "subset").agg(F.count("*").alias("n")).select(F.col(run).alias("_run"), F.col("subset").alias("_subset"), "n")
+    sign = F.when(F.size("subset") % 2 == 1, 1).otherwise(-1)
+    met = subsets.join(held, (F.col(run) == F.col("_run")) & (F.col("subset") == F.col("_subset"))).groupBy(run, "set").agg(F.sum(sign * F.col("n")).alias("met"))
+    wide = many.select(F.col(run).alias("_run"), F.col("set").alias("_wide"))
+    overlap = F.arrays_overlap("set", "_wide")
+    by_wide = sets.join(wide, F.col(run) == F.col("_run")).where(overlap)
+    met_wide = by_wide.groupBy(run, "set").agg(F.count("*").alias("met"))
+    of_wide = by_wide.join(many.select(F.col(run).alias("r"), F.col("set").alias("s")), (F.col(run) == F.col("r")) & (F.col("set") == F.col("s")), "left_anti").groupBy(run, F.col("_wide").alias("set")).agg(F.count("*").alias("met"))
+    all_met = met.unionByName(met_wide).unionByName(of_wide).groupBy(F.col(run).alias("_run"), F.col("set").alias("_set")).agg(F.sum("met").alias("met"))
+    counted = sets.join(all_met, (F.col(run) == F.col("_run")) & (F.col("set") == F.col("_set")), "left").drop("_run")
+    open_ = counted.join(whole.withColumnRenamed(run, "_run"), F.col(run) == F.col("_run")).where((F.col("n_sets") > 1) & (F.coalesce("met", F.lit(1)) < F.col("n_sets")))
+    first = open_.groupBy(F.col(run).alias("_run")).agg(F.min(F.struct("at", "set")).alias("first"))
+    partner = sets.join(first, F.col(run) == F.col("_run")).where(~F.arrays_overlap("set", F.col("first.set")))
+    return partner.groupBy(run).agg(F.first("first.at").alias("first"), F.min("at").alias("second"))
 
 
 def phrases(text: Column, formula: tuple[str, ...], n: int = 4, of: str = r"\p{L}") -> Column:

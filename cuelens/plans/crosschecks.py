@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import literal
 from cuelens.lexicon import CORPUS
-from cuelens.operators import crossing, decisions, scoring, substance
+from cuelens.operators import containment, crossing, decisions, scoring, substance
 from cuelens.plans.registry import query, table
 from cuelens.plans.screening import CARD_SQL, DESK_SQL, INTAKE_SQL, NUGGETS_SQL, cards, cuts, desked, screened, texts
 
@@ -102,16 +102,11 @@ def q19_analysis_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.confidence(rows).select("doc_id", "confidence", "confidence_score")
 
 
-#: Items that are broadcast to be looked for in every text; beyond them Spark chooses.
-MOST_QUOTES = 50_000
-
-
 @query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0")
 def q20_quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages that a document holds word for word."""
-    quotes = table(spark, sf_dir, "benchmark").where(F.length("text") > 0).select("item_id", F.col("text").alias("quote"))
-    quotes = F.broadcast(quotes) if quotes.count() <= MOST_QUOTES else quotes
-    return table(spark, sf_dir, "documents").join(quotes, F.contains("text", "quote")).select("item_id", "doc_id")
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
+    return containment.contained(table(spark, sf_dir, "documents"), passages).select(F.col("passage_id").alias("item_id"), "doc_id")
 
 
 @query(
