@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-from pyspark.storagelevel import StorageLevel
 
 from cuelens.functions.dialect import java
 from cuelens.functions.text import char_grams, matches, most_specific
@@ -50,12 +48,16 @@ def limited_overlap(rows: DataFrame, run: str, text: str, terms: tuple[str, ...]
     return seen.select(run).join(common, run, "left_anti")
 
 
-def topic_keys(desk: Column, themes: Column, kind: Column, subjects: Column, nuggets: Column) -> Column:
-    """``desk:``, ``hot:``, ``kind:``, ``subj:`` and ``nugget:`` keys of a record, each once; nuggets of sectors, places and instruments by their lower-case English, else their value."""
+def topic_keys(desk: Column, themes: Column, kind: Column, subjects: Column, nuggets: Column, found: Column | None = None) -> Column:
+    """``desk:``, ``hot:``, ``kind:``, ``subj:`` of subjects that sources share, ``nugget:`` and ``subj:`` of subjects ``found`` in the text, each once.
+
+    Nuggets of sectors, places and instruments count, by their lower-case English, else their value.
+    """
     named = F.filter(nuggets, lambda n: n["kind"].isin("named_sector_or_place", "named_instrument"))
     keyed = lambda prefix, values: F.transform(values, lambda v: F.concat(F.lit(prefix), v))
-    one = F.array_compact(F.array(F.concat(F.lit("desk:"), desk), F.concat(F.lit("kind:"), kind)))
-    return F.array_distinct(F.concat(one, keyed("hot:", themes), keyed("subj:", subjects), keyed("nugget:", F.transform(named, lambda n: F.lower(F.coalesce(n["value_en"], n["value"]))))))
+    one = lambda prefix, value: F.when(value.isNotNull(), F.array(F.concat(F.lit(prefix), value))).otherwise(F.array().cast("array<string>"))
+    parts = [one("desk:", desk), keyed("hot:", themes), one("kind:", kind), keyed("subj:", subjects), keyed("nugget:", F.transform(named, lambda n: F.lower(F.coalesce(n["value_en"], n["value"]))))]
+    return F.array_distinct(F.concat(*parts, *([keyed("subj:", found)] if found is not None else [])))
 
 
 def shared(rows: DataFrame, run: str, terms: str, source: str, least: int = 2) -> DataFrame:
@@ -139,49 +141,3 @@ def corroborate(rows: DataFrame, run: str, source: str, order: str) -> DataFrame
         .otherwise(0)
     )
     return joined.select(run, "n_sources", "n_subjects", "n_phrases", "independent", score.alias("corroboration"))
-
-
-NEXUS_BONUS = {"direct": 3, "possible": 1}
-
-
-def related(rows: DataFrame, limit: int = 6) -> DataFrame:
-    """(id, other, score, k): for each record its ``limit`` best others.
-
-    ``rows``: id, created, keys (array of ``prefix:value``), nexus. A pair needs a shared key that is
-    neither ``desk:`` nor ``kind:``, or the same desk and kind. Scores depend on key sets alone, so key
-    sets are paired by shared keys and each contributes its newest ``limit`` + 1 records; records are
-    never paired all with all, however many share a key.
-    """
-    # four branches read the keys: without this each would match the rules anew
-    rows = rows.select("id", "created", F.array_sort("keys").alias("keys"), "nexus").persist(StorageLevel.DISK_ONLY)
-    newest = Window.partitionBy("keys", "nexus").orderBy(F.desc("created"), F.desc("id"))
-    top = rows.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= limit + 1)
-    sets = rows.select("keys", "nexus").distinct()
-    theirs = sets.select(F.col("keys").alias("their_keys"), F.col("nexus").alias("their_nexus"))
-    mine = sets.select("keys").distinct()
-
-    def handles(keys: str) -> Column:
-        one = lambda p: F.element_at(F.filter(keys, lambda k: F.startswith(k, F.lit(p))), 1)
-        soft = F.when(F.exists(keys, lambda k: F.startswith(k, F.lit("desk:"))) & F.exists(keys, lambda k: F.startswith(k, F.lit("kind:"))), F.array(F.concat(one("desk:"), F.lit("+"), one("kind:"))))
-        return F.concat(_concrete(F.col(keys)), F.coalesce(soft, F.array().cast("array<string>")))
-
-    left = mine.select("keys", F.explode(handles("keys")).alias("h"))
-    right = theirs.select("their_keys", "their_nexus", F.explode(handles("their_keys")).alias("g"))
-    pairs = left.join(right, F.col("h") == F.col("g")).select("keys", "their_keys", "their_nexus").distinct()
-    common = F.size(_concrete(F.array_intersect("keys", "their_keys")))
-    of = lambda keys, p: F.filter(keys, lambda k: F.startswith(k, F.lit(p)))
-    soft = (F.size(of("keys", "desk:")) > 0) & (F.size(of("keys", "kind:")) > 0) & (of("keys", "desk:") == of("their_keys", "desk:")) & (of("keys", "kind:") == of("their_keys", "kind:"))
-    bonus = F.when(F.col("their_nexus") == "direct", NEXUS_BONUS["direct"]).when(F.col("their_nexus") == "possible", NEXUS_BONUS["possible"]).otherwise(0)
-    specific = F.when(common > 0, common / F.size("their_keys")).otherwise(1.0)
-    scored = pairs.select("keys", "their_keys", "their_nexus", ((common * 2 + bonus) * specific + F.when(soft, 1).otherwise(0)).alias("score"))
-    best = top.select(F.col("id").alias("other"), F.col("created").alias("other_created"), F.col("keys").alias("tk"), F.col("nexus").alias("tn"))
-    listed = scored.join(best, (F.col("their_keys") == F.col("tk")) & (F.col("their_nexus") == F.col("tn")))
-    by_set = Window.partitionBy("keys").orderBy(F.desc("score"), F.desc("other_created"), F.desc("other"))
-    listed = listed.withColumn("r", F.row_number().over(by_set)).where(F.col("r") <= limit + 1).select(F.col("keys").alias("mk"), "other", "other_created", "score")
-    out = rows.join(listed, F.col("keys") == F.col("mk")).where(F.col("id") != F.col("other"))
-    each = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("other_created"), F.desc("other"))
-    return out.withColumn("k", F.row_number().over(each)).where(F.col("k") <= limit).select("id", "other", "score", "k")
-
-
-def _concrete(keys: Column) -> Column:
-    return F.filter(keys, lambda k: ~F.startswith(k, F.lit("desk:")) & ~F.startswith(k, F.lit("kind:")))

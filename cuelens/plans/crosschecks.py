@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import literal
 from cuelens.lexicon import CORPUS
-from cuelens.operators import containment, crossing, decisions, scoring, substance
+from cuelens.operators import containment, crossing, decisions, relating, scoring, substance
 from cuelens.plans.registry import query, table
-from cuelens.plans.screening import CARD_SQL, DESK_SQL, INTAKE_SQL, NUGGETS_SQL, cards, cuts, desked, screened, texts
+from cuelens.plans.screening import CARD_SQL, DESK_SQL, INTAKE_SQL, NUGGETS_SQL, desked, screened, texts
 
 SUBJECTS = ("thing", "ing", "tion", "leaux", "eaux", "schaft", "sch", "ción", "mente", "idiot", "clown", "the ")
 ISSUERS = ("idiot", "clown", "***", "###", "Licensed", "@", " | ", "!!")
@@ -129,26 +129,26 @@ def q21_gate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYS_SQL = f"""{DESK_SQL},
-  keyed AS (SELECT doc_id AS id, nexus, list_concat(['desk:' || desk, 'kind:' || primary_kind], list_concat(
-    list_filter([{', '.join(f"CASE WHEN {scoring.Has(r.pattern).sql('text')} THEN 'hot:{r.name}' END" for r in CORPUS.themes)}], lambda x: x IS NOT NULL),
-    list_transform({_HITS.format(_SUB)}, lambda t: 'subj:' || t))) AS keys FROM desked),
-  x AS (SELECT *, list_filter(keys, lambda k: k[1:5] NOT IN ('desk:', 'kind:')) AS con, keys[1] || keys[2] AS dk FROM keyed)"""
+  named AS (WITH {NUGGETS_SQL} SELECT doc_id, list('nugget:' || lower(value) ORDER BY n) AS nk FROM nuggets WHERE kind IN ('named_sector_or_place', 'named_instrument') GROUP BY doc_id),
+  keyed AS (SELECT doc_id AS id, nexus, ['desk:' || desk] AS d, list_filter([{', '.join(f"CASE WHEN {scoring.Has(r.pattern).sql('text')} THEN 'hot:{r.name}' END" for r in CORPUS.themes)}], lambda x: x IS NOT NULL) AS h,
+    ['kind:' || primary_kind] AS k, coalesce(nk, []) AS n0, list_transform({_HITS.format(_SUB)}, lambda t: 'subj:' || t) AS s FROM desked LEFT JOIN named USING (doc_id)),
+  once AS (SELECT *, list_filter(n0, lambda v, i: list_position(n0, v) = i) AS n FROM keyed),
+  x AS (SELECT id, nexus, h || n || s AS con, d || k AS dk, len(h) + len(n) + len(s) + 2 AS size FROM once)"""
 
 
 @query(
     f"""WITH {_KEYS_SQL},
-    p AS (SELECT a.id, b.id AS other, len(list_intersect(a.con, b.con)) AS c, a.dk = b.dk AS soft, len(b.keys) AS size, CASE b.nexus WHEN 'direct' THEN 3 WHEN 'possible' THEN 1 ELSE 0 END AS bonus FROM x a JOIN x b ON a.id <> b.id),
-    s AS (SELECT id, other, (c * 2 + bonus) * CASE WHEN c > 0 THEN c::DOUBLE / size ELSE 1.0 END + soft::INT AS score FROM p WHERE c > 0 OR soft),
+    p AS (SELECT a.id, b.id AS other, list_filter(a.con, lambda v: list_contains(b.con, v)) AS common, a.dk, a.dk = b.dk AS soft, b.size, CASE b.nexus WHEN 'direct' THEN 3 WHEN 'possible' THEN 1 ELSE 0 END AS bonus FROM x a JOIN x b ON a.id <> b.id),
+    s AS (SELECT *, (len(common) * 2 + bonus) * CASE WHEN len(common) > 0 THEN len(common)::DOUBLE / size ELSE 1.0 END + soft::INT AS score FROM p WHERE len(common) > 0 OR soft),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other DESC) AS k FROM s)
-    SELECT id, other, round(score, 6) AS score, CAST(k AS INT) AS k FROM r WHERE k <= 6"""
+    SELECT id, other, round(score, 6) AS score, array_to_string(CASE WHEN len(common) > 0 THEN common[:6] ELSE dk END, ' | ') AS shared_keys, CAST(k AS INT) AS k FROM r WHERE k <= 6"""
 )
 def q27_related_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six best related documents of each, newest (largest id) first among equals."""
-    hot = F.transform("themes", lambda t: F.concat(F.lit("hot:"), t))
-    subjects = F.transform(F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), t) for t in SUBJECTS])), lambda t: F.concat(F.lit("subj:"), t))
-    keys = F.concat(F.array(F.concat(F.lit("desk:"), "desk"), F.concat(F.lit("kind:"), "primary_kind")), hot, subjects)
-    rows = desked(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("created"), keys.alias("keys"), "nexus")
-    return crossing.related(rows).withColumn("score", F.round("score", 6))
+    """Six best related documents of each, newest (largest id) first among equals, and the keys they share."""
+    subjects = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(t)), t) for t in SUBJECTS]))
+    keys = crossing.topic_keys(F.col("desk"), F.col("themes"), F.col("primary_kind"), F.array().cast("array<string>"), F.col("nuggets"), subjects)
+    rows = substance.cut(desked(spark, sf_dir), CORPUS).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("created"), keys.alias("keys"), "nexus")
+    return relating.related(rows).withColumns({"score": F.round("score", 6), "shared_keys": F.array_join("shared_keys", " | ")})
 
 
 @query(
@@ -179,5 +179,3 @@ def q36_gold_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if((F.col("pred") == 1) & (F.col("gold") == 0)).alias("false_admit"), F.count_if((F.col("pred") == 0) & (F.col("gold") == 1)).alias("false_reject"),
     )
 
-
-__all__ = ["cards", "cuts"]

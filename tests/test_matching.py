@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from cuelens.operators import containment, crossing
+from cuelens.operators import containment, crossing, relating
 
 
 def plan_of(df):
@@ -70,3 +71,49 @@ def test_independent_pair_of_many_sets(spark):
     found = crossing.independent_pair(sets.unionByName(more), "run", "iss", "id")
     assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
     assert list(map(tuple, found.collect())) == [("r", 0, 20001)]
+
+
+def brute_related(rows, limit):
+    out = set()
+    for i, _, mine, _ in rows:
+        topics = [k for k in mine if not k.startswith(("desk:", "kind:"))]
+        pair = [next((k for k in mine if k.startswith(p)), None) for p in ("desk:", "kind:")]
+        scored = []
+        for o, created, theirs, nexus in rows:
+            if o != i:
+                common = [k for k in topics if k in theirs]
+                soft = None not in pair and pair == [next((k for k in theirs if k.startswith(p)), None) for p in ("desk:", "kind:")]
+                bonus = {"direct": 3, "possible": 1}.get(nexus, 0)
+                if common or soft:
+                    scored.append(((2 * len(common) + bonus) * (len(common) / len(theirs) if common else 1) + soft, created, o, tuple(common[:6] or pair)))
+        scored.sort(reverse=True)
+        out |= {(i, o, round(s, 9), shown, k + 1) for k, (s, _, o, shown) in enumerate(scored[:limit])}
+    return out
+
+
+@pytest.mark.parametrize("few, most, listed, seed", [(100, 8, 64, 1), (3, 8, 2, 2), (0, 8, 5, 3), (2, 2, 9, 4), (5, 0, 64, 5)])
+def test_related(spark, monkeypatch, few, most, listed, seed):
+    """Rare keys, hot ones by lists, sets of many hot keys, and pairs of one desk and kind: as all pairs would give."""
+    for name, value in (("FEW_HOLDERS", few), ("MOST_HOT", most), ("LISTED", listed)):
+        monkeypatch.setattr(relating, name, value)
+    rng = random.Random(seed)
+    rows = []
+    for i in range(150):
+        keys = [f"hot:{c}" for c in "abcd" if rng.random() < 0.4] + [f"subj:{rng.randrange(25)}" for _ in range(rng.randrange(3))] + [f"nugget:{c}" for c in "xyz" if rng.random() < 0.3]
+        keys = [*([f"desk:{rng.randrange(3)}"] if rng.random() < 0.9 else []), *keys, *([f"kind:{rng.randrange(2)}"] if rng.random() < 0.9 else [])]
+        rows.append((i, rng.randrange(40), list(dict.fromkeys(keys)), rng.choice(["direct", "possible", "none", None])))
+    table = spark.createDataFrame(rows, "id long, created long, keys array<string>, nexus string")
+    found = relating.related(table)
+    got = {(r.id, r.other, round(r.score, 9), tuple(r.shared_keys), r.k) for r in found.collect()}
+    assert got == brute_related([r for r in rows if r[2]], 6)
+    assert relating.related(table.limit(0)).count() == 0
+
+
+def test_related_never_pairs_on_a_hot_key(spark, monkeypatch):
+    """2,000 sets share one key: what meets grows with the sets and not with their pairs."""
+    monkeypatch.setattr(relating, "FEW_HOLDERS", 10)
+    rows = spark.range(2000).select("id", F.col("id").alias("created"), F.array(F.lit("hot:all"), F.concat(F.lit("subj:"), F.col("id").cast("string")), F.concat(F.lit("desk:"), F.col("id").cast("string"))).alias("keys"), F.lit("none").alias("nexus"))
+    found = relating.related(rows)
+    assert found.count() == 12000
+    got = {r.other for r in found.where("id < 1000").collect()}
+    assert got == set(range(1994, 2000))
