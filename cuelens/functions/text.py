@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import java
@@ -28,6 +28,11 @@ def bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row, however many of its fields are taken later: a projection would be copied into each of them."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start,end,value>> of all matches; the pattern must not match the empty string.
 

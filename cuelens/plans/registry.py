@@ -22,10 +22,14 @@ def query(sql: str | None = None):
     return add
 
 
+#: Bytes of a table, by Spark's estimate, up to which it is dealt over all cores before rules are matched.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores where their scan has fewer tasks: files of one row group. A large table stays as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """``rows`` over all cores where they are few bytes, which a file of one row group may hold; a larger table is read as it is split."""
+    small = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if small else rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -66,3 +66,16 @@ def test_dates(spark):
     assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "2025-12-01 昨日").method == "absolute"
     assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "新华社北京2025年12月1日电").method == "wire"
     assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "没有").method == "none"
+    assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "x" * 159 + "昨日").method == "relative"  # a cue may start in the last of 160 characters
+    assert one(spark, dates.as_of(F.col("a"), RELATIVE_DATES, now), "x" * 160 + "昨日").method == "none"
+
+
+def test_dates_are_matched_once(spark):
+    """However many fields are taken, the plan holds each form of a date once, with the numbers of its match."""
+    from cuelens.functions import dates
+    from cuelens.functions.text import held
+    from cuelens.lexicon.mandarin import RELATIVE_DATES
+
+    rows = held(spark.createDataFrame([("2025-12-01",)], "text string"), "d", dates.as_of(F.col("text"), RELATIVE_DATES, F.lit("2026-01-01").cast("date")))
+    plan = rows.select("d.date", "d.method", "d.precision", F.concat("d.method", "d.precision"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 6 and plan.count("split(") <= 3
