@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cuelens.llm.bits import bit_table, split
 from cuelens.llm.components import components
-from cuelens.llm.session import store, worker_imports
+from cuelens.llm.session import drop, store, worker_imports
 from cuelens.llm.textkit import Texts, let_go, mix, slices, windows
 
 SHINGLE = 5
@@ -184,8 +184,8 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _tasks(members: DataFrame, rows: DataFrame, full: DataFrame) -> DataFrame:
-    """(node, task, comp, side, band): every candidate pair meets in one task; ``side`` as in ``_linked``, ``band`` as in ``_verify``.
+def _tasks(members: DataFrame, rows: DataFrame, full: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, task, comp, side, band): every candidate pair meets in one task; ``side`` as in ``_linked``, ``band`` as in ``_verify``. And the stored tables that it reads.
 
     ``members`` are the nodes of components, ``rows`` (node, k, band) all nodes' band hashes, ``full`` (b, least, c) the buckets of two or more.
     """
@@ -231,7 +231,7 @@ def _tasks(members: DataFrame, rows: DataFrame, full: DataFrame) -> DataFrame:
     dealt = inside.join(parts, F.col("b") == F.col("pb")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = F.transform(_upto(F.col("blocks")), lambda j: F.struct(F.concat_ws("-", F.lit("b"), F.col("b").cast("string"), F.least(i, j).cast("string"), F.greatest(i, j).cast("string")).alias("task"), F.when(i == j, 0).when(i < j, 1).otherwise(2).alias("side")))
     chained = dealt.select("node", F.col("b").alias("comp"), "k", F.explode(met).alias("t")).select("node", "t.task", "comp", "t.side", F.col("k").alias("band"))
-    return easy.unionByName(hard).unionByName(chained)
+    return easy.unionByName(hard).unionByName(chained), [by_comp, held, loose, inside]
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -251,18 +251,25 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     found = components(ties)
     about = nodes.select(F.col("node").alias("nd"), "n", "copies", "of", F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_BASE))).cast("int").alias("level"), "bands")
     members = store(found.join(about, F.col("node") == F.col("nd")).select("node", F.col("component").alias("comp"), "n", "copies", "of", "level", "bands"), "members")
-    tasks = _tasks(members, rows, full).withColumnRenamed("node", "task_node")
+    tasks, read = _tasks(members, rows, full)
+    tasks = tasks.withColumnRenamed("node", "task_node")
     wanted, _ = split(keyed, F.xxhash64("doc_id", "text_hash"), bit_table(F.xxhash64("of.id", "of.hash"), members))
-    texts = members.join(wanted, F.col("of.id").eqNullSafe(F.col("doc_id")) & (F.col("of.hash") == F.col("text_hash")))
+    # rows that repeat are one text: the keys have no nulls, so what is dealt for this is dealt for the join as well
+    wanted = wanted.groupBy(F.coalesce("doc_id", F.lit(0)).alias("w_id"), F.col("doc_id").isNull().alias("w_none"), F.col("text_hash").alias("w_hash")).agg(F.first("text").alias("text"))
+    owners = members.withColumns({"w_id": F.coalesce("of.id", F.lit(0)), "w_none": F.col("of.id").isNull(), "w_hash": F.col("of.hash")})
+    texts = owners.join(wanted, ["w_id", "w_none", "w_hash"])
     ready = tasks.join(texts.select("node", "copies", "text", "bands"), F.col("task_node") == F.col("node")).select("task", "comp", "node", "copies", "side", "band", "bands", "text")
     verified = store(ready.groupBy("task").applyInArrow(_verify, "node long, links long, root long"), "verified")
+    drop(members, full, *read)
     classes = components(verified.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = classes.join(links, "node").withColumnRenamed("node", "nd")
     known = nodes.join(linked, F.col("node") == F.col("nd"), "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     known = store(known, "known")
+    drop(verified, nodes)
     named = known.groupBy("class").agg(F.min("least_id").alias("class_id")).withColumnRenamed("class", "cl")
     table = store(known.join(named, F.col("class") == F.col("cl")).select(F.col("node").alias("nd"), "class", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
+    drop(known)
     alone = F.col("n") == 0
     return signed.join(table, (F.col("node") == F.col("nd")) & ~alone, "left").select(
         "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "class", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
@@ -285,6 +292,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     judged = every.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     # rows that go, and rows that repeat: all others stay as they are
     moot = store(judged.where("h is null or n > 1").select("doc_id", "text_hash", F.col("h").isNotNull().alias("stays")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), "moot")
+    drop(classes)
     may, rest = split(docs, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), bit_table(F.xxhash64("d", "h"), moot))
     packed = may.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
     joined = packed.join(moot, F.col("id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")

@@ -64,7 +64,7 @@ def drop(*stored: DataFrame) -> None:
 
 
 #: Plan nodes that give the same rows in the same order each time a task is run.
-_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "Relation", "Range", "SubqueryAlias", "Union", "LogicalRDD"}
+_STEADY = {"Project", "Filter", "LogicalRelation", "LocalRelation", "Relation", "Range", "SubqueryAlias", "Union"}
 
 
 def _nodes(plan) -> list:
@@ -76,7 +76,7 @@ def _nodes(plan) -> list:
 
 
 def steady(df: DataFrame) -> DataFrame:
-    """``df``, written and read again unless it reads files or given rows alone.
+    """``df``, written and read again unless it reads files or local rows alone; an RDD's rows may come from a shuffle.
 
     Behind a shuffle a task that is run again can meet its rows in another order; operators that name rows by their place need one order.
     """

@@ -250,3 +250,34 @@ def test_lower_case_words_of_bytes():
         off, ids = own.encode(pa.array(texts, pa.string()))
         for t, a, b in zip(texts, off[:-1], off[1:], strict=True):
             assert ids[a:b].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_jaccard_of_many_equal_rows(spark):
+    """A row that repeats 10,000 times, with near copies: one text is verified, all rows are linked."""
+    from cuelens.llm import neardup
+
+    base = [f"w{i}" for i in range(100)]
+    rows = [(5, " ".join(base))] * 10_000 + [(None, " ".join(base))] * 50 + [(6, " ".join([*base[:99], "x"])), (7, " ".join([*base[:50], "y", *base[51:]])), (8, "else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_digest(docs).collect())
+    assert got == Counter({(5, 5, 10_051): 10_000, (None, 5, 10_051): 50, (6, 5, 10_051): 1, (7, 5, 10_051): 1, (8, 8, 0): 1})
+    assert sorted(r.doc_id or 0 for r in neardup.keep_first(docs).collect()) in ([0, 8], [5, 8])
+
+
+def test_pipeline_is_its_stages(spark, tmp_path):
+    """run() gives what the stages give one after the other, and leaves no table of a stage that was read."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice(["the", "river", "stone", "opens", "slowly", "under", "old", "bridge", "lamp", "paper"]) + rng.choice(["", "", "s"]) for _ in range(n))
+    shared = say(60)
+    rows = [(i, say(80) + (" " + shared if i % 5 == 0 else ""), "en", "s", 1) for i in range(40)] + [(100, None, None, None, None), (101, "123", "en", None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, rows[3][1]), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+    key = lambda r: (r.doc_id, r.text, r.n_chars, tuple(r.token_ids))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(map(key, got)) == Counter(map(key, docs.collect())) and 3 not in {r.doc_id for r in got} and len(got) > 30
