@@ -1,73 +1,106 @@
-"""Mandarin briefings from inline rows: the whole chain with the Mandarin pack. No query here reads a table."""
+"""Mandarin briefings: the whole chain with the Mandarin pack over notices that customers' rows fill in.
+
+A customer's number chooses one of five forms of notice; nation and balance choose its body, document, subject, amount, year
+and month. What a notice states is known from the row, so the SQL says from the columns which facts must be found, where, and how
+they read in English.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelens.lexicon import MANDARIN
 from cuelens.functions.dates import as_of
 from cuelens.functions.dialect import literal
+from cuelens.functions.scratch import kept
+from cuelens.functions.text import held
+from cuelens.lexicon import MANDARIN
 from cuelens.lexicon.mandarin import RELATIVE_DATES
 from cuelens.lexicon.policy import THEMES
 from cuelens.operators import analysis, decisions, facts, reading, scoring, substance
-from cuelens.plans.registry import query
-
-#: Invented texts.
-ROWS = [
-    (1, "样例甲", "商务部印发通知，安排专项资金3.5亿元支持半导体试点，2026年底前完成，严禁挪用资金。", None),
-    (2, "样例乙", "会议强调，要坚持稳中求进，推动高质量发展，抓好各项工作落实，凝心聚力再创辉煌。", None),
-    (3, "微博转述", "网传某地将出台新的补贴政策，博主称消息未证实，请大家耐心等待正式的消息。", None),
-    (4, "样例丁", "国务院办公厅发布稀土管理条例，工业和信息化部负责，一律不得超额开采，自2026年3月起施行。", None),
-    (5, "样例戊", "加拿大与中方代表会晤，双方就菜籽贸易交换了意见，强调建设性对话的重要性。", None),
-]
+from cuelens.plans.registry import query, spread, table
+
+#: What notices are filled in with, and the English of each.
+BODIES = (("商务部", "the Ministry of Commerce"), ("外交部", "the Ministry of Foreign Affairs"), ("国务院办公厅", "the State Council General Office"), ("工业和信息化部", "the Ministry of Industry and Information Technology"))
+PAPERS = (("通知", "a notice"), ("公告", "an announcement"), ("行动计划", "an action plan"))
+SUBJECTS = (("半导体", "semiconductors"), ("芯片", "chips"))
+FUNDS = (("专项资金", "special funds"), ("财政资金", "fiscal funds"))
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+FORMS = 5
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, text, url) of every customer."""
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
+    pick = lambda of, n: F.get(F.array(*[F.lit(x[0]) for x in of]), (n % len(of)).cast("int"))
+    nation, tenths = F.col("c_nationkey"), (F.floor(F.abs("c_acctbal")) % 990 + 10).cast("int")
+    body, paper, subject, fund = (pick(of, nation) for of in (BODIES, PAPERS, SUBJECTS, FUNDS))
+    amount = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    year, month = (2026 + nation % 3).cast("string"), (1 + nation % 12).cast("string")
+    texts = [
+        F.concat(body, F.lit("印发"), paper, F.lit("，安排"), fund, amount, F.lit("亿元支持"), subject, F.lit("试点，"), year, F.lit("年底前完成，严禁挪用资金。")),
+        F.lit("会议强调，要坚持稳中求进，推动高质量发展，抓好各项工作落实，凝心聚力再创辉煌。"),
+        F.lit("网传某地将出台新的补贴政策，博主称消息未证实，请大家耐心等待正式的消息。"),
+        F.concat(body, F.lit("发布稀土管理条例，有关单位抓紧落实，一律不得超额开采，自"), year, F.lit("年"), month, F.lit("月起施行。")),
+        F.lit("加拿大与中方代表会晤，双方就菜籽贸易交换了意见，强调建设性对话的重要性。"),
+    ]
+    form = F.col("c_custkey") % FORMS
+    source = F.when(form == 2, "微博转述").otherwise(F.concat(F.lit("样例"), F.col("c_custkey").cast("string")))
+    return rows.select(F.col("c_custkey").alias("doc_id"), source.alias("source"), F.get(F.array(*texts), form.cast("int")).alias("text"), F.lit(None).cast("string").alias("url"))
 
 
 def brief(rows: DataFrame) -> DataFrame:
     """Every layer on (doc_id, source, text): nexus, scorecard, triage, desk, substance, class, adoption, intake, facts."""
     rows = scoring.nexus(substance.normalise(rows), MANDARIN)
     rows = scoring.desks(scoring.triage(scoring.scorecard(rows, MANDARIN), MANDARIN), MANDARIN)
-    rows = substance.cut(facts.facts(rows), MANDARIN).withColumn("source_class", scoring.source_class(F.col("text"), MANDARIN, label=F.col("source")))
+    rows = substance.cut(kept(facts.facts(rows), "facts"), MANDARIN).withColumn("source_class", scoring.source_class(F.col("text"), MANDARIN, label=F.col("source")))
     return decisions.intake(decisions.adoption(rows, MANDARIN), MANDARIN)
 
 
-def sample(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROWS, "doc_id long, source string, text string, url string")
-
-
-#: What the rows hold, written down by hand from the rules.
-FACTS = [
-    (1, "actor", 0, "商务部", "the Ministry of Commerce", None), (1, "instrument", 5, "通知", "a notice", None), (1, "money", 14, "3.5亿元", "RMB 350 million in special funds", 350000000.0),
-    (1, "scope", 21, "半导体试点", "a semiconductors pilot", None), (1, "subject", 21, "半导体", "semiconductors", None), (1, "deadline", 27, "2026年底前", "by end-2026", None),
-    (1, "prohibition", 37, "严禁挪用资金", "expressly prohibits a practice named only in the Mandarin excerpt", None), (3, "money", 9, "补贴", "subsidies (no amount stated)", None),
-    (4, "actor", 0, "国务院办公厅", "the State Council General Office", None), (4, "instrument", 8, "稀土管理条例", "a rare earths regulation", None), (4, "subject", 8, "稀土", "rare earths", None),
-    (4, "actor", 15, "工业和信息化部", "the Ministry of Industry and Information Technology", None), (4, "prohibition", 25, "一律不得超额开采", "flatly bars a practice named only in the Mandarin excerpt", None),
-    (4, "deadline", 34, "自2026年3月起", "from March 2026", None), (5, "subject", 0, "加拿大", "Canada", None), (5, "subject", 14, "菜籽", "canola", None),
-]
-DECISIONS = [
-    (1, "dense", "medium", "policy_instrument", "implementing_instrument", "hot_topics", "P3", "none", "none", "semiconductors", "partial", "admit"),
-    (2, "thin", "medium", "unknown_public", "macro_policy", "economy_investment", "P4", "none", "none", "macro_finance", "rejected", "reject_thin"),
-    (3, "thin", "medium", "social_commentary", "other_public_text", "economy_investment", "P4", "none", "none", "macro_finance", "rejected", "social_downweight"),
-    (4, "dense", "medium", "policy_instrument", "implementing_instrument", "hot_topics", "P3", "possible", "topical", "critical_minerals", "partial", "admit"),
-    (5, "dense", "medium", "unknown_public", "implementing_instrument", "economy_investment", "P2", "direct", "topical", "canada_trade", "partial", "admit"),
-]
-
-
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if v is None else literal(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
 
-@query(f"SELECT CAST(a AS BIGINT) AS doc_id, b AS kind, CAST(c AS INT) AS start, d AS value, e AS value_en, CAST(f AS DOUBLE) AS amount FROM (VALUES {_values(FACTS)}) t(a, b, c, d, e, f)")
+def _named(name: str, of) -> str:
+    """A table (place, Mandarin, English) of what notices are filled in with."""
+    return f"{name}(k, zh, en) AS (VALUES {_values([(i, *x) for i, x in enumerate(of)])})"
+
+
+_NOTICES = f"""{_named('bodies', BODIES)}, {_named('papers', PAPERS)}, {_named('topics', SUBJECTS)}, {_named('funds', FUNDS)},
+  filled AS (
+    SELECT CAST(c_custkey AS BIGINT) AS doc_id, c_custkey % {FORMS} AS form, b.zh AS body, b.en AS body_en, p.zh AS paper, p.en AS paper_en, t.zh AS topic, t.en AS topic_en, f.zh AS fund, f.en AS fund_en,
+      CAST(floor(abs(c_acctbal)) AS BIGINT) % 990 + 10 AS tenths, CAST(2026 + c_nationkey % 3 AS VARCHAR) AS y, 1 + c_nationkey % 12 AS m
+    FROM customer JOIN bodies b ON c_nationkey % {len(BODIES)} = b.k JOIN papers p ON c_nationkey % {len(PAPERS)} = p.k JOIN topics t ON c_nationkey % {len(SUBJECTS)} = t.k JOIN funds f ON c_nationkey % {len(FUNDS)} = f.k),
+  said AS (
+    SELECT *, (tenths // 10) || '.' || (tenths % 10) AS shown, length(body) AS lb, length(body) + 2 + length(paper) + 3 + length(fund) AS la,
+      'RMB ' || CASE WHEN tenths >= 100 THEN regexp_replace(CAST(CAST(tenths / 100.0 AS DECIMAL(9, 2)) AS VARCHAR), '[.]?0+$', '') || ' billion' ELSE (tenths * 10) || ' million' END AS yuan FROM filled),
+  rules AS (
+    SELECT doc_id, unnest([
+      {{'kind': 'actor', 'start': 0, 'value': body, 'value_en': body_en, 'amount': NULL}}, {{'kind': 'instrument', 'start': lb + 2, 'value': paper, 'value_en': paper_en, 'amount': NULL}},
+      {{'kind': 'money', 'start': la, 'value': shown || '亿元', 'value_en': yuan || ' in ' || fund_en, 'amount': tenths * 1e7}},
+      {{'kind': 'scope', 'start': la + length(shown) + 4, 'value': topic || '试点', 'value_en': 'a ' || topic_en || ' pilot', 'amount': NULL}}, {{'kind': 'subject', 'start': la + length(shown) + 4, 'value': topic, 'value_en': topic_en, 'amount': NULL}},
+      {{'kind': 'deadline', 'start': la + length(shown) + length(topic) + 7, 'value': y || '年底前', 'value_en': 'by end-' || y, 'amount': NULL}},
+      {{'kind': 'prohibition', 'start': la + length(shown) + length(topic) + 17, 'value': '严禁挪用资金', 'value_en': 'expressly prohibits a practice named only in the Mandarin excerpt', 'amount': NULL}}]) AS f FROM said WHERE form = 0
+    UNION ALL SELECT doc_id, {{'kind': 'money', 'start': 9, 'value': '补贴', 'value_en': 'subsidies (no amount stated)', 'amount': NULL}} FROM said WHERE form = 2
+    UNION ALL SELECT doc_id, unnest([
+      {{'kind': 'actor', 'start': 0, 'value': body, 'value_en': body_en, 'amount': NULL}}, {{'kind': 'actor', 'start': lb + 9, 'value': '有关单位', 'value_en': 'unnamed “relevant units”', 'amount': NULL}},
+      {{'kind': 'instrument', 'start': lb + 2, 'value': '稀土管理条例', 'value_en': 'a rare earths regulation', 'amount': NULL}}, {{'kind': 'subject', 'start': lb + 2, 'value': '稀土', 'value_en': 'rare earths', 'amount': NULL}},
+      {{'kind': 'prohibition', 'start': lb + 18, 'value': '一律不得超额开采', 'value_en': 'flatly bars a practice named only in the Mandarin excerpt', 'amount': NULL}},
+      {{'kind': 'deadline', 'start': lb + 27, 'value': '自' || y || '年' || m || '月起', 'value_en': 'from ' || [{', '.join(map(literal, MONTHS))}][m] || ' ' || y, 'amount': NULL}}]) FROM said WHERE form = 3
+    UNION ALL SELECT doc_id, unnest([{{'kind': 'subject', 'start': 0, 'value': '加拿大', 'value_en': 'Canada', 'amount': NULL}}, {{'kind': 'subject', 'start': 14, 'value': '菜籽', 'value_en': 'canola', 'amount': NULL}}]) FROM said WHERE form = 4)"""
+
+
+@query(f"WITH {_NOTICES} SELECT doc_id, f.kind AS kind, CAST(f.start AS INT) AS start, f.value AS value, f.value_en AS value_en, CAST(f.amount AS DOUBLE) AS amount FROM rules")
 def q38_facts_mandarin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed facts with places and amounts of inline Mandarin rows, against rows written by hand."""
-    rows = brief(sample(spark)).select("doc_id", F.explode_outer("facts").alias("f")).where("f is not null")
+    """Typed facts of all notices with their places, English and amounts, against what each row filled in."""
+    rows = facts.facts(substance.normalise(notices(spark, sf_dir))).select("doc_id", F.explode("facts").alias("f"))
     return rows.select("doc_id", "f.kind", "f.start", "f.value", "f.value_en", F.col("f.amount").cast("double").alias("amount"))
 
 
 def read(rows: DataFrame, now: str = "2026-06-01") -> DataFrame:
     """``brief`` and all that a reader sees: date and freshness, quality, profile, analysis, headline, prose, digest. The clock is ``now``."""
     clock = F.lit(now).cast("date")
-    rows = scoring.policy_overlay(brief(rows), THEMES).withColumn("as_of", as_of(F.col("text"), RELATIVE_DATES, clock))
+    rows = kept(held(scoring.policy_overlay(brief(rows), THEMES), "as_of", as_of(F.col("text"), RELATIVE_DATES, clock)), "briefs")
     age = F.datediff(clock, F.col("as_of.date"))
     rows = rows.withColumns({"band": decisions.freshness(age, F.col("as_of.precision")), "distinct_sources": F.lit(1)})
     rows = analysis.analyse(analysis.pick(decisions.brief_quality(rows)))
@@ -78,13 +111,27 @@ def read(rows: DataFrame, now: str = "2026-06-01") -> DataFrame:
     return rows.withColumns({"headline": facts.headline(F.col("hard")), "what": told, "digest": facts.digest(), "missing": facts.missing_facts()})
 
 
-@query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, substance_band, signal_band, source_class, primary_kind, desk, grade, nexus, policy_level, profile, quality, intake FROM (VALUES {_values(DECISIONS)}) t(doc_id, substance_band, signal_band, source_class, primary_kind, desk, grade, nexus, policy_level, profile, quality, intake)")
+#: What each form of notice comes to, whatever it is filled in with; the first one's class is that of its document, else of its body.
+DECISIONS = [
+    (0, "dense", "medium", None, "implementing_instrument", "hot_topics", "P3", "none", "none", "semiconductors", "partial", "admit"),
+    (1, "thin", "medium", "unknown_public", "macro_policy", "economy_investment", "P4", "none", "none", "macro_finance", "rejected", "reject_thin"),
+    (2, "thin", "medium", "social_commentary", "other_public_text", "economy_investment", "P4", "none", "none", "macro_finance", "rejected", "social_downweight"),
+    (3, "dense", "medium", "policy_instrument", "implementing_instrument", "hot_topics", "P3", "possible", "topical", "critical_minerals", "partial", "admit"),
+    (4, "dense", "medium", "unknown_public", "implementing_instrument", "economy_investment", "P2", "direct", "topical", "canada_trade", "partial", "admit"),
+]
+_DECIDED = "substance_band, signal_band, source_class, primary_kind, desk, grade, nexus, policy_level, profile, quality, intake"
+
+
+@query(
+    f"""WITH {_NOTICES} SELECT doc_id, {_DECIDED.replace("source_class", "coalesce(source_class, CASE WHEN paper = '通知' THEN 'policy_instrument' WHEN body = '工业和信息化部' THEN 'unknown_public' ELSE 'official_or_wire' END) AS source_class")}
+    FROM said JOIN (VALUES {_values(DECISIONS)}) t(form, {_DECIDED}) USING (form)"""
+)
 def q40_mandarin_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands, class, desk, grade, nexus, policy, profile, quality and intake of inline Mandarin rows."""
-    return read(sample(spark)).select("doc_id", "substance_band", "signal_band", "source_class", "primary_kind", "desk", "grade", "nexus", "policy_level", "profile", "quality", "intake")
+    """Bands, class, desk, grade, nexus, policy, profile, quality and intake of all notices: what is filled in must not change them."""
+    return read(notices(spark, sf_dir)).select("doc_id", *_DECIDED.split(", "))
 
 
 @query()
 def q41_brief_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Briefings as Markdown."""
-    return reading.markdown(read(sample(spark)))
+    """Briefings of all notices as Markdown."""
+    return reading.markdown(read(notices(spark, sf_dir)))

@@ -6,9 +6,22 @@ from pyspark.sql import functions as F
 
 from cuelens.lexicon import MANDARIN
 from cuelens.operators import crossing, decisions, scoring, substance
-from cuelens.plans.briefing import brief, sample
+from cuelens.plans.briefing import brief
 from cuelens.sources import feeds, records
 
+#: Invented texts.
+ROWS = [
+    (1, "样例甲", "商务部印发通知，安排专项资金3.5亿元支持半导体试点，2026年底前完成，严禁挪用资金。", None),
+    (2, "样例乙", "会议强调，要坚持稳中求进，推动高质量发展，抓好各项工作落实，凝心聚力再创辉煌。", None),
+    (3, "微博转述", "网传某地将出台新的补贴政策，博主称消息未证实，请大家耐心等待正式的消息。", None),
+    (4, "样例丁", "国务院办公厅发布稀土管理条例，工业和信息化部负责，一律不得超额开采，自2026年3月起施行。", None),
+    (5, "样例戊", "加拿大与中方代表会晤，双方就菜籽贸易交换了意见，强调建设性对话的重要性。", None),
+]
+
+
+def sample(spark):
+    return spark.createDataFrame(ROWS, "doc_id long, source string, text string, url string")
+
 
 def test_briefing_goldens(spark):
     got = {r.doc_id: r for r in brief(sample(spark)).collect()}
