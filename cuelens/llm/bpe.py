@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges folded over the byte arrays of distinct words.
 
-Every match of the split pattern is a word. A task keeps the words it has met with their ids, so a
-word is merged once a task and not once an occurrence; the words of a batch that are new are merged
+Every match of the split pattern is a word. A process keeps the words it has met with their ids
+(``wordtable``), so a word is merged once and not once an occurrence; the words of a batch that are new are merged
 together, as a matrix of token ids in which every row takes its leftmost pair of lowest rank at each
 step. Words too long for the matrix are merged with a heap. Decoding joins the tokens' bytes.
 
@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from cuelens.llm.session import worker_imports
-from cuelens.llm.textkit import slices
+from cuelens.llm.textkit import Texts, let_go, slices
+from cuelens.llm.wordtable import WordTable, split_spaced
 
 #: Bytes of the longest word that is merged in the matrix.
 MATRIX_BYTES = 32
 #: Words that a task keeps; beyond them it starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1 << 18
 _NONE = np.int32(np.iinfo(np.int32).max)
 
 
@@ -166,24 +167,41 @@ class Encoder:
     """Splits texts by the pattern and encodes them, remembering words."""
 
     def __init__(self, path: str, pattern: str):
+        import public_tokenizers
         import regex
 
         self.merges = Merges(read_ranks(path))
+        self.in_bytes = pattern == public_tokenizers.PATTERN
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [self.split(t or "") for t in texts]
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for ws in words for w in ws if w not in known})
-        known.update(zip(fresh, self.merges.fold([w.encode() for w in fresh]), strict=True))
-        return [np.array([i for w in ws for i in known[w]], "<u4") for ws in words]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        pieces = self.merges.pieces
-        return b"".join([pieces[i] for i in ids.tolist()])
+        self.table = WordTable(self._fold, MEMORY_WORDS)
+        self.pieces = np.array([len(self.merges.pieces.get(i, b"")) for i in range(max(self.merges.pieces) + 1)], np.int64)
+        self.ends = np.cumsum(self.pieces)
+        self.bytes = np.frombuffer(b"".join(self.merges.pieces.get(i, b"") for i in range(len(self.pieces))), np.uint8)
+
+    def _fold(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.merges.fold(words)
+        return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts' ids, and all ids. The public pattern is found in the bytes, any other by the regex library."""
+        own = Texts(texts)
+        if self.in_bytes:
+            start, first = split_spaced(own)
+        else:
+            size = [[len(w.encode()) for w in self.split(t or "")] for t in texts.to_pylist()]
+            if [sum(x) for x in size] != np.diff(own.off).tolist():
+                raise ValueError("the pattern leaves characters out")
+            flat = np.array([n for x in size for n in x], np.int64)
+            start, first = np.cumsum(flat) - flat, np.concatenate([[0], np.cumsum([len(x) for x in size])]).astype(np.int64)
+        count, ids = self.table.encode(own.buf, start, np.append(start, len(own.buf))[1:])
+        return np.concatenate([[0], np.cumsum(count)])[first], ids
+
+    def decode(self, off: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets of the texts' bytes, and all bytes: the ids' pieces joined."""
+        size = self.pieces[ids]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        return np.concatenate([[0], stop])[off], self.bytes[np.repeat(self.ends[ids] - size - (stop - size), size) + np.arange(total)]
 
 
 @cache
@@ -208,10 +226,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in slices(batches, "text", 2 << 20):
-            ids = own.encode(batch.column(at).to_pylist())
-            decoded = [own.decode(x) for x in ids]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoded, pa.binary())], [*names, "token_ids", "decoded"])
+            off, ids = own.encode(batch.column(at))
+            place, data = own.decode(off, ids)
+            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids.astype(np.int32)))
+            decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, decoded], [*names, "token_ids", "decoded"])
+        let_go()
 
     more = [StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *more]))
@@ -226,11 +246,11 @@ def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in slices(batches, "text", 2 << 20):
-            ids = own.encode(batch.column("text").to_pylist())
-            columns = [
-                batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
-            ]
+            off, ids = own.encode(batch.column("text"))
+            place, data = own.decode(off, ids)
+            sha = lambda raw, at: pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+            columns = [batch.column("doc_id"), pa.array(np.diff(off), pa.int64()), sha(memoryview(ids.astype("<u4")).cast("B"), 4 * off), sha(memoryview(np.ascontiguousarray(data)).cast("B"), place)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        let_go()
 
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))

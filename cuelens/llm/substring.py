@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cuelens.llm.bits import bit_table, split
 from cuelens.llm.session import grown, parts_for, steady, store, worker_imports
-from cuelens.llm.textkit import Texts, Words, slices, windows
+from cuelens.llm.textkit import Texts, Words, let_go, slices, windows
 
 WIDTH = 35
 #: Stored input for one bucket, about a million windows, and at most; a map batch is twice as large, raw.
@@ -107,6 +107,7 @@ def _send(width: int, buckets: int, batch_bytes: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(rows["bucket"])), *(pa.array(rows[c], t) for c, t in zip(rows, kinds, strict=True))], ["batch", *rows]
             )
+        let_go()
 
     return run
 
@@ -246,6 +247,7 @@ def _rewrite(at: int):
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+        let_go()
 
     return run
 

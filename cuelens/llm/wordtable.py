@@ -16,7 +16,7 @@ import numpy as np
 from cuelens.llm.textkit import Texts, hash_spans
 
 #: Words that a process keeps; beyond them it starts anew.
-MEMORY_WORDS = 1 << 20
+MEMORY_WORDS = 1 << 19
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 
 
