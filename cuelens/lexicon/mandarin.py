@@ -5,6 +5,7 @@ The word lists, patterns and weights below are fixed values; results depend on e
 
 from __future__ import annotations
 
+from cuelens.lexicon.mandarin_facts import GLOSSARY
 from cuelens.lexicon.rules import All, AtLeast, Desk, Has, No, NotAfter, Pack, Rule, Signal
 
 # Stock phrases.
@@ -189,12 +190,25 @@ NEXUS_POSSIBLE = (
 # Relative dates in order, with the days they are taken to mean.
 RELATIVE_DATES = (("今日", 0), ("昨天", 1), ("昨日", 1), ("日前", 3), ("近日", 5), ("近期", 14), ("最近", 10), ("本周", 3), ("本月", 15))
 
-# English of a nugget that makes it actionable, and the kinds of fact that explain one.
+# English of a nugget that makes it actionable, what one without English is called, and the kinds of fact that explain one.
 ACTIONABLE_EN = {
     "named_instrument": r"(?i)\b(notice|circular|regulation|ordinance|issued)\b",
     "resource_or_funding": "(?i)RMB|billion|million|yuan|USD",
     "numeric_target": "(?i)RMB|billion|percent|pilot",
 }
+CUE_PHRASES = {
+    "numeric_target": "a numeric figure (see quoted excerpt)",
+    "timeline": "a time marker (see quoted excerpt)",
+    "named_instrument": "a policy instrument (see quoted excerpt)",
+    "responsible_body": "an issuing body (see quoted excerpt)",
+    "pilot_or_scope": "a pilot or scope boundary (see quoted excerpt)",
+    "constraint_or_ban": "a constraint or red line (see quoted excerpt)",
+    "resource_or_funding": "a funding or resource line (see quoted excerpt)",
+    "named_sector_or_place": "a named sector or place (see quoted excerpt)",
+    "delta_or_priority_shift": "a priority or wording-shift cue (see quoted excerpt)",
+    "official_action": "a named official action (see quoted excerpt)",
+    "named_campaign": "a named campaign or activity (see quoted excerpt)",
+}
 FACT_KINDS = {
     "numeric_target": ("quantity", "money"),
     "timeline": ("deadline",),
@@ -251,6 +265,8 @@ MANDARIN = Pack(
     nexus_possible=NEXUS_POSSIBLE,
     actionable_en=ACTIONABLE_EN,
     fact_kinds=FACT_KINDS,
+    glossary=GLOSSARY,
+    cue_phrases=CUE_PHRASES,
     subjects=SUBJECTS,
     issuers=ISSUERS,
     formula=FORMULA,

@@ -1,7 +1,12 @@
-"""Domain profiles: how a text of a domain is read. Wording is our own; which profile a text gets is fixed.
+"""Domain profiles: how a text of a domain is read.
 
-A piece of text is a tuple of variants: the first whose ``{facts}`` the text all has is used. Facts are instrument,
-issued, deadline, amount, vehicle, scope, ban, subject, subjects, delegate, body; a variant without any always holds.
+A profile says what a domain turns on as a few noun phrases; every sentence is made of those and of the text's own facts by
+the forms below, which all profiles share. Which profile a text gets, how many scenarios it has, their horizons and what makes
+one likelier are fixed.
+
+A piece of text is a tuple of variants: the first whose ``{facts}`` the text all has is used. Facts are instrument, issued, deadline, amount,
+vehicle, scope, ban, subject, subjects, strained (subjects whose finances are under strain), delegate, body; a variant
+without any always holds.
 """
 
 from __future__ import annotations
@@ -40,123 +45,131 @@ class Profile:
 
 
 _MEDIUM, _LOW = ("",), ("!",)
-#: Variants that begin with a name in angle brackets are the shared pieces of operators/analysis.py.
+#: Variants that are a name in angle brackets are the shared pieces of operators/analysis.py.
 STAGE, FUNDING, CAPACITY = ("<stage>",), ("<funding>",), ("<capacity>",)
 
 
-def published(detail: str) -> Scenario:
-    return Scenario(
-        (f"{{Instrument}} comes out {detail}", f"A document on {{subject}} comes out {detail}", f"A document comes out {detail}"), ("amount", "deadline"), ("{deadline}",),
-        ("The text commits to {instrument} and attaches {amount} (hypothesis).", "The text commits to {instrument} (hypothesis).", "The text announces steps that need a document (hypothesis)."),
-        "A named issuer, a draft for comment, or a document number.", "The announcement stays words and no document follows (hypothesis).", "No draft, number or issuer by the stated time, or a document without the element named here.",
-    )
-
-
-def slipped(narrowing: str) -> Scenario:
-    return Scenario(
-        (f"The date of {{deadline}} passes, or what comes is narrowed to {narrowing}", f"The commitment narrows to {narrowing}"), ("!body",), ("{deadline}",),
-        ("{Delegate} carry the work and answer for no date (hypothesis).", "Nobody answers publicly for the date (hypothesis)."), "No responsible body and no draft by the stated time.",
-        "A named body takes the task and delivers in time (hypothesis).", "A dated document of a named body that keeps the funded element.",
-    )
-
-
-_AMOUNT_WATCH = ("How the {amount} is divided by year and recipient", "Whether an amount is attached")
-_AMOUNT_ASK = ("Over which years and to whom is the {amount} paid?", "What amount would come with this?")
-_BAN_WATCH = ("Which checks and penalties stand behind the ban", "Whether checks are attached to payments")
+@dataclass(frozen=True)
+class Domain:
+    """What a domain turns on: the ``rule`` that acts in it, who ``applies`` it, whom it ``reaches``, a public ``measure`` of effect, and who may ``answer``."""
+
+    rule: str
+    applies: str
+    reaches: str
+    measure: str
+    answer: str
+
+    @property
+    def background(self) -> str:
+        return f"Read for four things: {self.rule}, {self.applies} who apply it, {self.reaches} whom it reaches, and {self.measure} by which anyone can check."
+
+    def facts(self) -> Piece:
+        return (
+            f"Two checkable facts are on record, {{instrument}} and {{amount}}; from here on {self.applies} can be held to both.",
+            f"One checkable fact is on record, {{amount}}; which {self.rule} it serves is not stated.",
+            f"No fact of this excerpt alters {self.rule} by itself.",
+        )
+
+    def limits(self) -> Piece:
+        return (f"Outside {{scope}} nothing changes for {self.reaches}.",)
+
+    def forbids(self) -> Piece:
+        return (f"For {self.reaches} the operative sentence is the prohibition, by which the text {{ban}}.",)
+
+    def sides(self) -> Piece:
+        return (f"An effect would show in {self.measure}, first at {self.reaches}.",)
+
+    def named(self) -> Piece:
+        return (f"Of all that {self.rule} covers, the excerpt singles out {{subjects}}.",)
+
+    def strained(self) -> Piece:
+        return (f"Support for {{strained}} shifts a loss that {self.reaches} would otherwise carry.", f"The excerpt does not say who carries a loss if {self.measure} disappoints.")
+
+    def dated(self) -> Piece:
+        return ("The time stated, {deadline}, gives the claim an end at which it is right or wrong.",)
+
+    def rules(self, likely, horizon) -> Scenario:
+        return Scenario(
+            (f"Public by the time stated ({{deadline}}): a text that sets {self.rule}", f"Public: a text that sets {self.rule}"), likely, horizon,
+            ("{Instrument} and {amount} are both announced, and neither works without terms (hypothesis).", "{Instrument} is announced, and does not work without terms (hypothesis).", "What is announced does not work without terms (hypothesis)."),
+            f"A text signed by {self.applies} is published.", f"Terms stay internal to {self.applies} (hypothesis).", f"The time passes and {self.applies} have published no terms.",
+        )
+
+    def moves(self, likely, horizon) -> Scenario:
+        return Scenario(
+            (f"Change that others can count, in {self.measure}",), likely, horizon, (f"{self.reaches[0].upper()}{self.reaches[1:]} adjust to what they expect of {self.rule} (hypothesis).",),
+            f"Two successive figures for {self.measure} point the same way.", f"{self.reaches[0].upper()}{self.reaches[1:]} wait for certainty (hypothesis).", f"Figures for {self.measure} stay within their usual range over the horizon.",
+        )
+
+    def answers(self, likely, horizon) -> Scenario:
+        return Scenario(
+            (f"An answer in public from {self.answer}",), likely, horizon, (f"What is done to {self.reaches} is visible to {self.answer} (hypothesis).",),
+            f"A dated statement or filing by {self.answer}.", f"Silence of {self.answer} (hypothesis).", f"The horizon ends without a statement or filing by {self.answer}.",
+        )
+
+    def fades(self, likely, horizon) -> Scenario:
+        return Scenario(
+            (f"Nothing more on {self.rule}",), likely, horizon, (f"No duty binds {self.applies} to a next step (hypothesis).",),
+            "Later texts repeat these sentences and add no fact.", f"A next step by {self.applies} (hypothesis).", "A later text adds an amount, a date or a document.",
+        )
+
+    def splits(self, likely, horizon) -> Scenario:
+        return Scenario(
+            (f"{self.measure[0].upper()}{self.measure[1:]} that differ from place to place",), likely, horizon, (f"Means of {self.applies} differ from place to place (hypothesis).",),
+            f"Regional figures for {self.measure} drift apart.", "Means are evened out from above (hypothesis).", f"Regional figures for {self.measure} stay together.",
+        )
+
+    def watch(self) -> tuple[Piece, ...]:
+        return (
+            (f"{{Instrument}}: publication, number and issuer", f"Any numbered document on {self.rule}"), ("{amount}: tranche, payer and payee", "A first figure for money"),
+            (f"Next figures for {self.measure}",), (f"Words and filings of {self.answer}",), ("State of affairs on {deadline}", f"Any date that {self.applies} accept"),
+        )
+
+    def questions(self) -> tuple[Piece, ...]:
+        return (
+            (f"Does {{instrument}} change {self.rule}, or restate it?", f"Is there a document behind {self.rule}?"), ("Is {amount} new money?", "Is any money involved?"),
+            (f"Who among {self.reaches} lies inside {{scope}}?", f"Who among {self.reaches} is left out?"), (f"What would {self.applies} lose by doing nothing?",), (f"Since when is {self.measure} published, and by whom?",),
+        )
+
+    def profile(self, name: str, label: str, so_what: tuple[Piece, ...], scenarios: tuple[Scenario, ...], **match) -> Profile:
+        return Profile(name, label, self.background, so_what, scenarios, self.watch(), self.questions(), **match)
+
+
+_STRAIT = Domain("admission to cross-strait programmes", "offices that approve them", "organisers and visitors", "the list of approved programmes", "authorities across the strait")
+_MINERALS = Domain("export licensing of processed minerals", "licensing offices", "refiners and their customers", "monthly export statistics", "governments of buying countries")
+_CHIPS = Domain("eligibility for chip support", "fund managers", "chip plants and toolmakers", "published awards and output", "countries that control tools")
+_MODELS = Domain("clearance of models for release", "registration offices", "model developers and data centres", "the register of cleared models", "suppliers of accelerators")
+_CARS = Domain("support for batteries and charging", "ministries that pay it", "cell makers and charging operators", "registrations, exports and charging points", "trade authorities of importing countries")
+_TRADE = Domain("treatment of named goods at the border", "customs and trade ministries", "shippers and importers", "customs clearances", "the other capital")
+_FINANCE = Domain("a channel of public finance", "finance departments", "borrowers and local budgets", "issuance and completion figures", "bond markets")
+_DEFENCE = Domain("industrial aims in public defence texts", "procurement offices", "suppliers", "budget lines and tender notices", "neighbouring governments")
+_LOCAL = Domain("duties of counties and townships", "local offices", "residents and local staff", "staffing and service figures", "higher levels that assess them")
+_ANY = Domain("a public commitment", "the bodies concerned", "those it concerns", "what they publish", "others concerned")
+
+#: Finance policy by its words, beside its desk and kinds.
+_FINANCE_KINDS = ("finance_risk", "macro_policy", "economic_data", "leadership_meeting", "five_year_plan", "dual_circulation")
 
 PROFILES = (
-    Profile(
-        "taiwan_strait", "Taiwan Strait", "Exchange across the Strait is run as a programme: who may organise, take part and speak is set by measure, not by open access.",
-        (("With {instrument} and {amount}, exchange becomes a funded and administered programme.", "With {amount} behind it, exchange becomes a budgeted programme whose terms are open.", "Exchange stays a declared aim until terms are published."),
-         ("{scope} points to a controlled widening, not to a general opening.",), ("Organisers on the mainland gain first; whether the other side takes part is not theirs to decide.",), CAPACITY),
-        (Scenario(("A measure names organisers, channels and places by {deadline}", "A measure names organisers and channels"), ("amount",), ("{deadline}",), ("Money cannot move before rules say to whom (hypothesis).",), "A draft, a body, or a list of pilot places.", "The aim stays declared and no measure is drafted (hypothesis).", "No draft or office by the stated time while old programmes go on."),
-         Scenario(("First groups are followed by more provinces or more kinds of participant",), _LOW, ("12-24 months",), ("A pilot leaves room to grow if its first groups are judged manageable (hypothesis).",), "Awards, quotas, or a second batch.", "The pilot stays as small as it began (hypothesis).", "No second batch or quota within two years."),
-         Scenario(("The programme shrinks to showcase events, or its measure is late",), _MEDIUM, ("{deadline}",), ("Exchange follows the wider climate, and nobody answers for narrowing it (hypothesis).",), "Sharper wording, suspended programmes, or no body by the date.", "It starts in full and on time (hypothesis).", "Criteria and first participants are published in time.")),
-        (("Who issues {instrument}, and what provinces may approve", "Who issues a measure"), ("Pilot places and the rules for organisers",), _AMOUNT_WATCH, ("Whether the other side answers with a programme",), ("Whether first awards come before {deadline}", "Whether first awards come")),
-        (("Who approves organisers and participants?",), ("Where does the pilot run?",), _AMOUNT_ASK, ("Which conditions of content and reporting apply?",), ("What happens to funded exchanges if relations worsen?",)),
-        themes=("taiwan_strait",),
-    ),
-    Profile(
-        "critical_minerals", "Critical minerals", "Leverage lies in processing and licences more than in ore, and buyers answer with stocks and substitutes.",
-        (("The ban bites downstream: buyers meet licences and prices before any shortage. It {ban}.", "Processing is where licences and quotas reach buyers fastest."), ("{Instrument} would put discretion into published criteria.",), ("The {amount} points to capacity, not to restriction alone.",), ("Refiners at home gain; makers abroad pay and look for other suppliers.",)),
-        (published("with criteria for licences or quotas"), Scenario(("Buyers announce other refiners or substitutes",), _MEDIUM, ("6-24 months",), ("A choke point under control makes buyers pay for alternatives (hypothesis).",), "Offtake contracts, stockpiles, or results of substitutes.", "Buyers wait the control out (hypothesis).", "None of these within two years."),
-         Scenario(("Partners answer with trade or export measures on the same materials",), _LOW, ("6-18 months",), ("Earlier supply measures drew reciprocal ones (hypothesis).",), "A request for consultations or a list of controls.", "Partners keep to talks (hypothesis).", "No request, list or joint statement within 18 months.")),
-        (("Licence criteria and processing times",), ("Export volumes and price gaps for the named materials",), ("Buyers' announcements of other suppliers",), ("Partners' stocks, subsidies and controls",), ("New processing capacity at home",)),
-        (("Which products and stages are controlled, which exempt?",), ("Which criteria and times hold for licences?",), ("Which processors gain allocation?",), ("How exposed are the largest buyers?",), ("Which answers have partners announced?",)),
-        themes=("critical_minerals",),
-    ),
-    Profile(
-        "semiconductors", "Semiconductors", "Funds and localisation targets drive chip policy; tools and yield, not capital, are scarce.",
-        (("{amount} for {scope} spreads support over suppliers instead of one plant.", "The {amount} adds capital where tools and yield are scarce.", "Without an allocation it is open which layer gains."), STAGE, ("Foundries, equipment and materials at home gain; foreign toolmakers lose share at mature nodes.",), ("The ban implies audits of what is paid. It {ban}.",)),
-        (published("with eligible firms and criteria"), Scenario(("Mature-node capacity or qualified domestic tools follow",), _MEDIUM, ("12-24 months",), ("Broad support reaches mature nodes first (hypothesis).",), "Awards, new lines, or qualified tools.", "Money goes into running budgets (hypothesis).", "No award, line or qualification within two years."),
-         Scenario(("The leading edge stays out of reach and support moves to packaging and materials",), _MEDIUM, ("18-36 months",), ("Capital does not replace lithography (hypothesis).",), "No yields at the leading edge, or measures for packaging.", "Yields improve sooner than expected (hypothesis).", "Leading-edge capacity within three years.")),
-        (("Which layer the {amount} reaches", "Which layer is supported"), ("Whether awards favour incumbents",), ("Mature-node capacity and qualified tools",), ("Changes in export controls",), _BAN_WATCH),
-        (("Which firms and layers are eligible?",), _AMOUNT_ASK, ("Which milestones condition payment?",), ("How much depends on controlled tools?",), ("What follows a missed milestone?",)),
-        themes=("semiconductors",),
-    ),
-    Profile(
-        "china_ai", "China AI", "Filing before release is the gate, state-backed computing the capacity; accelerators are the scarce input.",
-        (("{Instrument} sets how models reach the public; approval becomes a competitive factor.", "No document names the gate to release, which matters most for timing."), ("{amount} for {scope} favours those who host computing.",), FUNDING, ("The limit on data weighs on firms with foreign ties. It {ban}.",), ("Filing buys oversight at the price of delay.",)),
-        (Scenario(("Filing rules come with scope and times by {deadline}", "Rules for models come with scope and times"), ("deadline",), ("{deadline}",), ("Filing needs a published procedure (hypothesis).",), "A draft, a review body, or first decisions.", "Filing stays internal practice (hypothesis).", "None of these by the stated time."),
-         Scenario(("Computing awards gather in provinces that have data centres",), _MEDIUM, ("12 months",), ("Hubs follow power, land and networks (hypothesis).",), "Awards, matching funds, or disclosed capacity.", "Awards are spread thin for balance (hypothesis).", "No award or capacity figure within a year."),
-         Scenario(("Review or accelerators become the bottleneck",), _MEDIUM, ("12-24 months",), ("Funds solve neither (hypothesis).",), "Longer queues or idle hubs.", "Both keep pace (hypothesis).", "Queues and hubs stay steady for two years.")),
-        (("Scope of the filing duty",), ("Approval or notice, and review times",), _AMOUNT_WATCH, ("Supply of accelerators",), _BAN_WATCH),
-        (("Which models must file?",), ("Who reviews, and how long?",), _AMOUNT_ASK, ("What do data limits mean for foreign-linked services?",), ("Which accelerators carry the planned capacity?",)),
-        themes=("china_ai",),
-    ),
-    Profile(
-        "electric_vehicles", "Electric vehicles", "Support has moved from purchases to batteries and charging, amid price competition and trade cases.",
-        (("{amount} for {scope} stays with batteries and charging, not with purchases.", "The {amount} adds support to a crowded field.", "It is open whether capacity, charging or demand gains."), ("Battery makers and charging networks in place are first in line.",), ("The line against fraud implies audits. It {ban}.",), ("Support lowers costs and feeds trade cases abroad.",), STAGE),
-        (published("with conditions for pilots"), Scenario(("Capacity, use or exports in batteries and charging are announced",), _MEDIUM, ("12-18 months",), ("Such support reaches capacity first (hypothesis).",), "Awards, matching funds, or targets.", "What is built stays idle (hypothesis).", "None of these within 18 months."),
-         Scenario(("New trade cases or tariffs cite the support",), _MEDIUM, ("6-18 months",), ("Published support is evidence in such cases (hypothesis).",), "Filings or tariff decisions.", "Export markets take no step (hypothesis).", "No filing or decision within 18 months.")),
-        (("The split between charging and cells",), ("Whether awards favour incumbents",), _BAN_WATCH, ("Exports and trade measures",), ("Provincial funds and targets",)),
-        (("Cells, charging, or both?",), _AMOUNT_ASK, ("Which firms and provinces are eligible?",), ("Which audits apply?",), ("How would trade cases change support?",)),
-        themes=("electric_vehicles",),
-    ),
-    Profile(
-        "canada_trade", "Bilateral trade and diplomacy", "Friction runs through cases, consultations and customs practice; words of dialogue come before a step or instead of one.",
-        (("{Instrument} turns a statement into a procedure with a record.", "Products are named but no step is taken, which leaves room to talk."), ("Exporters of {subjects} are exposed first, buyers of these goods at home next.",), ("What would be new is a case number, a customs change or a date.",), ("The stated time {deadline} can be checked against steps.",)),
-        (Scenario(("Talks or a delegation on the named goods are announced",), _MEDIUM, ("3-12 months",), ("Dialogue comes first and no remedy is named (hypothesis).",), "A meeting date or a visit.", "The goods stay a talking point (hypothesis).", "No date or visit within a year."),
-         Scenario(("A trade remedy is opened on one of the goods",), _LOW, ("6-18 months",), ("A public record is laid that a case would cite (hypothesis).",), "A docket, a request, or a customs change.", "Both sides stay with talks (hypothesis).", "None of these within 18 months."),
-         Scenario(("Nothing follows and the goods return in press conferences",), _MEDIUM, ("6-12 months",), ("Such wording often recurs alone (hypothesis).",), "Repeated statements and steady shipments.", "A step follows soon (hypothesis).", "A case or a fall in shipments within a year.")),
-        (("Whether a case on {subjects} opens", "Whether a case opens"), ("Shipments and clearance of the goods",), ("Dates of talks",), ("Whether counter-measures are kept or dropped",), ("Whether other goods are drawn in",)),
-        (("Which tariff lines of {subjects} are meant?", "Which tariff lines are meant?"), ("Is a process open already?",), ("Which industries depend on these imports?",), ("What has the other side signalled?",), ("What would calm it?",)),
-        desks=("foreign_affairs",), kinds=("foreign_affairs",), pattern="中加|加方|加拿大",
-    ),
-    Profile(
-        "macro_finance", "Economy and finance", "Policy acts through vehicles, bonds, refinancing and guarantees, whose effect depends on local finances.",
-        (("{instrument} with {amount} names both vehicle and size.", "The {amount} is a size without a vehicle.", "Without a vehicle it is open who pays."), ("Steadying {subjects} protects delivery and weakens the price of risk.", "Recipients gain a channel; financiers keep the risk."), CAPACITY, STAGE),
-        (published("with vehicle, quota and conditions"), Scenario(("Local budgets and bonds carry it, so stronger provinces gain",), _MEDIUM, ("6-18 months",), ("Without a transfer, delivery follows local capacity (hypothesis).",), "Bond volumes, quotas, or project lists.", "A transfer is named later (hypothesis).", "A central channel, or an even spread."),
-         Scenario(("The headline is repeated without a vehicle",), ("!instrument",), ("6-12 months",), ("Direction often returns before a vehicle does (hypothesis).",), "Statements without quota or rule.", "A vehicle comes promptly (hypothesis).", "A quota, programme or rule within a year.")),
-        (("Which vehicle carries {instrument}", "Which vehicle is named"), _AMOUNT_WATCH, ("Bond volumes and their regional skew",), ("Completed housing and refinancing",), ("Who bears the cost: transfers, local budgets or banks",)),
-        (("Which vehicle, and who keeps the risk?",), _AMOUNT_ASK, ("Which provinces can co-fund?",), ("Which conditions apply to debtors?",), ("Which milestone would show an effect?",)),
-        desks=("economy_investment",), kinds=("finance_risk", "macro_policy", "economic_data", "leadership_meeting", "five_year_plan", "dual_circulation"), pattern="地方债|隐性债务|房地产|保交楼|化债|财政政策|货币政策|扩大内需|稳增长|专项债",
-    ),
-    Profile(
-        "defense_public", "Defense — public policy discourse", "Public texts tell posture, budget and industrial aims; they are read at that level only.",
-        (("{Instrument} would make commitments checkable in open sources.", "The text stays posture, so what follows is industrial and budgetary."), ("Suppliers at home gain; timetables and civil programmes pay.",), ("Wording of this kind is stable, so industrial clauses tell what is new.",), STAGE),
-        (Scenario(("Industrial programmes are named in later documents",), _MEDIUM, ("{deadline}", "12-24 months"), ("Such wording is often followed by procurement (hypothesis).",), "Catalogues, targets, or programmes.", "It stays posture (hypothesis).", "None of these in that time."),
-         Scenario(("Exchanges in line with the wording are announced",), _LOW, ("6-18 months",), ("Such wording sometimes comes before exchanges (hypothesis).",), "Dialogues, visits, or notices.", "It stays words (hypothesis).", "None of these within 18 months."),
-         Scenario(("The wording stays and nothing follows",), _MEDIUM, ("12 months",), ("Continuity is its purpose (hypothesis).",), "Repeated formulas.", "A concrete step breaks the pattern (hypothesis).", "A new programme or exchange within a year.")),
-        (("White papers and budgets that give numbers",), ("Procurement lists and targets",), ("Announced dialogues and exercises",), ("Civil programmes on the same capacity",), ("Whether words are matched by activity",)),
-        (("Which open programmes carry this?",), ("Which budget is given?",), ("Which exchanges follow?",), ("Which civil sectors share the capacity?",), ("What differs from the standing formula?",)),
-        desks=("defense_public",), kinds=("defense_public",),
-    ),
-    Profile(
-        "social_governance", "Social governance", "Counties and townships deliver it, with one staff for services and for stability.",
-        (("{instrument} with {amount} makes it a funded local programme.", "Local staff and budgets decide, not wording."), ("Residents gain where posts are filled; staff carry both duties.",), ("New would be posts, funds or assessment.",), CAPACITY),
-        (Scenario(("Local rules give it posts, budget or weight in assessment",), _MEDIUM, ("{deadline}", "6-18 months"), ("Directions act once cadres are assessed by them (hypothesis).",), "Rules, posts, or criteria.", "Plans absorb it unchanged (hypothesis).", "None of these soon."),
-         Scenario(("Delivery is uneven and better where districts are richer",), _MEDIUM, ("12 months",), ("County finances differ (hypothesis).",), "Diverging statistics.", "Transfers even it out (hypothesis).", "Comparable figures within a year."),
-         Scenario(("Stability work crowds out services",), _LOW, ("12-24 months",), ("The same people do both (hypothesis).",), "Reports that turn to opinion work.", "Both hold (hypothesis).", "Service figures stay steady.")),
-        (("Local rules with posts or budget",), ("Figures on services and disputes",), ("Own staff for mediation or more duties",), ("Budget lines for livelihood",), ("The balance of opinion work and services",)),
-        (("Which level pays and staffs it?",), ("Which result would show delivery?",), ("Who is meant, who is missed?",), ("How is it assessed?",), ("What happens to services when stability comes first?",)),
-        desks=("social_governance",), kinds=("social_governance", "ideology_party", "rural_revitalization"),
-    ),
-)
-GENERIC = Profile(
-    "general_policy", "Public policy", "A commitment can be checked once issuer, document, amount and date are all known; the missing one usually decides.",
-    (STAGE, FUNDING, ("It is bounded to {scope}.",), ("Interests lie in {subjects}.",), CAPACITY, ("The ban implies enforcement. It {ban}.",)),
-    (published("with issuer, eligibility and allocation"), Scenario(("It gathers where administration is strong",), _MEDIUM, ("12 months after {deadline}", "12 months"), ("Without a named body, delivery follows capacity (hypothesis).",), "Lists with a regional skew.", "It is spread on purpose (hypothesis).", "Lists without a skew."), slipped("less than was said")),
-    (("Who issues {instrument}", "Who issues a document"), _AMOUNT_WATCH, ("Places and participants within {scope}", "Its geographic and sectoral bounds"), ("Whether decisions come before {deadline}", "Whether a timetable comes"), _BAN_WATCH),
-    (("Who issues {instrument}, under which number?", "Who would issue a document?"), _AMOUNT_ASK, ("Who falls within {scope}?", "What are its bounds?"), ("Who gains and who pays?",), ("Which duties of enforcement or reporting apply?",)),
+    _STRAIT.profile("taiwan_strait", "Taiwan Strait", (_STRAIT.facts(), _STRAIT.limits(), _STRAIT.sides(), CAPACITY),
+        (_STRAIT.rules(("amount",), ("{deadline}",)), _STRAIT.moves(_LOW, ("12-24 months",)), _STRAIT.fades(_MEDIUM, ("{deadline}",))), themes=("taiwan_strait",)),
+    _MINERALS.profile("critical_minerals", "Critical minerals", (_MINERALS.forbids(), _MINERALS.facts(), _MINERALS.sides()),
+        (_MINERALS.rules(("amount", "deadline"), ("{deadline}",)), _MINERALS.moves(_MEDIUM, ("6-24 months",)), _MINERALS.answers(_LOW, ("6-18 months",))), themes=("critical_minerals",)),
+    _CHIPS.profile("semiconductors", "Semiconductors", (_CHIPS.facts(), _CHIPS.limits(), STAGE, _CHIPS.forbids()),
+        (_CHIPS.rules(("amount", "deadline"), ("{deadline}",)), _CHIPS.moves(_MEDIUM, ("12-24 months",)), _CHIPS.answers(_MEDIUM, ("18-36 months",))), themes=("semiconductors",)),
+    _MODELS.profile("china_ai", "China AI", (_MODELS.facts(), _MODELS.limits(), FUNDING, _MODELS.forbids(), _MODELS.sides()),
+        (_MODELS.rules(("deadline",), ("{deadline}",)), _MODELS.splits(_MEDIUM, ("12 months",)), _MODELS.moves(_MEDIUM, ("12-24 months",))), themes=("china_ai",)),
+    _CARS.profile("electric_vehicles", "Electric vehicles", (_CARS.facts(), _CARS.limits(), _CARS.forbids(), _CARS.sides(), STAGE),
+        (_CARS.rules(("amount", "deadline"), ("{deadline}",)), _CARS.moves(_MEDIUM, ("12-18 months",)), _CARS.answers(_MEDIUM, ("6-18 months",))), themes=("electric_vehicles",)),
+    _TRADE.profile("canada_trade", "Bilateral trade and diplomacy", (_TRADE.facts(), _TRADE.named(), _TRADE.sides(), _TRADE.dated()),
+        (_TRADE.answers(_MEDIUM, ("3-12 months",)), _TRADE.moves(_LOW, ("6-18 months",)), _TRADE.fades(_MEDIUM, ("6-12 months",))), desks=("foreign_affairs",), kinds=("foreign_affairs",), pattern="中加|加方|加拿大"),
+    _FINANCE.profile("macro_finance", "Economy and finance", (_FINANCE.facts(), _FINANCE.strained(), CAPACITY, STAGE),
+        (_FINANCE.rules(("amount", "deadline"), ("{deadline}",)), _FINANCE.splits(_MEDIUM, ("6-18 months",)), _FINANCE.fades(("!instrument",), ("6-12 months",))),
+        desks=("economy_investment",), kinds=_FINANCE_KINDS, pattern="地方债|隐性债务|房地产|保交楼|化债|财政政策|货币政策|扩大内需|稳增长|专项债"),
+    _DEFENCE.profile("defense_public", "Defense — public policy discourse", (_DEFENCE.facts(), _DEFENCE.sides(), STAGE),
+        (_DEFENCE.moves(_MEDIUM, ("{deadline}", "12-24 months")), _DEFENCE.answers(_LOW, ("6-18 months",)), _DEFENCE.fades(_MEDIUM, ("12 months",))), desks=("defense_public",), kinds=("defense_public",)),
+    _LOCAL.profile("social_governance", "Social governance", (_LOCAL.facts(), _LOCAL.sides(), CAPACITY),
+        (_LOCAL.rules(_MEDIUM, ("{deadline}", "6-18 months")), _LOCAL.splits(_MEDIUM, ("12 months",)), _LOCAL.answers(_LOW, ("12-24 months",))),
+        desks=("social_governance",), kinds=("social_governance", "ideology_party", "rural_revitalization")),
 )
+GENERIC = _ANY.profile("general_policy", "Public policy", (STAGE, FUNDING, _ANY.limits(), _ANY.named(), CAPACITY, _ANY.forbids()),
+    (_ANY.rules(("amount", "deadline"), ("{deadline}",)), _ANY.splits(_MEDIUM, ("12 months after {deadline}", "12 months")), _ANY.fades(("!body",), ("{deadline}",))))

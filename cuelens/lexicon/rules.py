@@ -101,6 +101,11 @@ class Desk:
     kinds: tuple = ()
 
 
+# Types of context cards, and what a type adds to a card's score in thousandths.
+CARD_TYPES = ("institution", "lexicon", "history_frame", "intl_compare", "method")
+CARD_BONUS = {"method": 500, "institution": 150, "history_frame": 100, "intl_compare": 100}
+
+
 @dataclass(frozen=True)
 class Pack:
     """Everything that a corpus' cues depend on."""
@@ -124,6 +129,9 @@ class Pack:
     #: Patterns on a nugget's English value that make it actionable too, and the kinds of fact that can explain a nugget.
     actionable_en: dict[str, str] = field(default_factory=dict)
     fact_kinds: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: English of terms, and what a nugget of a kind is called where none of its terms has one.
+    glossary: dict[str, str] = field(default_factory=dict)
+    cue_phrases: dict[str, str] = field(default_factory=dict)
     #: What two sources can share: named subjects, issuers, and stock wording that tells nothing.
     subjects: tuple[str, ...] = ()
     issuers: tuple[str, ...] = ()

@@ -16,7 +16,9 @@ from cuelens.operators.scoring import first_of
 
 ALL = (*PROFILES, GENERIC)
 _SCENARIO = "struct<label:string,likelihood:string,horizon:string,basis:string,trigger:string,alternative:string,falsifier:string>"
-ALTERNATIVE = "The text signals without delivery, and priorities move elsewhere (hypothesis)."
+ALTERNATIVE = "Words alone, with attention going to other matters (hypothesis)."
+#: Subjects whose finances are under strain.
+STRAINED = "(?i)debt|real estate|housing|property"
 
 
 def pick(docs: DataFrame, forced: str | None = None) -> DataFrame:
@@ -52,6 +54,7 @@ def _view() -> dict[str, Column]:
         "instrument": without_article(instrument["value_en"]), "issued": F.when(instrument["issued"], F.lit("issued")), "deadline": deadline["value_en"], "amount": cash["amount_en"],
         "vehicle": cash["vehicle"], "scope": scope["value_en"], "ban": ban["value_en"], "delegate": delegate, "body": F.when(F.size(named) > 0, F.lit("named")),
         "subject": f.first("subject")["value_en"], "subjects": F.when(F.size(subjects) > 0, F.array_join(subjects, ", ")),
+        "strained": F.when(F.exists(subjects, lambda s: s.rlike(STRAINED)), F.array_join(subjects, ", ")),
     }
 
 
@@ -74,17 +77,17 @@ def _piece(piece: Piece, view: dict[str, Column]) -> Column:
 
 def _stage(view: dict[str, Column]) -> Column:
     """What the document and its time say of how far it is."""
-    out = F.when(view["issued"].isNotNull(), _filled("{Instrument} is out: scope and enforcement are the questions now.", view))
-    return F.coalesce(out, _filled("{Instrument} is promised {deadline}: its rules are still unwritten.", view), _filled("{Instrument} is promised without a date.", view))
+    out = F.when(view["issued"].isNotNull(), _filled("{Instrument} exists, so its text can be read instead of this report.", view))
+    return F.coalesce(out, _filled("{Instrument} does not exist yet and is due {deadline}.", view), _filled("{Instrument} does not exist yet, and no time is given for it.", view))
 
 
 def _funding(view: dict[str, Column]) -> Column:
-    return F.coalesce(_filled("{amount} in {vehicle} gives it a budget line.", view), _filled("{amount} gives it a size, but no channel.", view), _filled("No money is attached to {instrument}.", view))
+    return F.coalesce(_filled("Payment is specified: {amount} through {vehicle}.", view), _filled("Payment is specified in size ({amount}) and not in channel.", view), _filled("Payment for {instrument} is not mentioned.", view))
 
 
 def _capacity(view: dict[str, Column]) -> Column:
-    delegated = F.when(view["body"].isNotNull(), _filled("Delivery is left to {delegate}.", view))
-    return F.coalesce(delegated, F.when(view["body"].isNull(), F.lit("No body is named as responsible.")))
+    delegated = F.when(view["body"].isNotNull(), _filled("Part of the work falls to {delegate}, whom nobody can name.", view))
+    return F.coalesce(delegated, F.when(view["body"].isNull(), F.lit("Nobody in particular is made responsible.")))
 
 
 def _likelihood(s: Scenario, view: dict[str, Column]) -> Column:
@@ -108,7 +111,7 @@ def four_pieces(scenarios: Column) -> Column:
     """Scenarios with an alternative and a falsifier, where one lacks them."""
 
     def whole(s: Column) -> Column:
-        against = F.coalesce(F.concat(F.lit("Public observation opposite to the trigger: "), F.nullif(s["trigger"], F.lit(""))), F.lit("A clear public text on the same subject that contradicts this outcome."))
+        against = F.coalesce(F.concat(F.lit("The reverse of this is seen: "), F.nullif(s["trigger"], F.lit(""))), F.lit("A published text rules it out."))
         return s.withField("alternative", F.coalesce(F.nullif(s["alternative"], F.lit("")), F.lit(ALTERNATIVE))).withField("falsifier", F.coalesce(F.nullif(s["falsifier"], F.lit("")), against))
 
     return F.transform(scenarios, whole)
@@ -123,7 +126,7 @@ def _read(p: Profile, view: dict[str, Column], cap: Column) -> Column:
     so_what = F.array_join(_distinct(F.array(*[_piece(x, view) for x in p.so_what]), 5), " ")
     return F.struct(
         F.lit(p.label).alias("label"), F.lit(p.background).alias("background"),
-        F.coalesce(F.nullif(so_what, F.lit("")), F.lit("The excerpt does not carry enough detail to support impact analysis.")).alias("so_what"),
+        F.coalesce(F.nullif(so_what, F.lit("")), F.lit("Nothing in the excerpt says what would change.")).alias("so_what"),
         four_pieces(F.slice(F.array(*made).cast(f"array<{_SCENARIO}>"), F.lit(1), cap)).alias("scenarios"),
         _distinct(F.array(*[_piece(x, view) for x in p.watch]), 6).alias("watchpoints"), _distinct(F.array(*[_piece(x, view) for x in p.questions]), 5).alias("questions"),
     )
@@ -145,8 +148,8 @@ def analyse(docs: DataFrame) -> DataFrame:
 
 def watchpoints(listed: Column, band: Column, as_of: Column) -> Column:
     """Up to eight distinct watchpoints, with one more where the date is unknown, relative or old."""
-    newer = F.concat(F.lit("Re-check for a newer public text (source as-of "), F.coalesce(as_of.cast("string"), F.lit("?")), F.lit(" looks "), band, F.lit(")"))
-    fresh = F.when(band == "unknown", "Confirm publication or meeting date — paste has no dated dateline").when(band == "weak", "Only a relative time cue was found — confirm the exact publication date").when(band.isin("stale", "aging"), newer)
+    newer = F.concat(F.lit("A text newer than "), F.coalesce(as_of.cast("string"), F.lit("?")), F.lit(" ("), band, F.lit(")"))
+    fresh = F.when(band == "unknown", "The date of the text, which it does not give").when(band == "weak", "The date of the text, which it gives only in relation to today").when(band.isin("stale", "aging"), newer)
     return _distinct(F.concat(listed, F.array(fresh)), 8)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import java
+from cuelens.lexicon.rules import CARD_TYPES
 
 _TAGGED = "tag:string,framing:string"
 BRIEFING = (
@@ -134,9 +135,8 @@ def findings(briefs: DataFrame) -> DataFrame:
             _finding(at("signaling_scorecard").isNotNull() & (F.coalesce(F.size(at("signaling_scorecard.rules")), F.lit(0)) <= 0), "scorecard-empty", F.lit("rules=[]")),
         )
     )
-    types = ("institution", "lexicon", "history_frame", "intl_compare", "method")
     named = lambda x, v: F.concat(F.coalesce(x["id"], F.lit("?")), F.lit(":"), v.cast("string"))
-    parts.append(_each(at("ontology_lite.hits"), lambda h: [_finding(_not_in(F.lower(h["tag"]), ("background", "hypothesis")), "ontology-hit-tag-invalid", named(h, h["tag"])), _finding(_not_in(h["type"], types), "ontology-hit-type-invalid", named(h, h["type"]))]))
+    parts.append(_each(at("ontology_lite.hits"), lambda h: [_finding(_not_in(F.lower(h["tag"]), ("background", "hypothesis")), "ontology-hit-tag-invalid", named(h, h["tag"])), _finding(_not_in(h["type"], CARD_TYPES), "ontology-hit-type-invalid", named(h, h["type"]))]))
     parts.append(_each(at("info_triage.kinds"), lambda k: [_finding(_not_in(k["kind"], KINDS), "triage-kind-invalid", k["kind"])]))
     parts.append(_each(at("signaling_scorecard.rules"), lambda r: [_finding(~r["weight"].between(0, 1), "scorecard-weight-range", named(r, r["weight"])), _finding(_not_in(F.lower(r["status"]), ("hit", "miss", "unclear")), "scorecard-status-invalid", named(r, r["status"]))]))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import java
 from cuelens.functions.text import bind, first_match
-from cuelens.lexicon.rules import Has, Pack, Rule
+from cuelens.lexicon.rules import CARD_BONUS, Has, Pack, Rule
 
 #: Thousandths of a rule's weight that each status counts.
 STATUS = {"hit": 1000, "unclear": 400, "miss": 0}
@@ -195,6 +195,11 @@ def item_role(text: Column, kind: Column, pack: Pack) -> Column:
     )
 
 
+def card_catalog(cards: DataFrame) -> list[dict]:
+    """What ``match_cards`` takes, of ``read_cards``' rows: a catalog is written by hand and held by the driver."""
+    return [{"id": r.name, "desks": list(r.desks), "match": list(r.match), "bonus": CARD_BONUS.get(r.type, 0)} for r in cards.collect()]
+
+
 def match_cards(docs: DataFrame, cards: list[dict], most: int = 8) -> DataFrame:
     """(doc_id, card, score, k): each document's ``most`` best context cards that share a keyword with it.
 

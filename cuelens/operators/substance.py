@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelens.functions.gloss import looked_up
+from cuelens.functions.gloss import looked_up, render
 from cuelens.functions.text import around, bind, first_match, spans
 from cuelens.lexicon.rules import Pack
 from cuelens.operators.scoring import CHANNEL_TIERS
@@ -58,7 +58,8 @@ def nuggets(text: Column, pack: Pack, facts: Column | None = None) -> Column:
     """array<NUGGET>: distinct matches by kind, ``PER_KIND`` of each, ``IN_ALL`` in catalog order, each with its evidence.
 
     The evidence is the clause around the match. Where ``facts`` are given and one of a kind that explains the nugget
-    overlaps it, or else is the nearest that its clause holds, the evidence is that fact's and so is the English value.
+    overlaps it, or else is the nearest that its clause holds, the evidence is that fact's and so is the English value; without
+    one the value is what the pack's glossary makes of it, or else what its kind is called.
     """
     first = F.slice(F.concat(*[_first_ones(spans(text, r.pattern), r.name) for r in pack.detectors]), 1, IN_ALL)
 
@@ -72,12 +73,18 @@ def nuggets(text: Column, pack: Pack, facts: Column | None = None) -> Column:
         over = F.try_element_at(F.filter(fit, lambda f: (n["start"] < f["end"]) & (end > f["start"])), F.lit(1))
         near = F.array_sort(F.transform(F.filter(fit, lambda f: F.contains(clause, f["value"])), lambda f: F.struct(F.abs(f["start"] - n["start"]).alias("far"), f["start"].alias("at"), f.alias("f"))))
         found = F.struct(F.coalesce(over, F.try_element_at(near, F.lit(1))["f"]).alias("fact"))
-        with_fact = lambda x: F.struct(n["kind"].alias("kind"), n["value"].alias("value"), F.coalesce(x["fact"]["quote"], clause).alias("evidence"), _value_en(n["kind"], x["fact"]).alias("value_en"), n["start"].alias("start"))
+        with_fact = lambda x: F.struct(n["kind"].alias("kind"), n["value"].alias("value"), F.coalesce(x["fact"]["quote"], clause).alias("evidence"), F.coalesce(_value_en(n["kind"], x["fact"]), _glossed(n, pack)).alias("value_en"), n["start"].alias("start"))
         return bind(found, with_fact)
 
     return F.transform(first, told).cast(f"array<{NUGGET}>")
 
 
+def _glossed(n: Column, pack: Pack) -> Column:
+    """English of a nugget that no fact explains."""
+    called = looked_up(pack.cue_phrases, n["kind"]) if pack.cue_phrases else F.lit(None).cast("string")
+    return F.coalesce(F.nullif(render(n["value"], pack.glossary)["en"], F.lit("")), called) if pack.glossary else called
+
+
 def _value_en(kind: Column, fact: Column) -> Column:
     """English value of a nugget by the fact behind it: a number shows the amount, a funding line its vehicle and amount."""
     money = fact["kind"] == "money"

@@ -9,7 +9,10 @@ from pyspark.sql.window import Window
 from cuelens.functions.markup import html_text, rss_items
 
 ENTRY = "struct<id:string,type:string,path:string,url:string,label:string,topics:array<string>,enabled:boolean,note:string,maxItems:int,tier:string,channel_type:string,authority_weight:double>"
-SUBSCRIPTION = "struct<id:string,title:string,keywords:array<string>,sourceIds:array<string>,mergeMode:string,maxItemsPerRun:int,active:boolean>"
+SUBSCRIPTION = (
+    "struct<id:string,title:string,description:string,keywords:array<string>,sourceIds:array<string>,scheduleCron:string,scheduleHuman:string,"
+    "delivery:array<string>,forceOffline:boolean,maxItemsPerRun:int,mergeMode:string,active:boolean>"
+)
 TEXT_MOST, TEXT_LEAST = 20_000, 20
 
 
@@ -21,7 +24,7 @@ def read_whitelist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_subscriptions(spark: SparkSession, path: str) -> DataFrame:
-    """Active subscriptions; one without the flag is active."""
+    """Active subscriptions; one without the flag is active. Schedules are carried along for whatever starts the runs."""
     file = spark.read.schema(f"version int, subscriptions array<{SUBSCRIPTION}>").option("multiLine", True).json(path)
     return file.select(F.explode("subscriptions").alias("s")).select("s.*").where(F.coalesce("active", F.lit(True)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuelens.lexicon.rules import CARD_TYPES
+
 
 def record_id(date: Column, subscription: Column, source: Column, text: Column) -> Column:
     """``date_subscription_source_hash`` in safe characters: the same record has the same id."""
@@ -60,7 +62,7 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
     kind = field("type")
     return raw.select(
         field("name").alias("name"),
-        F.when(kind.isin("lexicon", "timeline", "actor", "instrument"), kind).otherwise("lexicon").alias("type"),
+        F.when(kind.isin(*CARD_TYPES), kind).otherwise("lexicon").alias("type"),
         desks.alias("desks"),
         F.regexp_extract_all(field("match"), F.lit('"([^"]+)"'), F.lit(1)).alias("match"),
         F.regexp_replace(F.regexp_replace("v", r"(?s)^---\n.*?\n---\n?", ""), r"^\s+|\s+$", "").alias("body"),

@@ -75,8 +75,8 @@ def test_independent_pair_is_the_first(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "w.json").write_text(json.dumps({"version": 1, "allowedHosts": ["a.org"], "entries": [{"id": "x", "type": "rss"}, {"id": "y", "type": "url", "enabled": False}]}))
     assert [r.id for r in feeds.read_whitelist(spark, str(tmp_path / "w.json")).collect()] == ["x"]
-    (tmp_path / "s.json").write_text(json.dumps({"subscriptions": [{"id": "a"}, {"id": "b", "active": False}]}))
-    assert [r.id for r in feeds.read_subscriptions(spark, str(tmp_path / "s.json")).collect()] == ["a"]
+    (tmp_path / "s.json").write_text(json.dumps({"subscriptions": [{"id": "a", "scheduleCron": "0 8 * * *", "scheduleHuman": "daily", "delivery": ["rss"]}, {"id": "b", "active": False}]}))
+    assert [(r.id, r.scheduleCron, r.scheduleHuman, r.delivery) for r in feeds.read_subscriptions(spark, str(tmp_path / "s.json")).collect()] == [("a", "0 8 * * *", "daily", ["rss"])]
     urls = spark.createDataFrame([("https://A.org:80/x",), ("https://u:p@a.org/",), ("ftp://a.org/",), ("http://127.0.0.1/",), ("not a url",), (None,)], "url string")
     assert [r.url for r in feeds.allowed(urls, spark.createDataFrame([("a.ORG",), ("127.0.0.1",)], "host string")).collect()] == ["https://A.org:80/x"]
     items = spark.createDataFrame([(1, True, "chinese", True), (2, True, "non_chinese", True), (3, None, None, None)], "i int, in_scope boolean, language_quality string, has_concrete_detail boolean")
@@ -94,3 +94,20 @@ def test_records(spark, tmp_path):
     (tmp_path / "c.md").write_text('---\nname: card\ntype: odd\ndesk: overall_goals, defense\nmatch: ["a b", "c"]\n---\nBody\n')
     card = records.read_cards(spark, str(tmp_path / "c.md")).first()
     assert (card.name, card.type, card.desks, card.match, card.body) == ("card", "lexicon", ["economy_investment", "defense"], ["a b", "c"], "Body")
+    for kind in ("institution", "lexicon", "history_frame", "intl_compare", "method"):
+        (tmp_path / "cards").mkdir(exist_ok=True)
+        (tmp_path / "cards" / f"{kind}.md").write_text(f'---\nname: {kind}\ntype: {kind}\ndesk: all\nmatch: ["a b"]\n---\nBody\n')
+    catalog = scoring.card_catalog(records.read_cards(spark, str(tmp_path / "cards")))
+    found = scoring.match_cards(spark.createDataFrame([(1, "a b", "x")], "doc_id int, text string, desk string"), catalog).collect()
+    assert {r.card: r.score for r in found} == {"method": 1250, "institution": 900, "history_frame": 850, "intl_compare": 850, "lexicon": 750}
+
+
+def test_nuggets_have_english(spark):
+    """Where no fact explains a nugget its English is its terms', else what its kind is called; never null, never Mandarin."""
+    rows = spark.createDataFrame([(1, "某单位首次召开网络安全周活动，有关人员当选，印发通知，2026年底前完成，安排专项资金3亿元。")], "doc_id int, text string")
+    from cuelens.operators import facts
+
+    got = substance.cut(facts.facts(rows), MANDARIN).first().nuggets
+    english = {n.kind: n.value_en for n in got}
+    assert all(n.value_en and not any("\u4e00" <= c <= "\u9fff" for c in n.value_en) for n in got)
+    assert english["official_action"] == "a named official action (see quoted excerpt)" and english["timeline"] == "by end-2026"

@@ -140,3 +140,33 @@ def test_cooldown_and_pastes_once(spark, tmp_path):
     stream = live.once(live.read_folder(spark, str(tmp_path / "in"), "doc_id long, text string, ts timestamp"), "ts")
     live.run_once(stream.select("doc_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_delivery_sends_once(spark, tmp_path):
+    """A receiver that fails at first: what it took is not sent again, by a later batch, a batch that is run again, or a restart."""
+    from cuelens.streaming import delivery
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+
+    def send(key, payload, inbox=str(inbox)):
+        import os
+        import uuid
+
+        seen = sum(f.startswith(f"{key}-try") for f in os.listdir(inbox))
+        open(os.path.join(inbox, f"{key}-try{uuid.uuid4().hex}"), "w").close()
+        if payload.startswith("bad") or (payload.startswith("slow") and seen == 0):
+            raise OSError("not now")
+        open(os.path.join(inbox, f"{key}-took{uuid.uuid4().hex}"), "w").write(payload)
+
+    took = lambda: sorted(f.read_text() for f in inbox.iterdir() if "-took" in f.name)
+    ledger, kind = str(tmp_path / "ledger"), "id string, payload string"
+    each = delivery.deliver(send, ledger, tries=2, pause=0.0)
+    for part in ([("1", "a"), ("1", "a"), ("2", "slow b"), ("3", "bad c"), ("4", None)], [("1", "a"), ("5", "d"), ("3", "bad c")]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live.run_once(live.read_folder(spark, str(tmp_path / "in"), kind), "", str(tmp_path / "cp"), each)
+    assert took() == ["a", "d", "slow b"]
+    rows = delivery.read_ledger(spark, ledger).collect()
+    assert {(r.id, r.taken, r.tries) for r in rows} == {("1", True, 1), ("2", True, 2), ("3", False, 2), ("5", True, 1)} and len(rows) == 5
+    each(spark.createDataFrame([("1", "a"), ("2", "slow b"), ("3", "bad c")], kind), 0)  # the first batch again
+    assert took() == ["a", "d", "slow b"] and {r.id for r in delivery.read_ledger(spark, ledger).where("taken").collect()} == {"1", "2", "5"}
