@@ -40,6 +40,8 @@ from cuelens.llm.textkit import Texts, Words, let_go, slices, windows
 WIDTH = 35
 #: Stored input for one bucket, about a million windows, and at most; a map batch is twice as large, raw.
 BUCKET_BYTES, MOST_BUCKET_BYTES = 4 << 20, 16 << 20
+#: Text hashed at a time.
+HASHED_BYTES = 1 << 20
 #: A record with fewer windows is not compressed.
 FEW = 64
 
@@ -69,16 +71,26 @@ def _runs(home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, ordered[edge[:-1]], edge
 
 
+def _hashed(batch: pa.RecordBatch, width: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """All windows of a batch: hash, place and bucket, and each text's first word; ``HASHED_BYTES`` of text at a time."""
+    parts, done = [], 0
+    for some in slices([batch], "text", HASHED_BYTES):
+        words = Texts(some.column("text")).words()
+        of_words = words.hashes()
+        hashes, at = windows(words, of_words, width)
+        where = (windows(words, of_words, width, family=1)[0] >> np.uint64(33)) % np.uint64(buckets)
+        parts.append((hashes, at + done, where.astype(np.int32), words.first[:-1] + done))
+        done += len(words.start)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _send(width: int, buckets: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(slices(batches, "text", batch_bytes)):
-            words = Texts(batch.column("text")).words()
-            of_words = words.hashes()
-            hashes, at = windows(words, of_words, width)
-            where = (windows(words, of_words, width, family=1)[0] >> np.uint64(33)) % np.uint64(buckets)
+            hashes, at, where, first = _hashed(batch, width, buckets)
             order = np.argsort(hashes, kind="stable")
             ordered = hashes[order]
             again = np.zeros(len(ordered), bool)
@@ -96,7 +108,7 @@ def _send(width: int, buckets: int, batch_bytes: int):
                     sent = mine[lo:hi].tobytes()
                     for c, v in zip(rows, (b, None, None, sent, None, None) if settled else (b, _pack(places[lo:hi]), sent, None, None, None), strict=True):
                         rows[c].append(v)
-            keys = pa.table({"first": words.first[:-1], "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash")})
+            keys = pa.table({"first": first, "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash")})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, keys.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(keys)

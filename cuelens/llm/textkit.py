@@ -165,6 +165,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int, most_bytes: int
             lo = hi
 
 
+def _return_large() -> None:
+    """Blocks of 1 MB and more go back to the system as soon as they are freed; else a worker keeps the peak of each stage beside the next one's."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    except (AttributeError, OSError):  # another C library than glibc
+        return
+
+
+_return_large()
+
+
 def let_go() -> None:
     """Give memory that a finished task no longer uses back to the system: workers live on, beside those of the next stage."""
     pa.default_memory_pool().release_unused()
