@@ -78,5 +78,5 @@ CORPUS = Pack(
     gray=r"[#*$%&]{3,}",
     instrument=_LICENSE,
     meeting=r"\n",
-    extra={"think_tank": _ADDRESS, "defense": ("noise_desk", Has(_JUNK)), "instrument_over_meeting": Has(_LICENSE)},
+    extra={"roles": {"defense_public": _JUNK, "diplomatic": _ADDRESS, "social_or_ideology": _INSULT}, "think_tank": _ADDRESS, "defense": ("noise_desk", Has(_JUNK)), "instrument_over_meeting": Has(_LICENSE)},
 )

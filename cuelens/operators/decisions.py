@@ -142,6 +142,44 @@ def info_value(intake: Column, adopted: Column, band: Column, corroboration: Col
     return F.when(low, "low").when((band == "dense") & (corroboration >= 2), "high").otherwise("medium")
 
 
+#: What a reader can do next, by the name of the step.
+NEXT_STEPS = {
+    "wait_for_notice": "Leave it waiting until a notice that carries it out is public",
+    "rerun_on_detail": "Run it again once a notice, an amount or a dated document exists",
+    "official_excerpt": "Find what an office or agency published on it; this is comment",
+    "excerpt_with_detail": "Look for a passage with a number, a date or a named document",
+    "more_than_direction": "Meeting language and direction are not enough for a brief",
+    "second_excerpt": "Bring a second published passage on the subject",
+    "dateline": "State when the source was published",
+    "implementing_notice": "Bring the notice that carries it out, and run both together",
+    "second_source": "Bring a source that does not repeat the first",
+    "verify": "Compare numbers, dates and bodies with a public page",
+}
+
+
+def next_steps(docs: DataFrame) -> DataFrame:
+    """``docs`` (intake, adopted, substance_band, corroboration, quality_missing, missing_cues) and info_value, next_steps: names of ``NEXT_STEPS``, and up to two cues that are missing.
+
+    A record that waits, is social or was not adopted gets the steps of that; others up to three, four where they are worth little.
+    """
+    value = info_value(F.col("intake"), F.col("adopted"), F.col("substance_band"), F.col("corroboration"))
+    lacks = lambda what: F.array_contains("quality_missing", what)
+    open_ = F.array_compact(F.array(
+        F.when(lacks("second_public_source"), "second_excerpt"), F.when(lacks("source_as_of"), "dateline"),
+        F.when((F.col("substance_band") == "thin") | (F.col("corroboration") < 2), "implementing_notice"), F.when(F.col("corroboration") < 1, "second_source"),
+    ))
+    found = F.concat(open_, F.slice(F.coalesce("missing_cues", F.array().cast("array<string>")), 1, 2))
+    some = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("verify")))
+    names = lambda *steps: F.array(*map(F.lit, steps))
+    steps = (
+        F.when(F.col("intake") == "defer", names("wait_for_notice", "rerun_on_detail"))
+        .when(F.col("intake") == "social_downweight", names("official_excerpt"))
+        .when(~F.col("adopted"), names("excerpt_with_detail", "more_than_direction"))
+        .otherwise(F.slice(some, F.lit(1), F.when(F.col("info_value") == "low", 4).otherwise(3)))
+    )
+    return docs.withColumn("info_value", value).withColumn("next_steps", steps)
+
+
 def review_points(docs: DataFrame) -> DataFrame:
     """``docs`` and review, array<struct<id,system_pick,status,resolved>>: the three decisions that were guessed.
 

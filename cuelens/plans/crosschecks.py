@@ -151,18 +151,49 @@ def q27_related_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relating.related(rows).withColumns({"score": F.round("score", 6), "shared_keys": F.array_join("shared_keys", " | ")})
 
 
+_HAS = lambda pattern: scoring.Has(pattern).sql("text")
+_ROLES = CORPUS.extra["roles"]
+_ROLE_SQL = f"""CASE WHEN primary_kind = 'defense_public' OR {_HAS(_ROLES['defense_public'])} THEN 'defense_public' WHEN primary_kind = 'foreign_affairs' OR {_HAS(_ROLES['diplomatic'])} THEN 'diplomatic'
+      WHEN {_HAS(_ROLES['social_or_ideology'])} THEN 'social_or_ideology' WHEN {_HAS(CORPUS.instrument)} THEN 'implementing_instrument' WHEN {_HAS(CORPUS.meeting)} THEN 'direction_meeting' ELSE 'other' END"""
+
+
 @query(
-    f"""WITH {DESK_SQL}, t AS (SELECT desk, importance, CASE WHEN {scoring.Has(CORPUS.instrument).sql('text')} THEN 'implementing_instrument' WHEN n_themes > 0 THEN 'social' WHEN regexp_matches(text, '\\n') THEN 'direction_meeting' ELSE 'other' END AS role,
-      regexp_matches(text, '\\n') AS direction, {scoring.Has(CORPUS.instrument).sql('text')} AS instrument FROM desked)
-    SELECT desk, count(*) AS n_items, CAST(max(importance) AS INT) AS max_score, round(avg(importance), 2) AS avg_score, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles, bool_or(direction) AND bool_or(instrument) AS pairable FROM t GROUP BY desk"""
+    f"""WITH {DESK_SQL}, t AS (SELECT desk, importance, {_ROLE_SQL} AS role FROM desked)
+    SELECT desk, count(*) AS n_items, CAST(max(importance) AS INT) AS max_score, round(avg(importance), 2) AS avg_score, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles,
+      bool_or(role = 'direction_meeting') AND bool_or(role = 'implementing_instrument') AS pairable FROM t GROUP BY desk"""
 )
 def q28_section_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By desk: items, scores, roles and whether direction and instrument can be paired."""
+    """By desk: items, scores, the roles of its items, and whether a direction and an instrument can be paired."""
     from cuelens.operators.history import board
 
-    instrument, direction = scoring.Has(CORPUS.instrument).column(F.col("text")), scoring.Has(CORPUS.meeting).column(F.col("text"))
-    role = F.when(instrument, "implementing_instrument").when(F.size("themes") > 0, "social").when(direction, "direction_meeting").otherwise("other")
-    return board(desked(spark, sf_dir).select("desk", F.col("importance").alias("score"), role.alias("role"), direction.alias("direction"), instrument.alias("instrument")), "desk")
+    rows = desked(spark, sf_dir).select("desk", F.col("importance").alias("score"), scoring.item_role(F.col("text"), F.col("primary_kind"), CORPUS).alias("role"))
+    return board(rows.withColumns({"direction": F.col("role") == "direction_meeting", "instrument": F.col("role") == "implementing_instrument"}), "desk")
+
+
+@query(
+    f"""WITH i AS (WITH {INTAKE_SQL} SELECT doc_id, intake, adopted, band, gray, source_class FROM intake), c AS (WITH {_CORR_SQL} SELECT run, n_sources, corroboration FROM corr),
+    j AS (SELECT i.*, n_sources, corroboration FROM i JOIN documents USING (doc_id) JOIN c ON run = lang || ':' || regexp_extract(trim(text), '^[^\\s]+')),
+    v AS (SELECT *, CASE WHEN intake IN ('defer', 'social_downweight') OR NOT adopted OR (band = 'thin' AND corroboration <= 1) THEN 'low' WHEN band = 'dense' AND corroboration >= 2 THEN 'high' ELSE 'medium' END AS info_value,
+      list_filter([CASE WHEN n_sources < 2 THEN 'second_excerpt' END, CASE WHEN band = 'thin' OR corroboration < 2 THEN 'implementing_notice' END, CASE WHEN corroboration < 1 THEN 'second_source' END], lambda x: x IS NOT NULL) AS steps FROM j)
+    SELECT doc_id, info_value, array_to_string(CASE WHEN intake = 'defer' THEN ['wait_for_notice', 'rerun_on_detail'] WHEN intake = 'social_downweight' THEN ['official_excerpt'] WHEN NOT adopted THEN ['excerpt_with_detail', 'more_than_direction']
+        WHEN len(steps) = 0 THEN ['verify'] ELSE steps[1:CASE WHEN info_value = 'low' THEN 4 ELSE 3 END] END, ',') AS next_steps,
+      array_to_string(list_filter([CASE WHEN source_class = 'unknown_public' THEN 'source_class:open' END, CASE WHEN gray AND NOT adopted THEN 'intake_gray:open' END, CASE WHEN adopted THEN 'domain_profile:open' END], lambda x: x IS NOT NULL), ',') AS review FROM v"""
+)
+def q39_review_and_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a record is worth, what to do next, and the guessed decisions that a human should confirm; no text of the corpus has a domain of its own, and dates are taken as given."""
+    runs = corroborated(spark, sf_dir).select(F.col("run").alias("r"), "corroboration", F.col("n_sources").alias("distinct_sources"))
+    run = F.concat("lang", F.lit(":"), F.regexp_extract("text", r"^[^\s]+", 0))
+    rows = screened(spark, sf_dir).withColumn("gray_open", decisions.gray_zone(CORPUS) & ~F.col("adopted")).join(runs, run == F.col("r"))
+    none = F.lit(None).cast("string")
+    undated = F.struct(F.lit(None).cast("date").alias("date"), F.lit("none").alias("method"), F.lit("none").alias("precision"))
+    rows = decisions.brief_quality(rows.withColumn("as_of", undated), operator_dated=F.lit(True)).withColumn("missing_cues", F.lit(None).cast("array<string>"))
+    guesses = {
+        "class_ambiguous": F.col("source_class") == "unknown_public", "forced_class": none, "auto_intake": F.col("intake"), "intake_overridden": F.lit(False),
+        "profile": F.lit("general_policy"), "desk_guessed": F.lit(False), "forced_profile": none,
+    }
+    rows = decisions.review_points(decisions.next_steps(rows).withColumns(guesses))
+    points = F.transform("review", lambda p: F.concat(p["id"], F.lit(":"), p["status"]))
+    return rows.select("doc_id", "info_value", F.array_join("next_steps", ",").alias("next_steps"), F.array_join(points, ",").alias("review"))
 
 
 @query(

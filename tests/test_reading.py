@@ -145,6 +145,10 @@ def test_quality_value_and_review(spark):
     assert got == {1: ("complete", []), 2: ("partial", ["second_public_source", "source_as_of"]), 3: ("rejected", ["actionable_hard_detail"]), 4: ("partial", ["source_as_of"])}
     value = spark.createDataFrame([("admit", True, "dense", 2), ("admit", True, "thin", 1), ("admit", True, "mixed", 0), ("defer", False, "dense", 3)], "i string, a boolean, b string, c int").select(decisions.info_value(F.col("i"), F.col("a"), F.col("b"), F.col("c")))
     assert [r[0] for r in value.collect()] == ["high", "low", "medium", "low"]
+    kinds = "intake string, adopted boolean, substance_band string, corroboration int, quality_missing array<string>, missing_cues array<string>"
+    cases = [("defer", False, "dense", 3, [], []), ("social_downweight", False, "thin", 0, [], []), ("reject_thin", False, "thin", 0, [], []), ("admit", True, "thin", 0, ["second_public_source", "source_as_of"], ["a", "b", "c"]), ("admit", True, "mixed", 1, [], ["a", "b", "c"]), ("admit", True, "dense", 2, [], None)]
+    steps = [r.next_steps for r in decisions.next_steps(spark.createDataFrame(cases, kinds)).collect()]
+    assert steps == [["wait_for_notice", "rerun_on_detail"], ["official_excerpt"], ["excerpt_with_detail", "more_than_direction"], ["second_excerpt", "dateline", "implementing_notice", "second_source"], ["implementing_notice", "a", "b"], ["verify"]]
     review = spark.createDataFrame([(True, "official_or_wire", True, "defer", "admit", True, True, "general_policy", False, None)], "class_ambiguous boolean, forced_class string, gray_open boolean, auto_intake string, intake string, intake_overridden boolean, adopted boolean, profile string, desk_guessed boolean, forced_profile string")
     assert [(p.id, p.status, p.resolved) for p in decisions.review_points(review).first().review] == [("source_class", "resolved", "official_or_wire"), ("intake_gray", "resolved", "admit"), ("domain_profile", "open", None)]
     scenarios = spark.sql("select array(named_struct('label', 'a', 'likelihood', 'low'), named_struct('label', 'b', 'likelihood', 'high'), named_struct('label', 'c', 'likelihood', 'high')) s")
