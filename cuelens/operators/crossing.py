@@ -123,21 +123,45 @@ def phrases(text: Column, formula: tuple[str, ...], n: int = 4, of: str = r"\p{L
     return F.array_except(char_grams(text, n, of), F.array(*map(F.lit, stock)))
 
 
+# What drives a corroboration.
+DRIVERS = ("single_source_names_traceable_record", "cross_source_subject_match", "cross_source_detail_match", "independent_issuer_agreement", "three_plus_sources_same_subject", "cross_source_topic_overlap_only")
+#: What a run lacks, by name.
+GAPS = {
+    "second_source": "a second source to compare with",
+    "other_issuer": "a source of another issuer",
+    "same_subject_wording": "a second source on the same named subject: these share wording alone",
+    "same_subject": "a second source on the same named subject: these share nothing",
+    "named_instrument": "a named document",
+    "document_for_meeting": "the document that carries out what the meeting said",
+    "checkable_detail": "numbers, dates or bodies that can be checked",
+}
+MOST_GAPS = 5
+
+
 def corroborate(rows: DataFrame, run: str, source: str, order: str) -> DataFrame:
-    """(run, n_sources, n_subjects, n_phrases, independent, corroboration 0-3).
+    """(run, n_sources, n_subjects, n_details, n_phrases, independent, corroboration 0-3, drivers, missing).
 
-    ``rows``: run, source, order, subjects, issuers, phrases, traceable; one row a distinct paste.
+    ``rows``: run, source, order, subjects, issuers, details, phrases, traceable, has_instrument, has_meeting, thin; one row a distinct
+    paste. drivers are those of ``DRIVERS``, missing up to ``MOST_GAPS`` of ``GAPS``; a run has an instrument or a meeting if one
+    of its sources has, and is thin if all are.
     """
-    n = rows.groupBy(run).agg(F.count("*").alias("n_sources"), F.bool_or("traceable").alias("traceable"))
-    subjects = shared_terms(rows, run, "subjects", order).groupBy(run).agg(F.count("*").alias("n_subjects"))
-    common = shared_terms(rows, run, "phrases", order).groupBy(run).agg(F.count("*").alias("n_phrases"))
-    pairs = independent_pair(rows, run, "issuers", order).select(run, F.lit(True).alias("independent"))
-    joined = n.join(subjects, run, "left").join(common, run, "left").join(pairs, run, "left")
-    joined = joined.fillna(0, ["n_subjects", "n_phrases"]).fillna(False, ["independent"])
-    score = (
-        F.when(F.col("n_sources") < 2, F.col("traceable").cast("int"))
-        .when(F.col("n_subjects") > 0, F.when(F.col("independent") | (F.col("n_sources") >= 3), 3).otherwise(2))
-        .when(F.col("n_phrases") >= 3, 1)
-        .otherwise(0)
+    n = rows.groupBy(run).agg(
+        F.count("*").alias("n_sources"), F.bool_or("traceable").alias("traceable"), F.bool_or("has_instrument").alias("has_instrument"), F.bool_or("has_meeting").alias("has_meeting"), F.bool_and("thin").alias("thin")
     )
-    return joined.select(run, "n_sources", "n_subjects", "n_phrases", "independent", score.alias("corroboration"))
+    common = lambda terms, name: shared_terms(rows, run, terms, order).groupBy(run).agg(F.count("*").alias(name))
+    pairs = independent_pair(rows, run, "issuers", order).select(run, F.lit(True).alias("independent"))
+    joined = n.join(common("subjects", "n_subjects"), run, "left").join(common("details", "n_details"), run, "left").join(common("phrases", "n_phrases"), run, "left").join(pairs, run, "left")
+    joined = joined.fillna(0, ["n_subjects", "n_details", "n_phrases"]).fillna(False, ["independent"])
+    alone, agreed, wording = F.col("n_sources") < 2, F.col("n_subjects") > 0, F.col("n_phrases") >= 3
+    apart = F.col("independent") | (F.col("n_sources") >= 3)
+    score = F.when(alone, F.col("traceable").cast("int")).when(agreed, F.when(apart, 3).otherwise(2)).when(wording, 1).otherwise(0)
+    both = ~alone & agreed
+    named = [
+        alone & F.col("traceable"), both, both & (F.col("n_details") > 0), both & F.col("independent"), both & ~F.col("independent") & (F.col("n_sources") >= 3), ~alone & ~agreed & wording,
+    ]
+    gap = F.when(alone, "second_source").when(agreed & ~apart, "other_issuer").when(agreed, None).when(wording, "same_subject_wording").otherwise("same_subject")
+    gaps = [gap, F.when(~F.col("has_instrument"), "named_instrument"), F.when(F.col("has_meeting") & ~F.col("has_instrument"), "document_for_meeting"), F.when(F.col("thin"), "checkable_detail")]
+    drivers = F.array_compact(F.array(*[F.when(test, name) for test, name in zip(named, DRIVERS, strict=True)]))
+    return joined.select(
+        run, "n_sources", "n_subjects", "n_details", "n_phrases", "independent", score.alias("corroboration"), drivers.alias("drivers"), F.slice(F.array_compact(F.array(*gaps)), 1, MOST_GAPS).alias("missing"),
+    )

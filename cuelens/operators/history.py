@@ -63,14 +63,16 @@ def source_hash(text: Column) -> Column:
 
 
 def board(rows: DataFrame, section: str) -> DataFrame:
-    """By section: items, highest and mean score, roles, whether direction and instrument both occur."""
+    """By section: items, highest and mean score, roles, whether direction and instrument both occur, and where rows have ``missing``, all that any of them lacks."""
     roles = F.array_sort(F.collect_set("role"))
+    gaps = [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))), ",").alias("gaps")] if "missing" in rows.columns else []
     return rows.groupBy(section).agg(
         F.count("*").alias("n_items"),
         F.max("score").alias("max_score"),
         F.round(F.avg("score"), 2).alias("avg_score"),
         F.array_join(roles, ",").alias("roles"),
         (F.bool_or("direction") & F.bool_or("instrument")).alias("pairable"),
+        *gaps,
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelens.functions.dialect import literal
+from cuelens.functions.text import matches
 from cuelens.lexicon import CORPUS
 from cuelens.operators import containment, crossing, decisions, relating, scoring, substance
 from cuelens.plans.registry import query, table
@@ -16,6 +17,8 @@ from cuelens.plans.screening import CARD_SQL, DESK_SQL, INTAKE_SQL, NUGGETS_SQL,
 
 SUBJECTS = ("thing", "ing", "tion", "leaux", "eaux", "schaft", "sch", "ción", "mente", "idiot", "clown", "the ")
 ISSUERS = ("idiot", "clown", "***", "###", "Licensed", "@", " | ", "!!")
+#: What sources can agree on to the letter.
+DETAILS = r"\d{3,}"
 FORMULA = ("that", "with", "from", "dans", "pour", "eine", "nicht", "para", "como")
 _SUB = "[" + ", ".join(map(literal, SUBJECTS)) + "]"
 _ISS = "[" + ", ".join(map(literal, ISSUERS)) + "]"
@@ -64,24 +67,36 @@ def q17_independent_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CORR_SQL = f"""{_FOUND_SQL}, {_PAIR_SQL.format('run')},
-  n AS (SELECT run, count(*) AS n_sources, bool_or({scoring.Has(CORPUS.instrument).sql('text')}) AS traceable FROM found GROUP BY run),
+  n AS (SELECT run, count(*) AS n_sources, bool_or({scoring.Has(CORPUS.instrument).sql('text')}) AS traceable, bool_or({scoring.Has(CORPUS.meeting).sql('text')}) AS meeting, bool_and(NOT regexp_matches(text, '\\d')) AS thin FROM found GROUP BY run),
+  det AS (SELECT run, count(*) AS n_details FROM (SELECT run, d FROM (SELECT DISTINCT run, doc_id, unnest(regexp_extract_all(text, {literal(DETAILS)})) AS d FROM found) GROUP BY ALL HAVING count(*) >= 2) GROUP BY run),
   subj AS (SELECT run, count(*) AS n_subjects FROM (SELECT run, term FROM (SELECT run, doc_id, unnest(subjects) AS term FROM found) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2) GROUP BY run),
   phr AS (SELECT run, count(*) AS n_phrases FROM (SELECT run, g FROM grams GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2) GROUP BY run),
   corr AS (
     SELECT n.run, n_sources, coalesce(n_subjects, 0) AS n_subjects, coalesce(n_phrases, 0) AS n_phrases, p IS NOT NULL AS independent,
-      CASE WHEN n_sources < 2 THEN traceable::INT WHEN coalesce(n_subjects, 0) > 0 THEN CASE WHEN p IS NOT NULL OR n_sources >= 3 THEN 3 ELSE 2 END WHEN coalesce(n_phrases, 0) >= 3 THEN 1 ELSE 0 END AS corroboration
-    FROM n LEFT JOIN subj USING (run) LEFT JOIN phr USING (run) LEFT JOIN pairs USING (run))"""
+      CASE WHEN n_sources < 2 THEN traceable::INT WHEN coalesce(n_subjects, 0) > 0 THEN CASE WHEN p IS NOT NULL OR n_sources >= 3 THEN 3 ELSE 2 END WHEN coalesce(n_phrases, 0) >= 3 THEN 1 ELSE 0 END
+        AS corroboration, coalesce(n_details, 0) AS n_details, traceable, meeting, thin
+    FROM n LEFT JOIN subj USING (run) LEFT JOIN det USING (run) LEFT JOIN phr USING (run) LEFT JOIN pairs USING (run))"""
 
 
 def corroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = found(spark, sf_dir).withColumns({"phrases": crossing.phrases(F.col("text"), FORMULA), "traceable": scoring.Has(CORPUS.instrument).column(F.col("text"))})
+    text = F.col("text")
+    instrument = scoring.Has(CORPUS.instrument).column(text)
+    cues = {"traceable": instrument, "has_instrument": instrument, "has_meeting": scoring.Has(CORPUS.meeting).column(text), "thin": ~text.rlike(r"\d")}
+    rows = found(spark, sf_dir).withColumns({"phrases": crossing.phrases(text, FORMULA), "details": F.array_distinct(matches(text, DETAILS)), **cues})
     return crossing.corroborate(rows, "run", "source", "doc_id")
 
 
-@query(f"WITH {_CORR_SQL} SELECT run, n_sources, n_subjects, n_phrases, independent, CAST(corroboration AS INT) AS corroboration FROM corr")
+@query(
+    f"""WITH {_CORR_SQL}, g AS (SELECT *, n_sources < 2 AS alone, n_subjects > 0 AS agreed, n_phrases >= 3 AS wording FROM corr)
+    SELECT run, n_sources, n_subjects, n_details, n_phrases, independent, CAST(corroboration AS INT) AS corroboration,
+      array_to_string(list_filter([CASE WHEN alone AND traceable THEN 'single_source_names_traceable_record' END, CASE WHEN NOT alone AND agreed THEN 'cross_source_subject_match' END, CASE WHEN NOT alone AND agreed AND n_details > 0 THEN 'cross_source_detail_match' END,
+        CASE WHEN NOT alone AND agreed AND independent THEN 'independent_issuer_agreement' WHEN NOT alone AND agreed AND n_sources >= 3 THEN 'three_plus_sources_same_subject' END, CASE WHEN NOT alone AND NOT agreed AND wording THEN 'cross_source_topic_overlap_only' END], lambda x: x IS NOT NULL), ',') AS drivers,
+      array_to_string(list_filter([CASE WHEN alone THEN 'second_source' WHEN agreed THEN CASE WHEN NOT independent AND n_sources < 3 THEN 'other_issuer' END WHEN wording THEN 'same_subject_wording' ELSE 'same_subject' END,
+        CASE WHEN NOT traceable THEN 'named_instrument' END, CASE WHEN meeting AND NOT traceable THEN 'document_for_meeting' END, CASE WHEN thin THEN 'checkable_detail' END], lambda x: x IS NOT NULL), ',') AS missing FROM g"""
+)
 def q18_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corroboration 0 to 3 of each run by subjects, issuers and wording that its sources share."""
-    return corroborated(spark, sf_dir)
+    """Corroboration 0 to 3 of each run by subjects, issuers, details and wording that its sources share; what drives it, and what is missing. A text without a digit plays the thin one."""
+    return corroborated(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in ("drivers", "missing")})
 
 
 @query(

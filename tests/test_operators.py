@@ -111,3 +111,28 @@ def test_nuggets_have_english(spark):
     english = {n.kind: n.value_en for n in got}
     assert all(n.value_en and not any("\u4e00" <= c <= "\u9fff" for c in n.value_en) for n in got)
     assert english["official_action"] == "a named official action (see quoted excerpt)" and english["timeline"] == "by end-2026"
+
+
+def test_board_gathers_gaps(spark):
+    from cuelens.operators import history
+
+    rows = [("a", 1, "x", True, False, ["second_source", "named_instrument"]), ("a", 3, "y", False, True, ["named_instrument"]), ("b", 2, "x", False, False, [])]
+    got = history.board(spark.createDataFrame(rows, "desk string, score int, role string, direction boolean, instrument boolean, missing array<string>"), "desk").orderBy("desk").collect()
+    assert [(r.desk, r.n_items, r.pairable, r.gaps) for r in got] == [("a", 2, True, "named_instrument,second_source"), ("b", 1, False, "")]
+
+
+def test_corroboration_drivers(spark):
+    """A cross-checked run, one of the same issuer, one of wording alone, one alone: score, drivers and gaps of each."""
+    kind = "run string, i int, subjects array<string>, issuers array<string>, details array<string>, phrases array<string>, traceable boolean, has_instrument boolean, has_meeting boolean, thin boolean"
+    rows = [
+        ("apart", 1, ["s"], ["a"], ["3%"], [], False, True, False, False), ("apart", 2, ["s"], ["b"], ["3%"], [], False, False, True, True),
+        ("same", 3, ["s"], ["a"], [], [], False, False, True, True), ("same", 4, ["s"], ["a"], [], [], False, False, False, True),
+        ("words", 5, ["s"], [], [], ["p", "q", "r"], False, True, False, False), ("words", 6, ["t"], [], [], ["p", "q", "r"], False, True, False, False),
+        ("alone", 7, ["s"], ["a"], ["3%"], ["p"], True, True, True, False),
+    ]
+    got = {r.run: (r.corroboration, r.n_details, r.drivers, r.missing) for r in crossing.corroborate(spark.createDataFrame(rows, kind), "run", "i", "i").collect()}
+    assert got == {
+        "apart": (3, 1, ["cross_source_subject_match", "cross_source_detail_match", "independent_issuer_agreement"], []),
+        "same": (2, 0, ["cross_source_subject_match"], ["other_issuer", "named_instrument", "document_for_meeting", "checkable_detail"]),
+        "words": (1, 0, ["cross_source_topic_overlap_only"], ["same_subject_wording"]), "alone": (1, 0, ["single_source_names_traceable_record"], ["second_source"]),
+    }
