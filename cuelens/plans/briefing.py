@@ -46,12 +46,13 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     form = F.col("c_custkey") % FORMS
     source = F.when(form == 2, "微博转述").otherwise(F.concat(F.lit("样例"), F.col("c_custkey").cast("string")))
-    return rows.select(F.col("c_custkey").alias("doc_id"), source.alias("source"), F.get(F.array(*texts), form.cast("int")).alias("text"), F.lit(None).cast("string").alias("url"))
+    rows = held(rows.withColumn("source", source), "text", F.get(F.array(*texts), form.cast("int")))
+    return rows.select(F.col("c_custkey").alias("doc_id"), "source", "text", F.lit(None).cast("string").alias("url"))
 
 
 def brief(rows: DataFrame) -> DataFrame:
     """Every layer on (doc_id, source, text): nexus, scorecard, triage, desk, substance, class, adoption, intake, facts."""
-    rows = scoring.nexus(substance.normalise(rows), MANDARIN)
+    rows = scoring.nexus(kept(substance.normalise(rows), "texts"), MANDARIN)  # a text that is still an expression would be made anew for each rule
     rows = scoring.desks(scoring.triage(scoring.scorecard(rows, MANDARIN), MANDARIN), MANDARIN)
     rows = substance.cut(kept(facts.facts(rows), "facts"), MANDARIN).withColumn("source_class", scoring.source_class(F.col("text"), MANDARIN, label=F.col("source")))
     return decisions.intake(decisions.adoption(rows, MANDARIN), MANDARIN)
@@ -93,7 +94,7 @@ _NOTICES = f"""{_named('bodies', BODIES)}, {_named('papers', PAPERS)}, {_named('
 @query(f"WITH {_NOTICES} SELECT doc_id, f.kind AS kind, CAST(f.start AS INT) AS start, f.value AS value, f.value_en AS value_en, CAST(f.amount AS DOUBLE) AS amount FROM rules")
 def q38_facts_mandarin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed facts of all notices with their places, English and amounts, against what each row filled in."""
-    rows = facts.facts(substance.normalise(notices(spark, sf_dir))).select("doc_id", F.explode("facts").alias("f"))
+    rows = facts.facts(kept(substance.normalise(notices(spark, sf_dir)), "notices")).select("doc_id", F.explode("facts").alias("f"))
     return rows.select("doc_id", "f.kind", "f.start", "f.value", "f.value_en", F.col("f.amount").cast("double").alias("amount"))
 
 
