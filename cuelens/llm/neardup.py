@@ -238,7 +238,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, class, class_id, n_links) of every row of ``docs``.
 
     ``class`` names the class (null for a text without words), ``class_id`` is the smallest doc_id of the documents connected by links, ``n_links`` the number of
-    other documents whose sets are 0.8 similar or more.
+    other documents whose sets are 0.8 similar or more. ``reads``: the stored tables behind the rows, for a caller that is done with them.
     """
     worker_imports(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -271,9 +271,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     table = store(known.join(named, F.col("class") == F.col("cl")).select(F.col("node").alias("nd"), "class", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
     drop(known)
     alone = F.col("n") == 0
-    return signed.join(table, (F.col("node") == F.col("nd")) & ~alone, "left").select(
+    rows = signed.join(table, (F.col("node") == F.col("nd")) & ~alone, "left").select(
         "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "class", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+    rows.reads = [signed, table]
+    return rows
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:
@@ -286,7 +288,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Texts without words all stay; of rows that repeat one stays.
     """
-    classes = store(jaccard_classes(docs).select("doc_id", "text_hash", "class").where("class is not null"), "classes")
+    found = jaccard_classes(docs)
+    classes = store(found.select("doc_id", "text_hash", "class").where("class is not null"), "classes")
+    drop(*found.reads)
     first = classes.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("d"), F.col("k.text_hash").alias("h"))
     every = classes.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"))
     judged = every.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
