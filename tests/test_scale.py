@@ -2,7 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from cuelens.operators import relating
+from cuelens.functions.dialect import branches
+from cuelens.functions.text import first_spans, holds, spans
+from cuelens.lexicon import CORPUS
+from cuelens.operators import relating, substance
+from cuelens.plans import registry
+
+TEXTS = [
+    "", "the", "12 a12 123 12 7 12 99 123 5", "Licensed under MIT-2.0 and Released under x", "mail a.b@c.org, x@y", "1.2.3.4 1.2.3", "ABC!! AB!! é ABC!!",
+    "a | b c | d a | b", "übergroß 😀 1999 😀 2001 1999 2020 2003 2004", "idiots and clowns", "### *** $$", "line\nline\n", "+1 234 567 890 1 234 567 890", None,
+]
+
 
 def test_keys_of_related_records_are_computed_once(spark, monkeypatch):
     plans = []
@@ -12,3 +22,40 @@ def test_keys_of_related_records_are_computed_once(spark, monkeypatch):
     rows = rows.select("id", F.col("id").alias("created"), F.split(F.concat(F.lit("desk:x,kind:y,"), "t"), ",").alias("keys"), F.lit("none").alias("nexus"))
     assert relating.related(rows).count() == 6
     assert dict(plans)["keyed"].count("split(") == 1
+
+
+def test_nuggets_are_computed_once(spark):
+    rows = spark.createDataFrame([(1, "7 apples cost 1999")], "doc_id long, text string")
+    cut = substance.cut(rows, CORPUS).where("size(nuggets) > 0").select("substance_milli", "substance_band", F.size("nuggets").alias("n"))
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("named_instrument AS kind") <= 1 and plan.count("Generate explode") == 1
+    assert cut.collect()[0].n == 3
+
+
+def test_first_spans_are_the_first_distinct_of_all_spans(spark):
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    for rule in CORPUS.detectors:
+        for row in rows.select("text", spans(F.col("text"), rule.pattern).alias("all"), first_spans(F.col("text"), rule.pattern, 4).alias("first")).collect():
+            want = {}
+            for x in row["all"]:
+                want.setdefault(x.value, x)
+            assert row["first"] == list(want.values())[:4], (rule.name, row.text)
+
+
+def test_fixed_texts_of_patterns(spark):
+    assert branches(r"[a-z]+@x\.org|plain|a?bc*d|(x|y) z{2}") == [(r"[a-z]+@x\.org", "@x.org", False), ("plain", "plain", True), ("a?bc*d", "b", False), ("(x|y) z{2}", " ", False)]
+    assert branches("(?i)abc") == [("(?i)abc", "", False)]
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    for rule in (*CORPUS.detectors, *CORPUS.kinds, *CORPUS.themes, *CORPUS.social):
+        both = rows.select(holds(F.col("text"), rule.pattern).alias("a"), F.col("text").rlike(rule.pattern).alias("b")).collect()
+        assert all(r.a == r.b for r in both), rule.name
+    mail = rows.select(holds(F.col("text"), CORPUS.nexus_direct[0].pattern).alias("x"))
+    assert "Contains(text" in mail._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_table_of_one_row_group_is_dealt_by_its_bytes(spark, tmp_path, monkeypatch):
+    spark.range(20000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(registry, "TASK_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(registry, "SPREAD_BYTES", 0, raising=False)
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert registry.spread(rows).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
