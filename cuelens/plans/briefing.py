@@ -7,6 +7,8 @@ they read in English.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +52,43 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("doc_id"), "source", "text", F.lit(None).cast("string").alias("url"))
 
 
-def brief(rows: DataFrame) -> DataFrame:
-    """Every layer on (doc_id, source, text): nexus, scorecard, triage, desk, substance, class, adoption, intake, facts."""
-    rows = scoring.nexus(kept(substance.normalise(rows), "texts"), MANDARIN)  # a text that is still an expression would be made anew for each rule
+#: Rows of one text that a task reads together; those of a text with more are dealt to several.
+MANY = 10_000
+
+
+def each_text_once(rows: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` (doc_id, ``keys`` without nulls, more) with the columns that ``work`` adds to its rows of the distinct ``keys``.
+
+    What depends on ``keys`` alone is done once for all rows that are equal in them.
+    """
+    rows = kept(rows, "said")
+    counted = kept(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "counted")
+    done = kept(work(spread(counted.select(*keys))), "read")
+    deals = counted.where(F.col("_n") > MANY).select(*keys, F.ceil(F.col("_n") / MANY).cast("int").alias("_deals"))
+    place = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("_deals")).cast("int"), F.lit(0))
+    left = rows.join(deals, keys, "left").withColumn("_deal", place).drop("_deals")
+    right = done.join(deals, keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return left.join(right.hint("merge"), [*keys, "_deal"]).drop("_deal")
+
+
+def classed(rows: DataFrame) -> DataFrame:
+    """Normalised rows with the class of their text and source."""
+    return substance.normalise(rows).withColumn("source_class", scoring.source_class(F.col("text"), MANDARIN, label=F.col("source")))
+
+
+def layers(rows: DataFrame) -> DataFrame:
+    """Every layer on (text, source_class): nexus, scorecard, triage, desk, substance, adoption, intake, facts."""
+    rows = scoring.nexus(rows, MANDARIN)
     rows = scoring.desks(scoring.triage(scoring.scorecard(rows, MANDARIN), MANDARIN), MANDARIN)
-    rows = substance.cut(kept(facts.facts(rows), "facts"), MANDARIN).withColumn("source_class", scoring.source_class(F.col("text"), MANDARIN, label=F.col("source")))
+    rows = substance.cut(kept(facts.facts(rows), "facts"), MANDARIN)
     return decisions.intake(decisions.adoption(rows, MANDARIN), MANDARIN)
 
 
+def brief(rows: DataFrame) -> DataFrame:
+    """``layers`` of (doc_id, source, text)."""
+    return layers(kept(classed(rows), "texts"))  # a text that is still an expression would be made anew for each rule
+
+
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("NULL" if v is None else literal(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
@@ -94,14 +125,23 @@ _NOTICES = f"""{_named('bodies', BODIES)}, {_named('papers', PAPERS)}, {_named('
 @query(f"WITH {_NOTICES} SELECT doc_id, f.kind AS kind, CAST(f.start AS INT) AS start, f.value AS value, f.value_en AS value_en, CAST(f.amount AS DOUBLE) AS amount FROM rules")
 def q38_facts_mandarin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed facts of all notices with their places, English and amounts, against what each row filled in."""
-    rows = facts.facts(kept(substance.normalise(notices(spark, sf_dir)), "notices")).select("doc_id", F.explode("facts").alias("f"))
+    rows = each_text_once(substance.normalise(notices(spark, sf_dir)), ["text"], lambda texts: facts.facts(texts).select("text", "facts"))
+    rows = rows.select("doc_id", F.explode("facts").alias("f"))
     return rows.select("doc_id", "f.kind", "f.start", "f.value", "f.value_en", F.col("f.amount").cast("double").alias("amount"))
 
 
 def read(rows: DataFrame, now: str = "2026-06-01") -> DataFrame:
-    """``brief`` and all that a reader sees: date and freshness, quality, profile, analysis, headline, prose, digest. The clock is ``now``."""
+    """``brief`` and all that a reader sees: date and freshness, quality, profile, analysis, headline, prose, digest. The clock is ``now``.
+
+    All of it follows from a text and its class, so equal texts of a class are read once.
+    """
+    return each_text_once(classed(rows), ["text", "source_class"], lambda texts: read_texts(texts, now))
+
+
+def read_texts(rows: DataFrame, now: str) -> DataFrame:
+    """``read`` of (text, source_class)."""
     clock = F.lit(now).cast("date")
-    rows = kept(held(scoring.policy_overlay(brief(rows), THEMES), "as_of", as_of(F.col("text"), RELATIVE_DATES, clock)), "briefs")
+    rows = kept(held(scoring.policy_overlay(layers(rows), THEMES), "as_of", as_of(F.col("text"), RELATIVE_DATES, clock)), "briefs")
     age = F.datediff(clock, F.col("as_of.date"))
     rows = rows.withColumns({"band": decisions.freshness(age, F.col("as_of.precision")), "distinct_sources": F.lit(1)})
     rows = analysis.analyse(analysis.pick(decisions.brief_quality(rows)))

@@ -59,3 +59,19 @@ def test_a_table_of_one_row_group_is_dealt_by_its_bytes(spark, tmp_path, monkeyp
     monkeypatch.setattr(registry, "SPREAD_BYTES", 0, raising=False)
     rows = spark.read.parquet(str(tmp_path / "t"))
     assert registry.spread(rows).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    from cuelens.plans import briefing
+
+    monkeypatch.setattr(briefing, "MANY", 3)
+    rows = spark.createDataFrame([(i, f"t{i % 3 if i < 30 else 9}", i % 2) for i in range(40)], "doc_id long, text string, extra int")
+    seen = []
+
+    def work(texts):
+        seen.append(texts.count())
+        return texts.withColumn("size", F.concat("text", F.lit("!")))
+
+    got = briefing.each_text_once(rows, ["text"], work)
+    assert seen == [4]
+    assert sorted((r.doc_id, r.text, r.extra, r["size"]) for r in got.collect()) == [(i, t, i % 2, t + "!") for i in range(40) for t in [f"t{i % 3 if i < 30 else 9}"]]
