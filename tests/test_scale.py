@@ -29,6 +29,7 @@ def test_nuggets_are_computed_once(spark):
     cut = substance.cut(rows, CORPUS).where("size(nuggets) > 0").select("substance_milli", "substance_band", F.size("nuggets").alias("n"))
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("named_instrument AS kind") <= 1 and plan.count("Generate explode") == 1
+    assert plan.count("trim(transform(") == 1  # of the clause around a nugget
     assert cut.collect()[0].n == 3
 
 
@@ -75,3 +76,15 @@ def test_equal_texts_are_read_once(spark, monkeypatch):
     got = briefing.each_text_once(rows, ["text"], work)
     assert seen == [4]
     assert sorted((r.doc_id, r.text, r.extra, r["size"]) for r in got.collect()) == [(i, t, i % 2, t + "!") for i in range(40) for t in [f"t{i % 3 if i < 30 else 9}"]]
+
+
+def test_texts_of_corroborated_sources_are_read_twice_at_most(spark, tmp_path):
+    from cuelens.plans import crosschecks
+
+    rows = [(i, f"the thing {i} was Licensed under MIT {1000 + i % 3} for all", "en", f"src{i % 4}") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = crosschecks.corroborated(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") + plan.count("regexp_replace(text") <= 2  # one for the pastes of the phrases
+    got = found.collect()
+    assert [(r.n_sources, r.n_subjects, r.corroboration) for r in got] == [(12, 2, 3)]
