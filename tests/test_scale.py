@@ -88,3 +88,39 @@ def test_texts_of_corroborated_sources_are_read_twice_at_most(spark, tmp_path):
     assert plan.count("split(") + plan.count("regexp_replace(text") <= 2  # one for the pastes of the phrases
     got = found.collect()
     assert [(r.n_sources, r.n_subjects, r.corroboration) for r in got] == [(12, 2, 3)]
+
+
+def test_words_and_digits_of_patterns(spark):
+    from cuelens.functions.dialect import needs_digit, words
+
+    assert words("(^| )(les?|du)( |$)") == ["le", "les", "du"] and words("(^| )(le|d.)( |$)") == [] and words("x(^| )(le)( |$)") == []
+    assert all(needs_digit(p) for p in (r"\d", r"x\d+", r"(19|20)\d\d", r"\+?\d[\d -]{7,}\d", r"\d{1,3}\."))
+    assert not any(needs_digit(p) for p in (r"a\d*", r"a\d?b", r"\d{0,3}a", r"a|\d", r"[\d]a", r"\\d", r"(a\d)?b", "(?i)\\d"))
+    rows = spark.createDataFrame([(t,) for t in ("the", "the end", "in the", "in the end", "in\nthe", "other then", "the the")], "text string")
+    found = rows.select(holds(F.col("text"), "(^| )(the|of)( |$)").alias("x")).collect()
+    assert [r.x for r in found] == [True, True, True, True, False, False, True]
+
+
+def test_marks_tell_what_patterns_match(spark):
+    from cuelens.functions.text import marked, matches, seen
+    from cuelens.lexicon.rules import cut_patterns, triage_patterns
+
+    patterns = list(dict.fromkeys(triage_patterns(CORPUS) + cut_patterns(CORPUS)))
+    rows = marked(spark.createDataFrame([(t,) for t in TEXTS], "text string"), patterns)
+    both = [(holds(seen(rows), p), F.coalesce(F.col("text").rlike(p), F.lit(False))) for p in patterns]
+    for row in rows.select("text", *[F.array(a, b) for a, b in both]).collect():
+        assert all(x[0] == x[1] for x in row[1:]), row
+    for p in patterns:
+        assert all(r.a == r.b for r in rows.select(matches(seen(rows), p).alias("a"), matches(F.col("text"), p).alias("b")).collect()), p
+
+
+def test_cues_of_a_text_are_looked_for_once_by_board_and_cards(spark, tmp_path):
+    from cuelens.plans import crosschecks, screening
+
+    spark.createDataFrame([(1, "the thing ### cost 120 at a@b.org and more", "en", "src1")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (crosschecks.q28_section_board, screening.q12_ontology_top8):
+        spark.conf.set("spark.sql.debug.maxToStringFields", "1000")  # else a plan's text leaves out fields
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+        assert plan.count("[#*$%&]{3,}") == 1 and plan.count("[A-Za-z]{2,}") == 1, query.__name__
+        assert query(spark, str(tmp_path)).count() > 0
