@@ -54,7 +54,7 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as texts with their date in them: beside a dateline's word, early, behind 130 characters, as a relative cue, or not at all, by priority."""
     day, kind = F.date_format("o_orderdate", "yyyy-MM-dd"), F.substring("o_orderpriority", 1, 1)
     text = F.when(kind == "4", "no date").when(kind == "5", "昨日消息").when(kind == "3", F.concat(F.repeat(F.lit("x "), 65), day, F.lit(" 2001-02-30"))).otherwise(F.concat(F.lit("of 2001-13-01, "), F.when(kind == "1", "记者 ").otherwise("and "), day, F.lit(", 1995-05-05")))
-    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"), narrow=True)
     rows = rows.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3).alias("n"), text.alias("text"))
     clock = F.lit("2001-09-01").cast("date")
     rows = held(rows, "as_of", as_of(F.col("text"), RELATIVE_DATES, clock))

@@ -124,3 +124,26 @@ def test_cues_of_a_text_are_looked_for_once_by_board_and_cards(spark, tmp_path):
         spark.conf.unset("spark.sql.debug.maxToStringFields")
         assert plan.count("[#*$%&]{3,}") == 1 and plan.count("[A-Za-z]{2,}") == 1, query.__name__
         assert query(spark, str(tmp_path)).count() > 0
+
+
+def test_a_table_of_narrow_rows_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    from cuelens.plans import reader
+
+    spark.range(3000).selectExpr("id o_orderkey", "id % 5 o_custkey", "timestamp_ntz'1999-01-01' o_orderdate", "'3-MEDIUM' o_orderpriority").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(registry, "TASK_ROWS", 100, raising=False)
+    dated = reader.dated(spark, str(tmp_path))
+    assert dated.rdd.getNumPartitions() == 30 and dated.where("as_of.date = '1999-01-01'").count() == 3000
+
+
+def test_days_are_those_of_the_calendar(spark):
+    import calendar
+
+    from cuelens.functions.dates import absolute_dates, calendar_day
+
+    years = (1989, 1990, 1999, 2000, 2004, 2099, 2100, 2101)
+    rows = spark.createDataFrame([(y, m, d) for y in years for m in range(14) for d in range(40)], "y int, m int, d int")
+    for r in rows.select("*", calendar_day(F.col("y"), F.col("m"), F.col("d")).cast("string").alias("day")).collect():
+        real = 1990 <= r.y <= 2100 and 1 <= r.m <= 12 and 1 <= r.d <= calendar.monthrange(r.y, r.m)[1]
+        assert r.day == (f"{r.y:04d}-{r.m:02d}-{r.d:02d}" if real else None), r
+    plan = rows.select(absolute_dates(F.concat("y", F.lit("-01-01"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "gettimestamp" not in plan and "try_to_date" not in plan
