@@ -147,3 +147,15 @@ def test_days_are_those_of_the_calendar(spark):
         assert r.day == (f"{r.y:04d}-{r.m:02d}-{r.d:02d}" if real else None), r
     plan = rows.select(absolute_dates(F.concat("y", F.lit("-01-01"))))._jdf.queryExecution().optimizedPlan().toString()
     assert "gettimestamp" not in plan and "try_to_date" not in plan
+
+
+def test_documents_without_a_label_are_not_screened(spark, tmp_path):
+    from cuelens.plans import crosschecks
+
+    rows = [(i, f"the thing {i} was Licensed under MIT {1000 + i} for all", "en", "src1") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = crosschecks.q36_gold_eval(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") > plan.rindex("Generate")  # the join is below all that reads texts
+    assert [tuple(r) for r in found.select("zone", "n", "n_right", "false_admit", "false_reject").collect()] == [("en", 2, 1, 1, 0)]
