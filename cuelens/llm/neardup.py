@@ -11,8 +11,8 @@ large ones in pairs of blocks, and a pair is judged in the first band it shares.
 is the one with fewer pairs. Only counts and spanning edges leave a task, never pairs. Components of the verified
 edges are the classes.
 
-Texts of candidates alone are shuffled, while a bit set of bounded size can tell them (``bits``); ``keep_first``
-shuffles only rows that go or repeat.
+Texts of candidates alone are shuffled, and of band hashes those of buckets of two or more alone when they are tied,
+while a bit set of bounded size can tell them (``bits``); ``keep_first`` shuffles only rows that go or repeat.
 
 A node is named by 64 bits of hash of its set; n nodes share a name by chance in about n*n / 2**65 pairs. Two sets of
 one name would be one node.
@@ -187,7 +187,7 @@ def _upto(n: Column) -> Column:
 def _tasks(members: DataFrame, rows: DataFrame, full: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(node, task, comp, side, band): every candidate pair meets in one task; ``side`` as in ``_linked``, ``band`` as in ``_verify``. And the stored tables that it reads.
 
-    ``members`` are the nodes of components, ``rows`` (node, k, band) all nodes' band hashes, ``full`` (b, least, c) the buckets of two or more.
+    ``members`` are the nodes of components, ``full`` (b, least, c) the buckets of two or more, ``rows`` (node, k, band) the nodes' band hashes, of those in ``full`` all.
     """
     stats = members.groupBy("comp", "level").agg(F.sum("n").alias("shingles"), F.count("*").alias("nodes"))
     whole = stats.groupBy("comp").agg(F.sum("shingles").alias("all_shingles"), F.sum("nodes").alias("all_nodes"), F.sum(F.col("nodes") * F.col("nodes")).alias("all_pairs"))
@@ -247,6 +247,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     nodes = store(sets.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("of"), F.max("n").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.posexplode("bands").alias("k", "band"))
     full = store(rows.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select(F.col("band").alias("b"), "least", "c"), "full")
+    rows, _ = split(rows, F.col("band"), bit_table(F.col("b"), full))  # bands that no other node has are not shuffled again
     ties = rows.join(full, F.col("band") == F.col("b")).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     found = components(ties)
     about = nodes.select(F.col("node").alias("nd"), "n", "copies", "of", F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZE_BASE))).cast("int").alias("level"), "bands")

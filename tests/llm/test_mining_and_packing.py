@@ -281,3 +281,24 @@ def test_pipeline_is_its_stages(spark, tmp_path):
     key = lambda r: (r.doc_id, r.text, r.n_chars, tuple(r.token_ids))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(map(key, got)) == Counter(map(key, docs.collect())) and 3 not in {r.doc_id for r in got} and len(got) > 30
+
+
+def test_jaccard_ties_only_bands_that_nodes_share(spark, monkeypatch):
+    from cuelens.llm import neardup
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(30)]
+    near = texts[3].replace("w3x39", "other")
+    docs = spark.createDataFrame([*enumerate([*texts, near])], "doc_id long, text string")
+    tied, real = [], neardup.split
+
+    def spy(rows, key, table):
+        may, rest = real(rows, key, table)
+        if "band" in rows.columns:
+            tied.append((rows.count(), may.count()))
+        return may, rest
+
+    monkeypatch.setattr(neardup, "split", spy)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.jaccard_digest(docs).collect()}
+    assert got == {i: (i, 0) for i in range(30)} | {3: (3, 1), 30: (3, 1)}
+    (every, shared), = tied
+    assert every == 31 * neardup.BANDS and 2 <= shared <= 2 * neardup.BANDS + 2
